@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from cellgrove.llm.decontamination import OP7_SQL, op7_decontamination
 from cellgrove.llm.line_dedup import OP2_SQL, op2_line_dedup
 from cellgrove.llm.mixing import OP1_SQL, op1_mix_sources
+from cellgrove.llm.ngram_join import op6_ngram_jaccard_join
+from cellgrove.llm.quality_rules import op5_quality_rules
 from cellgrove.llm.sharding import op3_shuffle_shards
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op3_shuffle_shards": op3_shuffle_shards,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_decontamination": op7_decontamination,
 }
 ORACLES = {
     "op1_mix_sources": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op7_decontamination": OP7_SQL,
 }
