@@ -8,6 +8,7 @@ from cellgrove.llm.mixing import OP1_SQL, op1_mix_sources
 from cellgrove.llm.ngram_join import op6_ngram_jaccard_join
 from cellgrove.llm.quality_rules import op5_quality_rules
 from cellgrove.llm.sharding import op3_shuffle_shards
+from cellgrove.llm.warc import OP9_SQL, op9_warc_chunks
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -16,9 +17,11 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
+    "op9_warc_chunks": op9_warc_chunks,
 }
 ORACLES = {
     "op1_mix_sources": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op7_decontamination": OP7_SQL,
+    "op9_warc_chunks": OP9_SQL,
 }
