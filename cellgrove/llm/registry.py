@@ -6,6 +6,8 @@ from cellgrove.llm.decontamination import OP7_SQL, op7_decontamination
 from cellgrove.llm.line_dedup import OP2_SQL, op2_line_dedup
 from cellgrove.llm.mixing import OP1_SQL, op1_mix_sources
 from cellgrove.llm.ngram_join import op6_ngram_jaccard_join
+from cellgrove.llm.pii import op8_pii
+from cellgrove.llm.quality_classifier import op4_quality_classifier
 from cellgrove.llm.quality_rules import op5_quality_rules
 from cellgrove.llm.sharding import op3_shuffle_shards
 from cellgrove.llm.warc import OP9_SQL, op9_warc_chunks
@@ -14,9 +16,11 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op3_shuffle_shards": op3_shuffle_shards,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_decontamination": op7_decontamination,
+    "op8_pii": op8_pii,
     "op9_warc_chunks": op9_warc_chunks,
 }
 ORACLES = {
