@@ -9,8 +9,10 @@ from cellgrove.llm.text import ascii_lower, row_key, whole
 from cellgrove.scratch import at_most, materialize
 
 SPAN = 10
-#: Terms of the test set: up to so many (under 100 MB) are broadcast to the scan of the texts, more are joined by shuffle.
-BROADCAST_TERMS = 1_000_000
+#: Words of the test set: up to so many (under 100 MB) its tables are broadcast, more are joined by shuffle.
+BROADCAST_TERMS = 500_000
+#: Row keys of texts with an alignment: up to so many (under 50 MB) are broadcast to the index, more are joined by shuffle.
+BROADCAST_ROWS = 300_000
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -19,14 +21,10 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(ascii_lower(c), BREAKS), lambda w: w != "")
 
 
-def test_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
-    """Distinct windows of ``span`` words over (item_id, text), as ``wid`` and ``window``, with the items that hold them.
-
-    A shorter item is one window; an item without words has none.
-    """
-    w = items.select("item_id", terms(whole()).alias("w")).filter(F.size("w") > 0)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - span + 1)), lambda i: F.slice("w", i, span))
-    return w.select("item_id", F.explode(F.array_distinct(windows)).alias("window")).withColumn("wid", F.md5(F.array_join("window", " ").cast("binary")))
+def item_words(items: DataFrame) -> DataFrame:
+    """A row a word of (item_id, text): ``item`` (of its own for each id and text), item_id, ``len`` (words of the item), ipos, term, tid."""
+    w = items.select(F.xxhash64("item_id", whole()).alias("item"), "item_id", terms(whole()).alias("w")).distinct()
+    return w.select("item", "item_id", F.size("w").alias("len"), F.posexplode("w").alias("ipos", "term")).withColumn("tid", F.xxhash64("term"))
 
 
 def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -35,43 +33,54 @@ def postings(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return every.join(vocabulary, "term").select("_k1", "_k2", "pos", "tid")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, *, slop: int = 0) -> DataFrame:
-    """Occurrences of the windows in the texts: row key, ``start`` (word position), ``len``, ``wid``.
+def rarest_anchors(words: DataFrame, counts: DataFrame, span: int) -> DataFrame:
+    """The places (item, p1, tid1, p2, tid2) of the two rarest terms of each window of ``span`` words; p2 is null in a window of one word.
 
-    A posting list is read first for the rarest term of each window: it gives the candidate starts, adjusted by the
-    term's offset. These are intersected with the list of the second rarest term, and the few that
-    are left with all other terms. ``slop`` > 0 gives proximity matches: each term within ``slop``
-    words of its place.
+    A window with a term that no text has is left out.
+    """
+    starts = F.sequence(F.greatest(F.lit(0), F.col("ipos") - span + 1), F.least(F.col("ipos"), F.greatest(F.lit(0), F.col("len") - span)))
+    inside = words.join(counts, "tid").select("item", F.explode(starts).alias("start"), F.least("len", F.lit(span)).alias("n"), "ipos", "tid", "df")
+    window = Window.partitionBy("item", "start")
+    ranked = inside.withColumns({"rank": F.row_number().over(window.orderBy("df", "tid", "ipos")), "found": F.count("*").over(window)}).filter("found = n")
+    pair = lambda r: F.max(F.when(F.col("rank") == r, F.struct("ipos", "tid")))
+    both = ranked.filter("rank <= 2").groupBy("item", "start").agg(pair(1).alias("a"), pair(2).alias("b"))
+    return both.select("item", F.col("a.ipos").alias("p1"), F.col("a.tid").alias("tid1"), F.col("b.ipos").alias("p2"), F.col("b.tid").alias("tid2")).distinct()
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, *, span: int = SPAN, slop: int = 0) -> DataFrame:
+    """Where the texts hold ``span`` consecutive words of an item (all words of a shorter one): row key, item_id, start, end (words).
+
+    The index is read first for the rarest term of each window: its postings less the term's offset give candidate
+    alignments of item and text. They are intersected with the offset-adjusted postings of the second rarest term,
+    and the alignments that are left with those of all words of the item; runs of ``span`` or more matched words are
+    the phrases. ``slop`` > 0 gives proximity matches: each word within ``slop`` words of its place.
     """
-    entries = windows.select("wid", "window").distinct().select("wid", F.size("window").alias("len"), F.posexplode("window").alias("off", "term"))
-    vocabulary = entries.select("term").distinct().withColumn("tid", F.xxhash64("term"))
-    vocabulary = materialize(vocabulary, "test-terms")
-    small = at_most(vocabulary, BROADCAST_TERMS)
-    index = materialize(postings(docs, F.broadcast(vocabulary) if small else vocabulary), "postings")
-
-    counts = index.groupBy("tid").agg(F.count("*").alias("df"))
-    ranked = entries.withColumn("tid", F.xxhash64("term")).join(counts, "tid")  # a window with a term that no text has is dropped below
-    by_rarity = Window.partitionBy("wid").orderBy("df", "tid", "off")
-    ranked = ranked.withColumns({"rank": F.row_number().over(by_rarity), "found": F.count("*").over(Window.partitionBy("wid"))})
-    ranked = materialize(ranked.filter(F.col("found") == F.col("len")).select("wid", "len", "off", "tid", "rank"), "test-entries")
-    hint = (lambda df: F.broadcast(df)) if at_most(ranked, BROADCAST_TERMS) else (lambda df: df)
+    words = materialize(item_words(items), "test-words")
+    vocabulary = materialize(words.select("term", "tid").distinct(), "test-terms")
+    small = at_most(words, BROADCAST_TERMS)
+    hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    index = materialize(postings(docs, hint(vocabulary)), "postings")
+    anchors = materialize(rarest_anchors(words, index.groupBy("tid").agg(F.count("*").alias("df")), span), "test-anchors")
 
     key = ["_k1", "_k2"]
-    second = ranked.filter("rank = 2").select("wid", F.col("off").alias("off2"), F.col("tid").alias("tid2"))
-    rarest = ranked.filter("rank = 1").join(second, "wid", "left").withColumnRenamed("tid", "_tid")
-    starts = index.join(hint(rarest), F.col("tid") == F.col("_tid")).select(*key, "wid", "len", (F.col("pos") - F.col("off")).alias("start"), "off2", "tid2")
-    starts = starts.filter("start >= 0")
-    near = F.sequence(F.lit(-slop), F.lit(slop))
-    narrowed = index.join(hint(second.select(F.col("tid2").alias("tid")).distinct()), "tid", "left_semi").select(*key, F.col("pos").alias("pos2"), F.col("tid").alias("tid2"))
-    paired = starts.filter("tid2 IS NOT NULL").withColumn("pos2", F.explode(F.transform(near, lambda d: F.col("start") + F.col("off2") + d)))
-    paired = paired.join(narrowed, [*key, "pos2", "tid2"], "left_semi").select(*key, "wid", "len", "start")
-    single = starts.filter("tid2 IS NULL").select(*key, "wid", "len", "start")
-    left = materialize(paired.union(single).distinct(), "phrase-candidates")
-
-    wanted = left.join(hint(ranked.filter("rank > 2").select("wid", "off", "tid")), "wid").withColumn("pos", F.explode(F.transform(near, lambda d: F.col("start") + F.col("off") + d)))
-    held = wanted.join(index.join(left.select(*key).distinct(), key, "left_semi"), [*key, "pos", "tid"], "left_semi")
-    full = held.select(*key, "wid", "len", "start", "off").distinct().groupBy(*key, "wid", "len", "start").agg(F.count("*").alias("n"))
-    return full.filter(F.col("n") == F.col("len") - 2).select(*key, "start", "len", "wid").union(left.filter("len <= 2").select(*key, "start", "len", "wid"))
+    shifts = F.sequence(F.lit(-slop), F.lit(slop))
+    aligned = index.join(hint(anchors), F.col("tid") == F.col("tid1")).select(*key, "item", (F.col("pos") - F.col("p1")).alias("delta"), "p2", "tid2")
+    alone = aligned.filter("tid2 IS NULL").select(*key, "item", "delta")
+    wanted = aligned.filter("tid2 IS NOT NULL").withColumn("pos", F.explode(F.transform(shifts, lambda d: F.col("delta") + F.col("p2") + d)))
+    second = index.join(hint(anchors.select(F.col("tid2").alias("tid")).distinct()), "tid", "left_semi").select(*key, "pos", F.col("tid").alias("tid2"))
+    paired = wanted.join(second, [*key, "pos", "tid2"], "left_semi").select(*key, "item", "delta")
+    alignments = materialize(paired.union(alone).distinct(), "alignments")
+
+    holders = materialize(alignments.select(*key).distinct(), "alignment-rows")
+    holders = F.broadcast(holders) if at_most(holders, BROADCAST_ROWS) else holders
+    wanted = alignments.join(hint(words.select("item", "len", "ipos", "tid")), "item").withColumn("pos", F.explode(F.transform(shifts, lambda d: F.col("delta") + F.col("ipos") + d)))
+    held = wanted.join(index.join(holders, key, "left_semi"), [*key, "pos", "tid"], "left_semi")
+    held = held.select(*key, "item", "delta", "len", "ipos").distinct() if slop else held.select(*key, "item", "delta", "len", "ipos")
+    along = Window.partitionBy(*key, "item", "delta").orderBy("ipos")  # no longer than an item
+    runs = held.withColumn("run", F.col("ipos") - F.row_number().over(along)).groupBy(*key, "item", "delta", "run", "len").agg(F.min("ipos").alias("first"), F.count("*").alias("n"))
+    ids = words.select("item", "item_id").distinct()
+    found = runs.filter(F.col("n") >= F.least("len", F.lit(span))).join(hint(ids), "item")
+    return found.select(*key, "item_id", (F.col("first") + F.col("delta")).alias("start"), (F.col("first") + F.col("delta") + F.col("n")).alias("end"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, span: int = SPAN, slop: int = 0) -> DataFrame:
@@ -82,15 +91,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, span: int = SPAN, slop:
     benchmark nothing is hit. Columns named like an added one are replaced; others pass through.
     """
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
-    windows = materialize(test_windows(items, span), "test-windows")
-    hits = materialize(phrase_matches(docs, windows, slop=slop), "phrase-matches")
+    hits = materialize(phrase_matches(docs, items, span=span, slop=slop), "phrase-matches")
     key = ["_k1", "_k2"]
-    spans = hits.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
+    spans = hits.groupBy(*key, "start").agg(F.max("end").alias("end"))
     before = F.max("end").over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     covered = spans.withColumn("_new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))))
     covered = covered.groupBy(*key).agg(F.sum("_new").alias("n_hit"))
-    held = hits.select(*key, "wid").distinct().join(windows.select("wid", "item_id"), "wid").groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = covered.join(held, key, "left")
+    held = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    found = covered.join(held, key)
     k1, k2 = row_key()
     return (
         docs.withColumns({"_k1": k1, "_k2": k2, "n_words": F.size(terms(whole())).cast("long")}).join(found, key, "left")
