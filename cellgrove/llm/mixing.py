@@ -9,6 +9,8 @@ from cellgrove.llm.text import whole, words
 from cellgrove.scratch import at_most, materialize
 
 CYCLE, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
+#: Times that the order goes on past a document that doesn't fit.
+PASSES = 3
 #: Buckets a natural-log unit of the sampling key: the one bucket a source that holds its cut has about 1/2800 of its documents.
 BUCKETS_A_UNIT = 1024
 #: A table of sources of up to so many rows (under 20 MB) is broadcast; a longer one is joined by shuffle.
@@ -46,58 +48,82 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...], cap: float) -> Data
     level = (F.sum("source_size").over(every) - filled) / open_weight
     levels = ranked.withColumn("_level", level)
     fits = F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))
-    return levels.withColumn("_top", F.min(fits).over(every)).select(
+    first = F.first(fits, ignorenulls=True).over(by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return levels.withColumn("_top", first).select(
         "source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_top") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, cap: int = MAX_EPOCHS, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+def _fill(rows: DataFrame, gaps: DataFrame, small, nearest: bool) -> DataFrame:
+    """How far a source's ``rows`` (source, doc_id, size, _key, _bucket), in key order, fill its gap (_s, _gap).
+
+    Gives (_s, _b, _last, _filled): rows in buckets before _b, and in _b up to _last, are taken. Sums by bucket find the one
+    bucket with the cut, so only that is put in order. The row at the cut is left, or, with ``nearest``,
+    taken if that ends nearer to the gap.
+    """
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket"))
+    over = sums.withColumn("_end", upto).join(small(gaps), F.col("source").eqNullSafe(F.col("_s"))).filter((F.col("_end") > F.col("_gap")) & (F.col("_gap") > 0))
+    bucket = over.groupBy("_s").agg(F.min_by(F.struct(F.col("_bucket").alias("_b"), (F.col("_end") - F.col("_sum")).alias("_start"), "_gap"), "_bucket").alias("c")).select("_s", "c.*")
+    bucket = materialize(bucket, "mix-cut")
+    here = rows.join(small(bucket), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    to_here = F.col("_start") + F.sum("size").over(Window.partitionBy("source").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = 2 * F.col("_to") - F.col("size") <= 2 * F.col("_gap") if nearest else F.col("_to") <= F.col("_gap")
+    last = here.withColumn("_to", to_here).filter(fits).groupBy(F.col("_s").alias("_t")).agg(F.max(F.struct("_key", "doc_id")).alias("_last"), F.max("_to").alias("_to"))
+    return bucket.join(last, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", "_b", "_last", F.coalesce("_to", "_start").alias("_filled"))
+
+
+def _taken(i: int) -> Column:
+    """Whether a row is within the cut of pass ``i``; without a cut all rows fit into the gap."""
+    within = F.coalesce(F.struct("_key", "doc_id") <= F.col(f"_last{i}"), F.lit(False))
+    cut = F.col(f"_b{i}")
+    return F.coalesce(F.when(cut.isNull(), F.col(f"_gap{i}") > 0).otherwise((F.col("_bucket") < cut) | ((F.col("_bucket") == cut) & within)), F.lit(False))
+
+
+def mix_sources(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, cap: int = MAX_EPOCHS, seed: str = SEED, weight: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """Say how often the mix takes each document.
 
     Sources, in code point order with null last, have the weights of ``cycle`` in turn and share all words.
     A source first gives whole epochs of its documents; the rest of its target is filled by documents in
-    order of their exponential keys scaled by quality weight, up to the document whose end is nearest to
-    the target. Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (= copies * size).
-
-    Only sums by source and key bucket and the one bucket with the cut are shuffled; documents are not.
-    Null text has size 0. An empty table gives no rows. Documents with equal keys are ordered by doc_id,
-    null first; rows with one doc_id and one key are taken together. Clashing columns are replaced.
+    order of their exponential keys scaled by quality weight. A document that doesn't fit any more is passed over and
+    the order goes on with those that do, PASSES times; the last may end beyond the target if that is nearer.
+    Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (= copies * size) to all columns, or to those in ``carry``.
+
+    Texts are read once for sizes and keys, which are written without the texts, and sums by source and key bucket find
+    the cuts; no source is put in order as a whole. Null text has size 0. An empty table gives no rows. Documents
+    with equal keys are ordered by doc_id, null first; rows with one doc_id and one key are taken
+    together. Clashing columns are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
+    added = ["size", "source_size", "target", "copies", "taken"]
+    docs = docs.drop(*added)
     weight = quality_weight() if weight is None else weight
     sized = docs.withColumns({"size": F.size(words(whole())).cast("long"), "_key": sampling_key(seed, weight)})
     sized = sized.withColumn("_bucket", F.floor(F.log("_key") * BUCKETS_A_UNIT))
-    sums = materialize(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.count("*").alias("_n")), "mix-buckets")
-    targets = source_targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), cycle, float(cap))
+    kept = ["source", "doc_id", *[c for c in carry or [] if c not in ("source", "doc_id")]]
+    keyed = materialize(sized.select(*kept, "size", "_key", "_bucket"), "mix-keys")
+    targets = source_targets(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, float(cap))
     targets = targets.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    targets = targets.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    targets = materialize(targets, "mix-targets")
-    known = at_most(targets, BROADCAST_ROWS)
-    small = (lambda df: F.broadcast(df)) if known else (lambda df: df)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-
-    before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket"))
-    reached = sums.withColumn("_end", before).join(small(targets.select(F.col("source").alias("_s"), "_rest")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    cut_bucket = (
-        reached.filter((F.col("_end") >= F.col("_rest")) & (F.col("_rest") > 0))
-        .groupBy("source").agg(F.min_by(F.struct(F.col("_bucket").alias("_b"), (F.col("_end") - F.col("_sum")).alias("_start"), "_rest"), "_bucket").alias("_c"))
-        .select(F.col("source").alias("_s"), "_c.*")
-    )
-    at_cut = sized.select("source", "doc_id", "size", "_key", "_bucket").join(small(cut_bucket), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    to_here = F.sum("size").over(Window.partitionBy("source").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_start")
-    cut = (
-        at_cut.withColumn("_to", to_here).filter(2 * F.col("_to") - F.col("size") <= 2 * F.col("_rest"))
-        .groupBy(F.col("source").alias("_s")).agg(F.max(F.struct("_key", "doc_id")).alias("_last"))
-    )
-    plan = targets.join(cut_bucket.select("_s", "_b"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("source", "_source")
-    plan = materialize(plan, "mix-plan")
-    drawn = F.coalesce((F.col("_bucket") < F.col("_b")) | ((F.col("_bucket") == F.col("_b")) & (F.struct("_key", "doc_id") <= F.col("_last"))), F.lit(False))
-    return (
-        sized.join(small(plan), F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("copies", (F.col("_epochs") + drawn.cast("long")).cast("int"))
-        .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("_key", "_bucket", "_source", "_epochs", "_rest", "_b", "_last")
-    )
+    plan = materialize(targets.withColumn("_gap0", F.col("target") - F.col("_epochs") * F.col("source_size")).withColumnRenamed("source", "_source"), "mix-targets")
+    small = (lambda df: F.broadcast(df)) if at_most(plan, BROADCAST_ROWS) else (lambda df: df)
+    same = F.col("source").eqNullSafe(F.col("_source"))
+
+    for i in range(PASSES):
+        rest = keyed.select("source", "doc_id", "size", "_key", "_bucket").join(small(plan), same)
+        for before in range(i):
+            rest = rest.filter(F.col(f"_b{before}").isNotNull() & ~_taken(before))
+        rest = rest.filter(F.col("size") <= F.col(f"_gap{i}")) if i else rest
+        cut = _fill(rest.select("source", "doc_id", "size", "_key", "_bucket"), plan.select(F.col("_source").alias("_s"), F.col(f"_gap{i}").alias("_gap")), small, i == PASSES - 1)
+        plan = plan.join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn(f"_gap{i + 1}", F.col(f"_gap{i}") - F.col("_filled"))
+        plan = materialize(plan.withColumnsRenamed({"_b": f"_b{i}", "_last": f"_last{i}"}).drop("_s", "_filled"), "mix-plan")
+
+    drawn, passed = F.lit(False), F.lit(True)
+    for i in range(PASSES):
+        fits = (F.col("size") <= F.col(f"_gap{i}")) if i else F.lit(True)
+        drawn = drawn | (passed & F.coalesce(fits, F.lit(False)) & _taken(i))
+        passed = passed & ~_taken(i) & F.col(f"_b{i}").isNotNull()
+    out = sized if carry is None else keyed
+    names = docs.columns if carry is None else carry
+    out = out.join(small(plan), same).withColumn("copies", (F.col("_epochs") + drawn.cast("long")).cast("int"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*names, *added)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
@@ -108,7 +134,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+    return mix_sources(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 
 OP1_SQL = r"""
@@ -129,15 +155,26 @@ levels AS (
     / sum(w) OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM sources),
 targets AS (
-  SELECT source, source_size, least(3 * source_size, coalesce(min(level) FILTER (level <= 3 * source_size / w) OVER () * w, 3 * source_size)) AS target
+  SELECT source, source_size, least(3 * source_size, coalesce(first_value(CASE WHEN level <= 3 * source_size / w THEN level END IGNORE NULLS)
+      OVER (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * w, 3 * source_size)) AS target
   FROM levels),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets),
-ordered AS (
-  SELECT s.doc_id, s.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
+one AS (
+  SELECT s.doc_id, s.source, s.size, s.key, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS gap,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source)
+  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source),
+gap_one AS (SELECT *, gap > 0 AND upto <= gap AS t1, gap - coalesce(max(upto) FILTER (upto <= gap) OVER (PARTITION BY source), 0) AS gap2 FROM one),
+two AS (
+  SELECT *, gap > 0 AND NOT t1 AND size <= gap2 AS e2,
+    sum(CASE WHEN NOT t1 AND size <= gap2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto2
+  FROM gap_one),
+gap_two AS (SELECT *, e2 AND upto2 <= gap2 AS t2, gap2 - coalesce(max(upto2) FILTER (upto2 <= gap2) OVER (PARTITION BY source), 0) AS gap3 FROM two),
+three AS (
+  SELECT *, e2 AND NOT t2 AND size <= gap3 AS e3,
+    sum(CASE WHEN e2 AND NOT t2 AND size <= gap3 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto3
+  FROM gap_two)
 SELECT doc_id, size, source_size::BIGINT AS source_size, round(target, 4) AS target,
-  (epochs * size + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
-FROM ordered
+  (epochs * size + CASE WHEN t1 OR t2 OR (e3 AND 2 * upto3 - size <= 2 * gap3) THEN size ELSE 0 END)::BIGINT AS taken
+FROM three
 """
