@@ -22,8 +22,9 @@ BROADCAST_ROWS = 100_000
 #: below (side -1) min(bound, quantile / factor) of its group.
 RULES = {
     "symbol_ratio": (1, 0.5, 4.0, 0.02),
-    "dup_line_ratio": (1, 0.75, 3.0, 0.30),
-    "repeat_ratio": (1, 0.75, 3.0, 0.15),
+    "dup_line_ratio": (1, 0.75, 3.0, 0.50),
+    "repeat_ratio": (1, 0.75, 3.0, 0.30),
+    "distinct_word_ratio": (-1, 0.25, 2.0, 0.30),
     "mean_word_chars": (1, 0.75, 1.6, 9.0),
     "short_word_chars": (-1, 0.25, 1.6, 3.0),
 }
@@ -49,7 +50,7 @@ def _covered_words(w: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines`` and ``n_repeat_words`` of the whole texts."""
+    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines``, ``n_repeat_words`` and ``n_distinct_words`` of the whole texts."""
     full = docs.withColumns({"_t": whole(), "_w": words(whole()), "_l": F.filter(lines(whole()), lambda x: strip_space(x) != "")})
     length = F.length("_t")
     return full.withColumns({
@@ -59,6 +60,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_lines": F.size("_l").cast("long"),
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_repeat_words": _covered_words(F.col("_w")),
+        "n_distinct_words": F.size(F.array_distinct("_w")).cast("long"),
     }).drop("_t", "_w", "_l")
 
 
@@ -69,6 +71,7 @@ def _values() -> dict[str, Column]:
         "symbol_ratio": F.col("n_symbols") / chars,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_ratio": F.col("n_repeat_words") / n,
+        "distinct_word_ratio": F.when(F.col("n_words") > 0, F.col("n_distinct_words")).otherwise(1) / n,
         "mean_word_chars": F.col("word_chars") / n,
         "short_word_chars": F.col("word_chars") / n,
     }
@@ -121,7 +124,7 @@ def assess(docs: DataFrame, *, carry: list[str] | None = None) -> DataFrame:
     statistics are written to the shared folder, and sketches and verdicts come from there. Columns named
     like an added one are replaced.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "base_failed", "kept"]
     kept_columns = [c for c in (carry or docs.columns) if c not in added]
     keyed = docs.drop(*added).withColumns({"_lang": F.col("lang"), "_source": F.col("source")})
     stats = with_statistics(keyed).select(*kept_columns, "_lang", "_source", *added[:-2])
