@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, WordHashes, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, word_hashes
+from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, WordHashes, bin_counts, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, word_hashes
 from cellgrove.llm.text import row_key, whole
 from cellgrove.scratch import at_most, materialize
 
@@ -20,6 +20,12 @@ NUM, DEN = 75, 100
 PARTS = 0.42
 #: Row keys of sets to look at again: up to so many (about 20 MB) are broadcast, more are joined by shuffle.
 BROADCAST_KEYS = 300_000
+#: Texts whose sets a task holds at once.
+ROWS_AT_ONCE = 2_000
+#: Shingles of passages that many documents share make poor signatures. One shingle in SAMPLED (by hash) is counted over all
+#: documents; those of COMMON documents or more, the MOST_COMMON most frequent, mark what is within NEARBY words of them in one document
+#: as common (at most 81 * 20,000 hashes, 13 MB, sent to the tasks). Which shingles are marked changes the cost, never the result.
+SAMPLED, COMMON, MOST_COMMON, NEARBY = 16, 12, 20_000, 40
 
 
 @lru_cache(maxsize=None)
@@ -33,7 +39,7 @@ def _band(size: int, num: int, den: int) -> tuple[int, int, int]:
         number, low = number + 1, high + 1
 
 
-def set_signatures(a: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+def set_signatures(a: np.ndarray, num: int = NUM, den: int = DEN, common: np.ndarray | None = None) -> np.ndarray:
     """PartEnum signatures of a sorted array of distinct 64-bit hashes.
 
     A band of sizes splits the hash domain into parts. Two sets with den * |A and B| >= num * |A or B| differ in at most
@@ -42,10 +48,17 @@ def set_signatures(a: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     has at most d non-empty parts before it in either set, so each set gives its first d + 1, with d for its
     largest possible partner. A set with only d non-empty parts or fewer also enumerates single elements,
     since such a pair might agree in empty parts only. A set near its band's end gives signatures in the next band too.
+    Elements in ``common`` (sorted, the same for all sets) belong to no part and come last among single elements.
     """
     s = len(a)
+    order = a
+    if common is not None and len(common):
+        marked = common[np.minimum(np.searchsorted(common, a), len(common) - 1)] == a
+        if marked.any():
+            a = a[~marked]
+            order = np.r_[a, order[marked]]
     most = s * den // num  # the largest partner
-    out = []
+    out, mixed = [], mix(a)
     own, _, high = _band(s, num, den)
     ends = [(own, high)]
     if most > high:
@@ -54,18 +67,21 @@ def set_signatures(a: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         d = (s + min(most, end)) * (den - num) // (den + num)
         parts = max(1, int(PARTS * end))
         at = ((a >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        sums = np.add.reduceat(mix(a), starts)[: d + 1]
-        out.append(mix(sums ^ mix((at[starts][: d + 1] << np.uint64(8)) + np.uint64(number + 1))))
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(a) else np.zeros(0, dtype=np.int64)
+        if len(starts):
+            sums = np.add.reduceat(mixed, starts)[: d + 1]
+            out.append(mix(sums ^ mix((at[starts][: d + 1] << np.uint64(8)) + np.uint64(number + 1))))
         if len(starts) <= d:
-            out.append(mix(a[: d + 1] ^ np.uint64(0x5BD1E995 + number)))
+            out.append(mix(order[: d + 1] ^ np.uint64(0x5BD1E995 + number)))
     return np.concatenate(out)
 
 
 def _document_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     known = WordHashes()
-    for b in batches:
-        yield b, [np.unique(shingle_hashes(word_hashes(t, known), k)) for t in b.column("text").to_pylist()]
+    for whole_batch in batches:
+        for at in range(0, whole_batch.num_rows, ROWS_AT_ONCE):
+            b = whole_batch.slice(at, ROWS_AT_ONCE)
+            yield b, [np.unique(shingle_hashes(word_hashes(t, known), k)) for t in b.column("text").to_pylist()]
 
 
 def _set_key(a: np.ndarray) -> int:
@@ -76,6 +92,27 @@ def _int64(keys: list[int]) -> np.ndarray:
     return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
+def _common_shingles(nodes: DataFrame, keyed: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles in passages that many documents share; see SAMPLED."""
+    counts = nodes.select("_k1", "_k2", F.explode("sampled").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2")).alias("r"))
+    top = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON)
+    marks = materialize(top.groupBy("r").agg(F.collect_list("h").alias("marks")).select("r.*", "marks"), "common-marks")
+
+    def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
+                h = shingle_hashes(word_hashes(t, known), k)
+                at = np.flatnonzero(np.isin(h, np.array(m, dtype=np.int64).view(np.uint64)))
+                around = np.zeros(len(h) + 1, dtype=np.int64)
+                np.add.at(around, np.maximum(at - NEARBY, 0), 1)
+                np.add.at(around, np.minimum(at + NEARBY + 1, len(h)), -1)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.unique(h[np.cumsum(around[:-1]) > 0]).view(np.int64))})
+
+    found = keyed.join(F.broadcast(marks), ["_k1", "_k2"]).select("text", "marks").mapInArrow(nearby, "h long").distinct()
+    return np.sort(found.toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
 def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, _k1, _k2, n_shingles, component_id) of every row.
 
@@ -87,16 +124,23 @@ def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: in
     """
     keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _document_sets(batches, k):
             columns = [b.column(c) for c in ("doc_id", "_k1", "_k2")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(a) for a in sets], pa.int64()), pa.array(_int64([_set_key(a) for a in sets]))], ["doc_id", "_k1", "_k2", "n_shingles", "sk"])
+            sampled = pa.array([a[a % np.uint64(SAMPLED) == 0].view(np.int64) for a in sets], pa.list_(pa.int64()))
+            facts = [pa.array([len(a) for a in sets], pa.int64()), pa.array(_int64([_set_key(a) for a in sets])), pa.array([bin_counts(a) for a in sets], pa.binary()), sampled]
+            yield pa.RecordBatch.from_arrays([*columns, *facts], ["doc_id", "_k1", "_k2", "n_shingles", "sk", "bins", "sampled"])
+
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    nodes = materialize(keyed.mapInArrow(shape, f"doc_id {id_type}, _k1 long, _k2 long, n_shingles long, sk long, bins binary, sampled array<long>"), "shingle-sets")
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(_common_shingles(nodes, keyed, k))
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _document_sets(batches, k):
             keys = {_set_key(a): a for a in sets if len(a)}
             if keys:
-                own = [set_signatures(a, num, den) for a in keys.values()]
+                own = [set_signatures(a, num, den, common.value) for a in keys.values()]
                 of = np.repeat(np.array(list(keys), dtype=np.uint64), [len(x) for x in own])
                 yield pa.RecordBatch.from_pydict(signature_rows(np.concatenate(own), of))
 
@@ -107,18 +151,20 @@ def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: in
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_int64([_set_key(a) for a in sets])), pa.array([len(a) for a in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["sk", "n", "hashes"])
 
-    id_type = keyed.schema["doc_id"].dataType.simpleString()
-    nodes = materialize(keyed.mapInArrow(sizes, f"doc_id {id_type}, _k1 long, _k2 long, n_shingles long, sk long"), "shingle-sets")
     buckets = materialize(shared_buckets(keyed.select("text").mapInArrow(signatures, SIGNATURES)), "shared-signatures")
-    wanted = buckets.select("sk").union(buckets.select(F.col("hub").alias("sk"))).distinct()
-    rows = nodes.join(wanted, "sk").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")).select("r.*")
-    rows = materialize(rows, "candidate-rows")
-    rows = F.broadcast(rows) if at_most(rows, BROADCAST_KEYS) else rows
-    sets = materialize(keyed.join(rows, ["_k1", "_k2"], "left_semi").select("text").mapInArrow(contents, "sk long, n long, hashes array<long>"), "candidate-sets")
-    comps = linked_classes(buckets, sets, num=num, den=den)
-
-    firsts = nodes.filter("n_shingles > 0").groupBy("sk").agg(F.min("doc_id").alias("first"))
-    placed = firsts.join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
+    # A row of each set; equal sets are summed up before the shuffle.
+    firsts = materialize(nodes.filter("n_shingles > 0").groupBy("sk").agg(F.min("doc_id").alias("first"), F.min(F.struct("_k1", "_k2")).alias("r")), "sets")
+    nodes_of = nodes.select(F.struct("_k1", "_k2").alias("r"), "sk", F.col("n_shingles").alias("n"), "bins")
+    in_buckets = buckets.select("sk").union(buckets.select(F.col("hub").alias("sk"))).distinct()
+    bounds = materialize(nodes_of.join(firsts.join(in_buckets, "sk", "left_semi").select("sk", "r"), ["sk", "r"], "left_semi").select("sk", "n", "bins").distinct(), "set-bounds")
+
+    def fetch(keys: DataFrame) -> DataFrame:
+        rows = materialize(firsts.join(keys, "sk", "left_semi").select("r.*"), "candidate-rows")
+        rows = F.broadcast(rows) if at_most(rows, BROADCAST_KEYS) else rows
+        return materialize(keyed.join(rows, ["_k1", "_k2"], "left_semi").select("text").mapInArrow(contents, "sk long, n long, hashes array<long>"), "candidate-sets")
+
+    comps = linked_classes(buckets, fetch, num=num, den=den, bounds=bounds)
+    placed = firsts.drop("r").join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
     lowest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = placed.join(lowest, "comp").select("sk", "component_id")
     return nodes.join(named, "sk", "left").select("doc_id", "_k1", "_k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,46 +85,90 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return pairs.select(F.when(local, F.col("sig")).otherwise(F.col("p")).alias("sig"), F.when(local, F.col("hub")).otherwise(F.col("first")).alias("hub"), "sk")
 
 
+def bin_counts(a: np.ndarray) -> bytes:
+    """How many hashes of a sorted set fall in each of 2^k equal ranges, about half as many ranges as hashes; up to 255 each."""
+    bits = min(14, max(7, int(len(a) / 2).bit_length()))
+    return np.minimum(np.bincount((a >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(na: int, nb: int, a: bytes, b: bytes, num: int, den: int) -> bool:
+    """Whether two sets can link: the sum of the lesser counts bounds their intersection from above."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if (x == 255).any() or (y == 255).any():
+        return True  # counts that didn't fit
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[::2] + x[1::2]
+        else:
+            y = y[::2] + y[1::2]
+    most = int(np.minimum(x, y).sum())
+    return den * most >= num * (na + nb - most)
+
+
+def possible_links(pairs: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that sizes and bin counts, ``bounds`` (sk, n, bins), don't rule out."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
+            yield b.select(["a", "b"]).filter(pa.array([may_link(*r, num, den) for r in zip(*columns, strict=True)], pa.bool_()))
+
+    sizes = bounds.select("sk", "n")
+    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    fit = pairs.join(sizes.select(F.col("sk").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sk").alias("b"), F.col("n").alias("nb")), "b").filter(near)
+    with_a = fit.join(bounds.select(F.col("sk").alias("a"), F.col("bins").alias("xa")), "a")
+    both = with_a.join(bounds.select(F.col("sk").alias("b"), F.col("bins").alias("xb")), "b")
+    return both.mapInArrow(possible, "a long, b long")
+
+
 def verified_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` with den * intersection >= num * union; ``sets`` has (sk, n, hashes)."""
     left = sets.select(F.col("sk").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("sk").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    sizes = sets.select("sk", "n").distinct()
-    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    fit = pairs.join(sizes.select(F.col("sk").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sk").alias("b"), F.col("n").alias("nb")), "b").filter(near).select("a", "b")
-    both = fit.join(left, "a").join(right, "b")
+    both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("ha", "hb"))
     return both.filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def linked_classes(buckets: DataFrame, sets: DataFrame, *, num: int, den: int, star_rounds: int = 2) -> DataFrame:
+def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, num: int, den: int, bounds: DataFrame | None = None, star_rounds: int = 3) -> DataFrame:
     """(node, comp): the components of all links between sets that share a signature.
 
     First every set is compared with its bucket's hub, which takes as many comparisons as rows. Sets
     that are then in one component need not be compared. What is left are buckets that still hold several
     components: again a star, about another hub, for ``star_rounds`` times; then all pairs of different components,
-    the exact way for the rest. ``buckets`` (sig, hub, sk) and ``sets`` (sk, n, hashes) are read several times.
+    the exact way for the rest. ``buckets`` has (sig, hub, sk); ``fetch`` gives the sets (sk, n, hashes)
+    of a table of keys (sk); ``bounds``, if given, rules pairs out before their sets are fetched.
     """
-    links = materialize(verified_links(buckets.select(F.col("hub").alias("a"), F.col("sk").alias("b")).distinct(), sets, num, den), "links")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        possible = materialize(pairs if bounds is None else possible_links(pairs, bounds, num, den), "possible-links")
+        keys = possible.select(F.col("a").alias("sk")).union(possible.select(F.col("b").alias("sk"))).distinct()
+        return materialize(verified_links(possible, fetch(keys), num, den), "links")
+
+    links = links_of(buckets.select(F.col("hub").alias("a"), F.col("sk").alias("b")).distinct())
     comps = materialize(connected_components(links), "components")
     members = buckets.select("sig", "sk").union(buckets.select("sig", F.col("hub").alias("sk"))).distinct()
     several = members.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 2").select("sig")
     members = materialize(members.join(several, "sig"), "bucket-members")
     for turn in range(star_rounds + 1):
         placed = members.join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
-        # Of each component in a bucket one member in a star's turn; every member in the last.
-        mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sk", "comp"), F.xxhash64("sk", F.lit(turn))).alias("other")).filter("lo <> hi")
-        left = materialize(placed.join(mixed, "sig").select("sig", "sk", "comp", "other"), "open-buckets")
+        mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sk", "comp"), F.xxhash64("sk", "sig", F.lit(turn))).alias("other")).filter("lo <> hi")
+        members = materialize(placed.join(mixed, "sig").select("sig", "sk", "comp", "other"), "open-buckets")
+        if members.isEmpty():
+            break
         if turn < star_rounds:
-            pairs = left.filter("comp <> other.comp").select(F.least("sk", "other.sk").alias("a"), F.greatest("sk", "other.sk").alias("b")).distinct()
+            pairs = members.filter("comp <> other.comp").select(F.least("sk", "other.sk").alias("a"), F.greatest("sk", "other.sk").alias("b")).distinct()
         else:
-            x, y = left.select("sig", F.col("sk").alias("a"), F.col("comp").alias("ca")), left.select("sig", F.col("sk").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "sig").filter("a < b AND ca <> cb").select("a", "b").distinct()
-        more = materialize(verified_links(pairs, sets, num, den), "links")
-        if more.isEmpty():
-            if left.isEmpty():
-                break
-            continue
-        links = links.union(more)
-        comps = materialize(connected_components(links), "components")
+            # Each pair is made once, in the least of the signatures that both have.
+            own = members.groupBy("sk").agg(F.collect_set("sig").alias("sigs"))  # no more than a set's signatures
+            full = materialize(members.select("sig", "sk", "comp").join(own, "sk"), "open-members")
+            x, y = (full.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in full.columns if c != "sig"]) for side in "ab")
+            here = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == x["sig"]
+            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("sk_a") < F.col("sk_b")) & (F.col("comp_a") != F.col("comp_b")) & here).select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b"))
+        members = members.select("sig", "sk")
+        more = links_of(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = materialize(connected_components(links), "components")
     return comps
