@@ -10,6 +10,7 @@ from cellgrove.llm.pii import op8_pii
 from cellgrove.llm.quality_classifier import op4_quality_classifier
 from cellgrove.llm.quality_rules import op5_quality_rules
 from cellgrove.llm.sharding import op3_shuffle_shards
+from cellgrove.llm.substring_dedup import op10_substring_dedup
 from cellgrove.llm.warc import OP9_SQL, op9_warc_chunks
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_warc_chunks": op9_warc_chunks,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {
     "op1_mix_sources": OP1_SQL,
