@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgrove.llm.text import whole
+from cellgrove.scratch import materialize
 
 SHARDS, SEED = 16, 20240
 #: Text bytes that one bucket of the first pass is meant to hold, and the fewest buckets.
@@ -44,6 +44,8 @@ def with_shards(docs: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED, bu
     for r in parts:
         split = F.when(F.col("_home") == r["_home"], F.lit(r["_parts"])).otherwise(split)
     rows = rows.withColumn("bucket", F.col("_home") + n_buckets * F.pmod(F.monotonically_increasing_id(), split.cast("long")) if parts else F.col("_home")).drop("_home")
+    if parts:  # the spread depends on the order of rows, so it is decided once
+        rows = materialize(rows, "shard-buckets")
 
     counts = rows.groupBy("bucket").agg(F.count("*").alias("_n"))
     starts = counts.select(F.col("bucket").alias("_b"), (F.sum("_n").over(Window.orderBy("bucket")) - F.col("_n")).alias("_start"))  # a row a bucket
