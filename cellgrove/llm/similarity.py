@@ -160,12 +160,8 @@ def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame],
         if turn < star_rounds:
             pairs = members.filter("comp <> other.comp").select(F.least("sk", "other.sk").alias("a"), F.greatest("sk", "other.sk").alias("b")).distinct()
         else:
-            # Each pair is made once, in the least of the signatures that both have.
-            own = members.groupBy("sk").agg(F.collect_set("sig").alias("sigs"))  # no more than a set's signatures
-            full = materialize(members.select("sig", "sk", "comp").join(own, "sk"), "open-members")
-            x, y = (full.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in full.columns if c != "sig"]) for side in "ab")
-            here = F.array_min(F.array_intersect("sigs_a", "sigs_b")) == x["sig"]
-            pairs = x.join(y, (x["sig"] == y["sig"]) & (F.col("sk_a") < F.col("sk_b")) & (F.col("comp_a") != F.col("comp_b")) & here).select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b"))
+            x, y = (members.select("sig", F.col("sk").alias(f"sk_{side}"), F.col("comp").alias(f"comp_{side}")) for side in "ab")
+            pairs = x.join(y, "sig").filter("sk_a < sk_b AND comp_a <> comp_b").select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b")).distinct()
         members = members.select("sig", "sk")
         more = links_of(pairs)
         if not more.isEmpty():
