@@ -361,6 +361,13 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.baseline(every)
 
 
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Composition features, patient-level folds of one seed, logistic regressions of all folds at once, exact metrics, summary."""
+    f, m = _task(spark, d)
+    out = pipelines.cross_validate(f, m, m.select("region_id", "label"), kind="binary", seeds=[0], stratify="label")
+    return pipelines.baseline(out.select(F.lit("label").alias("task"), F.lit("cv").alias("scheme"), "metric", "value"))
+
+
 @query("l6_expression_baseline")
 def l6(spark: SparkSession, d: str) -> DataFrame:
     cells, m = fx.event_cells(spark, d), fx.event_metadata(spark, d)
