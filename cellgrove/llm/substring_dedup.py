@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +23,8 @@ MAX_WORDS = 64
 #: Runs of repeated paragraphs of fewer words are set phrases, not passages.
 MIN_RUN = 16
 BROADCAST_KEYS = 300_000
+#: Texts whose paragraphs a task holds at once.
+ROWS_AT_ONCE = 2_000
 _A = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -47,44 +48,49 @@ def paragraph_starts(w: np.ndarray, radius: int = RADIUS, longest: int = MAX_WOR
     return cuts
 
 
-def paragraph_sets(w: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first word, end, sorted shingle hashes) of each paragraph of a shingle's length or more."""
+def paragraphs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the paragraphs of a shingle's length or more: first words, ends, keys, and all their shingle hashes with the places where each begins.
+
+    A key is a hash of the sum of the mixed shingle hashes.
+    """
+    none = np.zeros(0, dtype=np.int64)
     if len(w) < SHINGLE_WORDS:
-        return
+        return none, none, none.view(np.uint64), none.view(np.uint64), none
     starts = paragraph_starts(w)
     ends = np.r_[starts[1:], len(w)]
     h = shingle_hashes(w)
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        if e - s >= SHINGLE_WORDS:
-            yield s, e, np.unique(h[s : e - SHINGLE_WORDS + 1])
-
-
-def _key(a: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(a.tobytes())
-
-
-def _signed(values) -> np.ndarray:
-    return np.array(values, dtype=np.uint64).view(np.int64)
+    across = (starts[1:, None] - np.arange(1, SHINGLE_WORDS)).ravel()
+    inside = np.ones(len(h), dtype=bool)
+    inside[across[(across >= 0) & (across < len(h))]] = False
+    counts = np.maximum(0, ends - starts - SHINGLE_WORDS + 1)
+    kept = counts > 0
+    if not kept.any():
+        return none, none, none.view(np.uint64), none.view(np.uint64), none
+    at = np.r_[0, np.cumsum(counts[kept])[:-1]]
+    h = h[inside]
+    return starts[kept], ends[kept], mix(np.add.reduceat(mix(h), at)), h, at
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     names = ["_k1", "_k2", "first_word", "end_word", "sk"]
-    for b in batches:
-        row, first, end, keys = [], [], [], []
-        for i, t in enumerate(b.column("text").to_pylist()):
-            for s, e, a in paragraph_sets(word_hashes(t, known)):
-                row.append(i), first.append(s), end.append(e), keys.append(_key(a))
-        at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("_k1").take(at), b.column("_k2").take(at), pa.array(first, pa.int32()), pa.array(end, pa.int32()), pa.array(_signed(keys))], names)
-
-
-def band_signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS signatures for each set: each hashes BAND_ROWS minima."""
-    flat = np.concatenate(sets)
-    starts = np.cumsum([0, *[len(a) for a in sets[:-1]]])
+    for b in _slices(batches):
+        found = [paragraphs(word_hashes(t, known))[:3] for t in b.column("text").to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        first, end, keys = (np.concatenate([f[i] for f in found]) for i in range(3))
+        yield pa.RecordBatch.from_arrays([b.column("_k1").take(at), b.column("_k2").take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(keys.view(np.int64))], names)
+
+
+def band_signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of BANDS signatures for each set of hashes: each hashes BAND_ROWS minima."""
     minima = np.stack([np.minimum.reduceat(mix(flat * c), starts) for c in _A])
-    out = np.zeros((BANDS, len(sets)), dtype=np.uint64)
+    out = np.zeros((BANDS, len(starts)), dtype=np.uint64)
     for band in range(BANDS):
         for r in range(BAND_ROWS):
             out[band] = mix(out[band] + minima[band * BAND_ROWS + r] + np.uint64(band + 1))
@@ -93,30 +99,29 @@ def band_signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
-    for b in batches:
-        found: dict[int, np.ndarray] = {}
-        for t in b.column("text").to_pylist():
-            for _, _, a in paragraph_sets(word_hashes(t, known)):
-                found.setdefault(_key(a), a)
+    for b in _slices(batches):
+        found = [f for t in b.column("text").to_pylist() if len((f := paragraphs(word_hashes(t, known)))[0])]
         if found:
-            of = np.repeat(np.array(list(found), dtype=np.uint64), BANDS)
-            yield pa.RecordBatch.from_pydict(signature_rows(band_signatures(list(found.values())).reshape(-1), of))
+            shift = np.cumsum([0, *[len(f[3]) for f in found[:-1]]])
+            keys = np.concatenate([f[2] for f in found])
+            signed = band_signatures(np.concatenate([f[3] for f in found]), np.concatenate([f[4] + s for f, s in zip(found, shift, strict=True)]))
+            yield pa.RecordBatch.from_pydict(signature_rows(signed.reshape(-1), np.repeat(keys, BANDS)))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the wanted paragraphs of each text."""
     known = WordHashes()
-    for b in batches:
+    for b in _slices(batches):
         found: dict[int, np.ndarray] = {}
         for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            wanted = set(wanted)
-            for _, _, a in paragraph_sets(word_hashes(t, known)):
-                if (k := _key(a)) - (k >> 63 << 64) in wanted:
-                    found.setdefault(k, a)
+            _, _, keys, h, at = paragraphs(word_hashes(t, known))
+            ends = np.r_[at[1:], len(h)]
+            for i in np.flatnonzero(np.isin(keys.view(np.int64), np.array(wanted, dtype=np.int64))):
+                found.setdefault(int(keys.view(np.int64)[i]), np.unique(h[at[i] : ends[i]]))
         if found:
             ends = np.cumsum([0, *[len(a) for a in found.values()]]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(found.values())).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(list(found))), pa.array([len(a) for a in found.values()], pa.int64()), values], ["sk", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([len(a) for a in found.values()], pa.int64()), values], ["sk", "n", "hashes"])
 
 
 def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
@@ -143,7 +148,7 @@ def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
         holders = F.broadcast(holders) if at_most(holders.select(F.explode("wanted")), BROADCAST_KEYS) else holders
         return materialize(keyed.select("_k1", "_k2", "text").join(holders, ["_k1", "_k2"]).select("text", "wanted").mapInArrow(_contents, "sk long, n long, hashes array<long>"), "candidate-sets")
 
-    comps = linked_classes(buckets, fetch, num=NUM, den=DEN)
+    comps = linked_classes(buckets, fetch, num=NUM, den=DEN, star_rounds=1)
 
     # Firsts and holders of a class are minima taken before the shuffle, so that a passage that very many documents have is no hot group.
     order = F.struct("_k1", "_k2", "first_word")
