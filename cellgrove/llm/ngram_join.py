@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, WordHashes, bin_counts, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, word_hashes
+from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, bin_counts, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, text_slices, word_hashes
 from cellgrove.llm.text import row_key, whole
 from cellgrove.scratch import at_most, materialize
 
@@ -20,8 +20,6 @@ NUM, DEN = 75, 100
 PARTS = 0.42
 #: Row keys of sets to look at again: up to so many (about 20 MB) are broadcast, more are joined by shuffle.
 BROADCAST_KEYS = 300_000
-#: Texts whose sets a task holds at once.
-ROWS_AT_ONCE = 2_000
 #: Shingles of passages that many documents share make poor signatures. One shingle in SAMPLED (by hash) is counted over all
 #: documents; those of COMMON documents or more, the MOST_COMMON most frequent, mark what is within NEARBY words of them in one document
 #: as common (at most 81 * 20,000 hashes, 13 MB, sent to the tasks). Which shingles are marked changes the cost, never the result.
@@ -76,12 +74,16 @@ def set_signatures(a: np.ndarray, num: int = NUM, den: int = DEN, common: np.nda
     return np.concatenate(out)
 
 
+def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows with the shingle hashes of each text, in order."""
+    for b in text_slices(batches):
+        w, at = word_hashes(b.column("text"))
+        yield b, [shingle_hashes(w[i:j], k) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def _document_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    known = WordHashes()
-    for whole_batch in batches:
-        for at in range(0, whole_batch.num_rows, ROWS_AT_ONCE):
-            b = whole_batch.slice(at, ROWS_AT_ONCE)
-            yield b, [np.unique(shingle_hashes(word_hashes(t, known), k)) for t in b.column("text").to_pylist()]
+    for b, found in _shingles(batches, k):
+        yield b, [np.unique(h) for h in found]
 
 
 def _set_key(a: np.ndarray) -> int:
@@ -99,10 +101,8 @@ def _common_shingles(nodes: DataFrame, keyed: DataFrame, k: int) -> np.ndarray:
     marks = materialize(top.groupBy("r").agg(F.collect_list("h").alias("marks")).select("r.*", "marks"), "common-marks")
 
     def nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in batches:
-            for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
-                h = shingle_hashes(word_hashes(t, known), k)
+        for b, found in _shingles(batches, k):
+            for h, m in zip(found, b.column("marks").to_pylist(), strict=True):
                 at = np.flatnonzero(np.isin(h, np.array(m, dtype=np.int64).view(np.uint64)))
                 around = np.zeros(len(h) + 1, dtype=np.int64)
                 np.add.at(around, np.maximum(at - NEARBY, 0), 1)

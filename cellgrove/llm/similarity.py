@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +15,36 @@ from cellgrove.llm.components import connected_components
 from cellgrove.scratch import materialize
 
 SHINGLE_WORDS = 5
-#: Hashes of words that a task keeps at hand.
-CACHED_WORDS = 500_000
+#: Texts, and bytes of texts unless one alone is longer, whose words a task holds at once.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2_000, 4_000_000
 _COEFFICIENTS = np.random.default_rng(20240).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: A random value for each byte: the same for A-Z and a-z, none for ASCII white space.
+_BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_BYTES[[0x20, *range(0x09, 0x0E)]] = 0
+#: Weights of byte positions are powers of an odd number, so modulo 2^64 each has an inverse.
+_POWER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_POWER, -1, 1 << 64)
+
 SIGNATURES = "p long, sig long, sk long, hub long"
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed when first seen."""
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of at most ROWS_AT_ONCE texts (binary) and BYTES_AT_ONCE bytes, or one longer text."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(at + ROWS_AT_ONCE, int(np.searchsorted(ends, before + BYTES_AT_ONCE, "right"))))
+            yield b.slice(at, stop - at)
+            at = stop
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,10 +56,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(text: bytes | None, known: WordHashes) -> np.ndarray:
-    """Of the words of a UTF-8 text, A-Z lower-cased; bytes.split() and lower() act on ASCII alone."""
-    w = (text or b"").lower().split()
-    return np.array(list(map(known.__getitem__, w)), dtype=np.uint64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 texts (binary, no nulls), A-Z lower-cased, and where each text's words begin and the last's end.
+
+    A word's hash is the mixed sum of its bytes' values times weights by position. Weights are taken from the place in the
+    whole array and divided by that of the word's first byte.
+    """
+    spans = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[spans[0] : spans[-1]]
+    spans = spans - spans[0]
+    values = _BYTES[data]
+    begins = values != 0
+    begins[1:] &= values[:-1] == 0
+    first_bytes = spans[:-1][spans[:-1] < spans[1:]]
+    begins[first_bytes] = values[first_bytes] != 0
+    starts = np.flatnonzero(begins)
+    ends = np.searchsorted(starts, spans)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), ends
+    room = 1 << max(20, (len(data) - 1).bit_length())
+    values *= _powers(_POWER, room)[: len(data)]
+    return mix(np.add.reduceat(values, starts) * _powers(_INVERSE, room)[starts]), ends
 
 
 def shingle_hashes(w: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, WordHashes, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, word_hashes
+from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, text_slices, word_hashes
 from cellgrove.llm.text import row_key, whole
 from cellgrove.scratch import at_most, materialize
 
@@ -23,67 +23,67 @@ MAX_WORDS = 64
 #: Runs of repeated paragraphs of fewer words are set phrases, not passages.
 MIN_RUN = 16
 BROADCAST_KEYS = 300_000
-#: Texts whose paragraphs a task holds at once.
-ROWS_AT_ONCE = 2_000
 _A = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def paragraph_starts(w: np.ndarray, radius: int = RADIUS, longest: int = MAX_WORDS) -> np.ndarray:
-    """Word positions at which the paragraphs of a text with word hashes ``w`` begin.
+def paragraph_starts(w: np.ndarray, at: np.ndarray, radius: int = RADIUS, longest: int = MAX_WORDS) -> np.ndarray:
+    """Word positions at which the paragraphs of texts begin; text i has the word hashes ``w[at[i] : at[i + 1]]``.
 
     The cuts depend on the words around them alone, so a passage that is copied into another text is cut there
-    in the same places, but for ``radius`` + 2 words at its ends.
+    in the same places, but for ``radius`` + 2 words at its ends. Texts of fewer than 2 * ``radius`` words are one paragraph.
     """
-    if len(w) < 2 * radius:
-        return np.zeros(min(1, len(w)), dtype=np.int64)
-    h = mix(w[:-2] * _A[0] + w[1:-1] * _A[1] + w[2:] * _A[2])
-    full = np.r_[np.full(radius, np.iinfo(np.uint64).max), h, np.full(radius, np.iinfo(np.uint64).max)]
-    around = np.lib.stride_tricks.sliding_window_view(full, radius)
-    before, after = around[: len(h)].min(axis=1), around[radius + 1 : radius + 1 + len(h)].min(axis=1)
-    cuts = np.flatnonzero((h < before) & (h <= after))
-    cuts = np.unique(np.r_[0, cuts])
-    gaps = np.diff(np.r_[cuts, len(w)])
-    if (gaps > longest).any():
-        cuts = np.concatenate([np.arange(c, c + g, longest) for c, g in zip(cuts, gaps, strict=True)])
-    return cuts
-
-
-def paragraphs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the paragraphs of a shingle's length or more: first words, ends, keys, and all their shingle hashes with the places where each begins.
-
-    A key is a hash of the sum of the mixed shingle hashes.
+    never, counts = np.iinfo(np.uint64).max, np.diff(at)
+    h = np.full(len(w), never)
+    h[:-2] = mix(w[:-2] * _A[0] + w[1:-1] * _A[1] + w[2:] * _A[2])
+    filled = counts > 0
+    firsts, lasts = at[:-1][filled], at[1:][filled] - 1
+    h[np.r_[lasts, np.maximum(lasts - 1, firsts)]] = never
+    h[np.repeat(counts < 2 * radius, counts)] = never
+    # Texts lie apart by radius places, so that no place looks into another text.
+    places = np.arange(len(w)) + radius * (1 + np.repeat(np.arange(len(counts)), counts))
+    full = np.full(len(w) + radius * (len(counts) + 1), never)
+    full[places] = h
+    least = full[: len(full) - radius + 1].copy()
+    for i in range(1, radius):
+        np.minimum(least, full[i : len(full) - radius + 1 + i], out=least)
+    begins = (h < least[places - radius]) & (h <= least[places + 1])
+    begins[firsts] = True
+    cuts = np.flatnonzero(begins)
+    pieces = -(-np.diff(np.r_[cuts, len(w)]) // longest)
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(cuts, pieces) + longest * within
+
+
+def paragraphs(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the paragraphs of a shingle's length or more: texts, first words, ends, keys, and all their shingle hashes with the places where each begins.
+
+    Texts are as in `paragraph_starts`. A key is a hash of the sum of the mixed shingle hashes.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(w) < SHINGLE_WORDS:
-        return none, none, none.view(np.uint64), none.view(np.uint64), none
-    starts = paragraph_starts(w)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
+    starts = paragraph_starts(w, at)
     ends = np.r_[starts[1:], len(w)]
-    h = shingle_hashes(w)
-    across = (starts[1:, None] - np.arange(1, SHINGLE_WORDS)).ravel()
-    inside = np.ones(len(h), dtype=bool)
-    inside[across[(across >= 0) & (across < len(h))]] = False
     counts = np.maximum(0, ends - starts - SHINGLE_WORDS + 1)
     kept = counts > 0
     if not kept.any():
-        return none, none, none.view(np.uint64), none.view(np.uint64), none
-    at = np.r_[0, np.cumsum(counts[kept])[:-1]]
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
+    h = shingle_hashes(w)
+    across = (ends[:, None] - np.arange(1, SHINGLE_WORDS)).ravel()
+    inside = np.ones(len(h), dtype=bool)
+    inside[across[(across >= 0) & (across < len(h))]] = False
     h = h[inside]
-    return starts[kept], ends[kept], mix(np.add.reduceat(mix(h), at)), h, at
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS_AT_ONCE):
-            yield b.slice(at, ROWS_AT_ONCE)
+    places = np.r_[0, np.cumsum(counts[kept])[:-1]]
+    starts, ends = starts[kept], ends[kept]
+    of = np.searchsorted(at, starts, "right") - 1
+    return of, starts - at[of], ends - at[of], mix(np.add.reduceat(mix(h), places)), h, places
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
     names = ["_k1", "_k2", "first_word", "end_word", "sk"]
-    for b in _slices(batches):
-        found = [paragraphs(word_hashes(t, known))[:3] for t in b.column("text").to_pylist()]
-        at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        first, end, keys = (np.concatenate([f[i] for f in found]) for i in range(3))
+    for b in text_slices(batches):
+        of, first, end, keys, _, _ = paragraphs(*word_hashes(b.column("text")))
+        at = pa.array(of)
         yield pa.RecordBatch.from_arrays([b.column("_k1").take(at), b.column("_k2").take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(keys.view(np.int64))], names)
 
 
@@ -98,30 +98,25 @@ def band_signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for b in _slices(batches):
-        found = [f for t in b.column("text").to_pylist() if len((f := paragraphs(word_hashes(t, known)))[0])]
-        if found:
-            shift = np.cumsum([0, *[len(f[3]) for f in found[:-1]]])
-            keys = np.concatenate([f[2] for f in found])
-            signed = band_signatures(np.concatenate([f[3] for f in found]), np.concatenate([f[4] + s for f, s in zip(found, shift, strict=True)]))
-            yield pa.RecordBatch.from_pydict(signature_rows(signed.reshape(-1), np.repeat(keys, BANDS)))
+    for b in text_slices(batches):
+        _, _, _, keys, h, places = paragraphs(*word_hashes(b.column("text")))
+        if len(keys):
+            yield pa.RecordBatch.from_pydict(signature_rows(band_signatures(h, places).reshape(-1), np.repeat(keys, BANDS)))
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the wanted paragraphs of each text."""
-    known = WordHashes()
-    for b in _slices(batches):
-        found: dict[int, np.ndarray] = {}
-        for t, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            _, _, keys, h, at = paragraphs(word_hashes(t, known))
-            ends = np.r_[at[1:], len(h)]
-            for i in np.flatnonzero(np.isin(keys.view(np.int64), np.array(wanted, dtype=np.int64))):
-                found.setdefault(int(keys.view(np.int64)[i]), np.unique(h[at[i] : ends[i]]))
-        if found:
-            ends = np.cumsum([0, *[len(a) for a in found.values()]]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(found.values())).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([len(a) for a in found.values()], pa.int64()), values], ["sk", "n", "hashes"])
+    """The sets of the wanted paragraphs of the texts."""
+    for b in text_slices(batches):
+        _, _, _, keys, h, places = paragraphs(*word_hashes(b.column("text")))
+        keys, ends = keys.view(np.int64), np.r_[places[1:], len(h)]
+        wanted = b.column("wanted").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        found = np.flatnonzero(np.isin(keys, wanted))
+        rows = found[np.unique(keys[found], return_index=True)[1]]
+        if len(rows):
+            sets = [np.unique(h[places[i] : ends[i]]) for i in rows]
+            bounds = np.cumsum([0, *[len(a) for a in sets]]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(np.diff(bounds).astype(np.int64)), values], ["sk", "n", "hashes"])
 
 
 def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
@@ -139,28 +134,34 @@ def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
     count once. Null doc_ids count as -1 in the order.
     """
     keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
-    places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, "_k1 long, _k2 long, first_word int, end_word int, sk long"), "paragraphs").distinct()
+    places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, "_k1 long, _k2 long, first_word int, end_word int, sk long"), "paragraphs")
     buckets = materialize(shared_buckets(keyed.select("text").mapInArrow(_signatures, SIGNATURES)), "shared-bands")
+    in_buckets = materialize(buckets.select("sk").union(buckets.select(F.col("hub").alias("sk"))).distinct(), "bucket-keys")
+    in_buckets = F.broadcast(in_buckets) if at_most(in_buckets, BROADCAST_KEYS) else in_buckets
+    holding = materialize(places.join(in_buckets, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")), "bucket-rows")
 
     def fetch(keys: DataFrame) -> DataFrame:
-        holders = places.join(keys, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r"))
-        holders = materialize(holders.groupBy("r").agg(F.collect_list("sk").alias("wanted")).select("r.*", "wanted"), "candidate-rows")  # a text's own paragraphs
+        holders = holding.join(keys, "sk", "left_semi").groupBy("r").agg(F.collect_list("sk").alias("wanted"))  # a text's own paragraphs
+        holders = materialize(holders.select("r.*", "wanted"), "candidate-rows")
         holders = F.broadcast(holders) if at_most(holders.select(F.explode("wanted")), BROADCAST_KEYS) else holders
         return materialize(keyed.select("_k1", "_k2", "text").join(holders, ["_k1", "_k2"]).select("text", "wanted").mapInArrow(_contents, "sk long, n long, hashes array<long>"), "candidate-sets")
 
     comps = linked_classes(buckets, fetch, num=NUM, den=DEN, star_rounds=1)
 
     # Firsts and holders of a class are minima taken before the shuffle, so that a passage that very many documents have is no hot group.
-    order = F.struct("_k1", "_k2", "first_word")
-    text = F.struct("_k1", "_k2")
-    classes = places.groupBy("sk").agg(F.min(order).alias("first"), F.min(text).alias("lo"), F.max(text).alias("hi"))
-    classes = classes.join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
-    several = classes.groupBy("comp").agg(F.min("first").alias("keeper"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    order, text = F.struct("_k1", "_k2", "first_word"), F.struct("_k1", "_k2")
+    classes = places.groupBy("sk").agg(F.min(order).alias("first"), F.max(text).alias("hi"))
+    classes = classes.join(comps.withColumnRenamed("node", "sk"), "sk", "left")
+    # Most paragraphs are linked with no other and found in one text; they need not meet others.
+    classes = classes.filter(F.col("comp").isNotNull() | (F.struct("first._k1", "first._k2") != F.col("hi")))
+    classes = materialize(classes.withColumn("comp", F.coalesce("comp", "sk")), "classes")
+    several = classes.groupBy("comp").agg(F.min("first").alias("keeper"), F.max("hi").alias("hi")).filter(F.struct("keeper._k1", "keeper._k2") != F.col("hi"))
     repeated = materialize(classes.select("sk", "comp").join(several, "comp").select("sk", "keeper"), "repeated-classes")
     marked = places.join(repeated, "sk").select("_k1", "_k2", "first_word", "end_word", "keeper", (order != F.col("keeper")).alias("cut"))
     in_text = Window.partitionBy("_k1", "_k2").orderBy("first_word")
+    once = marked.withColumn("_before", F.lag("first_word", 1, -1).over(in_text)).filter("first_word <> _before")  # rows may repeat
     begins = (F.col("first_word") != F.lag("end_word", 1, -1).over(in_text)).cast("int")
-    runs = marked.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_text))
+    runs = once.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_text))
     n = F.when(F.col("cut"), F.col("end_word") - F.col("first_word")).otherwise(0)
     out = runs.groupBy("_k1", "_k2", "_run").agg(
         F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.sum(n).alias("n_removed_words"),
