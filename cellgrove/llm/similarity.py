@@ -27,6 +27,11 @@ _BYTES[[0x20, *range(0x09, 0x0E)]] = 0
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
 
+#: Members of a bucket that are compared with each other in one task; larger buckets are dealt to blocks by hash.
+BLOCK = 1_000
+#: Pairs whose counts a task compares at once.
+PAIRS_AT_ONCE = 50_000
+
 SIGNATURES = "p long, sig long, sk long, hub long"
 
 
@@ -164,13 +169,83 @@ def verified_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return both.filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def _blocks_of_links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Possible links between the blocks x and y of the same bucket; rows come sorted by sig, x, y and block."""
+
+    def groups() -> Iterator[pa.Table]:
+        """The rows in tables that break no group."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                g = np.stack([b.column(c).to_numpy() for c in ("sig", "x", "y")])
+                last = int(np.flatnonzero(np.r_[True, (g[:, 1:] != g[:, :-1]).any(axis=0)])[-1])
+                begun = held and [held[-1].column(c)[-1].as_py() for c in ("sig", "x", "y")] == g[:, 0].tolist()
+                if last or held and not begun:
+                    yield pa.Table.from_batches([*held, b.slice(0, last)])
+                    held = []
+                held.append(b.slice(last))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    for t in groups():
+        sig, x, y, block, sk, comp, n = (t.column(c).to_numpy() for c in ("sig", "x", "y", "block", "sk", "comp", "n"))
+        heads = [np.frombuffer(v, np.uint32) for v in t.column("heads").to_pylist()]
+        if not len(sk):
+            continue
+        counts = np.stack([np.bincount(v >> np.uint32(25), minlength=128) for v in heads]).astype(np.int32)
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        ends = np.r_[np.flatnonzero(new)[1:], len(sk)][np.cumsum(new) - 1]
+        new_block = np.flatnonzero(np.r_[new[1:] | (block[1:] != block[:-1]), True]) + 1
+        block_ends = new_block[np.searchsorted(new_block, np.arange(len(sk)), "right")]
+        # Within a block each row meets those after it, else those of the other block.
+        low = np.where(x == y, np.arange(len(sk)) + 1, block_ends)
+        before = np.r_[0, np.cumsum(ends - low)]
+        for at in range(0, int(before[-1]), PAIRS_AT_ONCE):
+            pair = np.arange(at, min(at + PAIRS_AT_ONCE, int(before[-1])))
+            a = np.searchsorted(before, pair, "right") - 1
+            b = low[a] + pair - before[a]
+            near = (comp[a] != comp[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
+            a, b = a[near], b[near]
+            most = np.minimum(counts[a], counts[b]).sum(axis=1)
+            near = den * most >= num * (n[a] + n[b] - most)
+            a, b = a[near], b[near]
+            # Heads are the first 32 bits of the hashes, so equal hashes have equal heads.
+            most = np.array([len(np.intersect1d(heads[i], heads[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], dtype=np.int64)
+            near = den * most >= num * (n[a] + n[b] - most)
+            a, b = sk[a[near]], sk[b[near]]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def links_within(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between ``members`` (sig, sk, comp) of a signature in different components; ``sets`` has (sk, n, hashes).
+
+    The members of a signature are dealt to blocks of some BLOCK sets by hash, each two blocks meet in a task, and only
+    pairs that the first 32 bits of their hashes don't rule out leave it. So a group of many sets makes no row
+    for each of its pairs, and no task gets more than two blocks.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [(np.array(h, dtype=np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for h in b.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("sk"), b.column("n"), pa.array(short, pa.binary())], ["sk", "n", "heads"])
+
+    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("sk"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sk", "comp")
+    short = sets.mapInArrow(heads, "sk long, n long, heads binary").dropDuplicates(["sk"])
+    met = dealt.join(short, "sk").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "block")
+    pairs = met.mapInArrow(lambda batches: _blocks_of_links(batches, num, den), "a long, b long").distinct()
+    return verified_links(pairs, sets, num, den)
+
+
 def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, num: int, den: int, bounds: DataFrame | None = None, star_rounds: int = 3) -> DataFrame:
     """(node, comp): the components of all links between sets that share a signature.
 
     First every set is compared with its bucket's hub, which takes as many comparisons as rows. Sets
     that are then in one component need not be compared. What is left are buckets that still hold several
-    components: again a star, about another hub, for ``star_rounds`` times; then all pairs of different components,
-    the exact way for the rest. ``buckets`` has (sig, hub, sk); ``fetch`` gives the sets (sk, n, hashes)
+    components: again a star, about another hub, for ``star_rounds`` times; then the members of different components
+    block by block, the exact way for the rest. ``buckets`` has (sig, hub, sk); ``fetch`` gives the sets (sk, n, hashes)
     of a table of keys (sk); ``bounds``, if given, rules pairs out before their sets are fetched.
     """
 
@@ -192,11 +267,10 @@ def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame],
             break
         if turn < star_rounds:
             pairs = members.filter("comp <> other.comp").select(F.least("sk", "other.sk").alias("a"), F.greatest("sk", "other.sk").alias("b")).distinct()
+            more = links_of(pairs)
         else:
-            x, y = (members.select("sig", F.col("sk").alias(f"sk_{side}"), F.col("comp").alias(f"comp_{side}")) for side in "ab")
-            pairs = x.join(y, "sig").filter("sk_a < sk_b AND comp_a <> comp_b").select(F.col("sk_a").alias("a"), F.col("sk_b").alias("b")).distinct()
+            more = materialize(links_within(members.select("sig", "sk", "comp"), fetch(members.select("sk").distinct()), num, den), "links")
         members = members.select("sig", "sk")
-        more = links_of(pairs)
         if not more.isEmpty():
             links = links.union(more)
             comps = materialize(connected_components(links), "components")
