@@ -124,23 +124,31 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
 
 def bin_counts(a: np.ndarray) -> bytes:
-    """How many hashes of a sorted set fall in each of 2^k equal ranges, about half as many ranges as hashes; up to 255 each."""
-    bits = min(14, max(7, int(len(a) / 2).bit_length()))
-    return np.minimum(np.bincount((a >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """How many hashes of a sorted set fall in each of 2^k equal ranges, two to four times as many ranges as hashes.
+
+    Counts take two bits; what is above 3, summed up over all ranges, is in the first four bytes.
+    """
+    bits = min(17, max(7, len(a).bit_length() + 1))
+    full = np.bincount((a >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    c = np.minimum(full, 3).astype(np.uint8)
+    return np.uint32((full - c).sum()).tobytes() + (c[::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
+
+
+def _unpack(bins: bytes) -> tuple[int, np.ndarray]:
+    """The sum of what is above 3, and the counts up to 3, of `bin_counts`."""
+    packed = np.frombuffer(bins, np.uint8, offset=4)
+    return int(np.frombuffer(bins, np.uint32, 1)[0]), ((packed[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).ravel()
 
 
 def may_link(na: int, nb: int, a: bytes, b: bytes, num: int, den: int) -> bool:
     """Whether two sets can link: the sum of the lesser counts bounds their intersection from above."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if (x == 255).any() or (y == 255).any():
-        return True  # counts that didn't fit
-    x, y = x.astype(np.int64), y.astype(np.int64)
+    (over_a, x), (over_b, y) = _unpack(a), _unpack(b)
     while len(x) != len(y):
         if len(x) > len(y):
             x = x[::2] + x[1::2]
         else:
             y = y[::2] + y[1::2]
-    most = int(np.minimum(x, y).sum())
+    most = int(np.minimum(x, y).sum()) + min(over_a, over_b)
     return den * most >= num * (na + nb - most)
 
 
@@ -189,10 +197,11 @@ def _blocks_of_links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> I
 
     for t in groups():
         sig, x, y, block, sk, comp, n = (t.column(c).to_numpy() for c in ("sig", "x", "y", "block", "sk", "comp", "n"))
-        heads = [np.frombuffer(v, np.uint32) for v in t.column("heads").to_pylist()]
+        bins = t.column("bins").to_pylist()
         if not len(sk):
             continue
-        counts = np.stack([np.bincount(v >> np.uint32(25), minlength=128) for v in heads]).astype(np.int32)
+        opened = [_unpack(v) for v in bins]
+        over, counts = np.array([o for o, _ in opened]), np.stack([c.reshape(128, -1).sum(axis=1, dtype=np.int32) for _, c in opened])
         new = np.r_[True, (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
         ends = np.r_[np.flatnonzero(new)[1:], len(sk)][np.cumsum(new) - 1]
         new_block = np.flatnonzero(np.r_[new[1:] | (block[1:] != block[:-1]), True]) + 1
@@ -206,37 +215,38 @@ def _blocks_of_links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> I
             b = low[a] + pair - before[a]
             near = (comp[a] != comp[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
             a, b = a[near], b[near]
-            most = np.minimum(counts[a], counts[b]).sum(axis=1)
+            most = np.minimum(counts[a], counts[b]).sum(axis=1) + np.minimum(over[a], over[b])
             near = den * most >= num * (n[a] + n[b] - most)
             a, b = a[near], b[near]
-            # Heads are the first 32 bits of the hashes, so equal hashes have equal heads.
-            most = np.array([len(np.intersect1d(heads[i], heads[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], dtype=np.int64)
-            near = den * most >= num * (n[a] + n[b] - most)
+            near = np.array([may_link(n[i], n[j], bins[i], bins[j], num, den) for i, j in zip(a, b, strict=True)], dtype=bool)
             a, b = sk[a[near]], sk[b[near]]
             yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def links_within(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between ``members`` (sig, sk, comp) of a signature in different components; ``sets`` has (sk, n, hashes).
+def pairs_within(members: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (sig, sk, comp) of a signature in different components that ``bounds`` (sk, n, bins) doesn't rule out.
 
     The members of a signature are dealt to blocks of some BLOCK sets by hash, each two blocks meet in a task, and only
-    pairs that the first 32 bits of their hashes don't rule out leave it. So a group of many sets makes no row
-    for each of its pairs, and no task gets more than two blocks.
+    pairs that sizes and bin counts allow leave it. So a group of many sets makes no row for each of
+    its pairs, and no task gets more than two blocks.
     """
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            short = [(np.array(h, dtype=np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for h in b.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("sk"), b.column("n"), pa.array(short, pa.binary())], ["sk", "n", "heads"])
-
     blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("sk"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sk", "comp")
-    short = sets.mapInArrow(heads, "sk long, n long, heads binary").dropDuplicates(["sk"])
-    met = dealt.join(short, "sk").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "block")
-    pairs = met.mapInArrow(lambda batches: _blocks_of_links(batches, num, den), "a long, b long").distinct()
-    return verified_links(pairs, sets, num, den)
+    met = dealt.join(bounds, "sk").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "block")
+    return met.mapInArrow(lambda batches: _blocks_of_links(batches, num, den), "a long, b long").distinct()
+
+
+def bounds_of(sets: DataFrame) -> DataFrame:
+    """(sk, n, bins) of ``sets`` (sk, n, hashes)."""
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [bin_counts(np.array(h, dtype=np.int64).view(np.uint64)) for h in b.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("sk"), b.column("n"), pa.array(counts, pa.binary())], ["sk", "n", "bins"])
+
+    return sets.mapInArrow(bins, "sk long, n long, bins binary").dropDuplicates(["sk"])
 
 
 def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, num: int, den: int, bounds: DataFrame | None = None, star_rounds: int = 3) -> DataFrame:
@@ -249,8 +259,8 @@ def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame],
     of a table of keys (sk); ``bounds``, if given, rules pairs out before their sets are fetched.
     """
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        possible = materialize(pairs if bounds is None else possible_links(pairs, bounds, num, den), "possible-links")
+    def links_of(pairs: DataFrame, narrow: bool = True) -> DataFrame:
+        possible = materialize(possible_links(pairs, bounds, num, den) if narrow and bounds is not None else pairs, "possible-links")
         keys = possible.select(F.col("a").alias("sk")).union(possible.select(F.col("b").alias("sk"))).distinct()
         return materialize(verified_links(possible, fetch(keys), num, den), "links")
 
@@ -267,9 +277,10 @@ def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame],
             break
         if turn < star_rounds:
             pairs = members.filter("comp <> other.comp").select(F.least("sk", "other.sk").alias("a"), F.greatest("sk", "other.sk").alias("b")).distinct()
-            more = links_of(pairs)
         else:
-            more = materialize(links_within(members.select("sig", "sk", "comp"), fetch(members.select("sk").distinct()), num, den), "links")
+            known = bounds_of(fetch(members.select("sk").distinct())) if bounds is None else bounds
+            pairs = pairs_within(members.select("sig", "sk", "comp"), known, num, den)
+        more = links_of(pairs, turn < star_rounds)
         members = members.select("sig", "sk")
         if not more.isEmpty():
             links = links.union(more)
