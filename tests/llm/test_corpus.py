@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,33 @@ def test_decontamination(spark, docs, texts, empty):
     assert decontamination.phrase_matches(near, phrase, slop=1).count() > 0
 
 
+def test_word_hashes():
+    """Equal words, but for the case of A-Z, have equal hashes, wherever they stand; no word reaches into the next text."""
+    texts = [b"", b"  ", b"a B", b" ab", b"A\tb\n", "é É".encode(), b"x" * 5000, b"ab a", b"b"]
+    w, at = similarity.word_hashes(pa.array(texts, pa.binary()).slice(1))
+    split = [t.lower().split() for t in texts[1:]]
+    assert np.diff(at).tolist() == [len(s) for s in split]
+    flat = [x for s in split for x in s]
+    assert len(set(flat)) == len(set(w.tolist())) == len(set(zip(flat, w.tolist(), strict=True)))
+    assert all(len(x) == 0 for x in substring_dedup.paragraphs(*similarity.word_hashes(pa.array([], pa.binary()))))
+
+
+def test_blocks_of_links():
+    """No pair that links is lost, however rows fall to batches and pairs to pieces."""
+    rng = np.random.default_rng(1)
+    base, sets = rng.integers(0, 2**64, 200, dtype=np.uint64), []
+    for _ in range(40):
+        v, k = base.copy(), rng.integers(0, 60)
+        v[rng.choice(200, k, replace=False)] = rng.integers(0, 2**64, k, dtype=np.uint64)
+        sets.append(np.unique(v))
+    rows = sorted((sig, min(i % 3, o), max(i % 3, o), i % 3, i, i, len(sets[i]), similarity.bin_counts(sets[i])) for sig in (5, 9) for i in range(40) for o in range(3))
+    t = pa.table(dict(zip(["sig", "x", "y", "block", "sk", "comp", "n", "bins"], map(list, zip(*rows, strict=True)), strict=True)))
+    links = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    for size in (1, 7, 1000):
+        found = similarity._blocks_of_links(iter(t.to_batches(size)), 75, 100)
+        assert links <= {p for b in found for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)}
+
+
 def test_substring_dedup(docs, texts, empty):
     found = substring_dedup.repeated_passages(docs).collect()
     ids = {r.doc_id for r in found}
