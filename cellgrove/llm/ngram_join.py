@@ -114,13 +114,14 @@ def _common_shingles(nodes: DataFrame, keyed: DataFrame, k: int) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, _k1, _k2, n_shingles, component_id) of every row.
+    """(doc_id, _k1, _k2, n_shingles, comp, component_id) of every row.
 
     A document's set are its distinct k-word shingles, as 64-bit hashes (a document of fewer words is one shingle). Rows
     link when den * intersection >= num * union; component_id is the smallest doc_id reachable. Equal
     sets are one node. Candidates come from `set_signatures`, each is verified, and no pair is skipped but within
     what is one component already. Null or empty texts have no shingles and are linked with nothing.
-    Repeated rows are equal sets. A null doc_id is never the smallest of a component.
+    Repeated rows are equal sets. A null doc_id is never the smallest of a component. comp tells components apart
+    whatever their ids are (null without shingles).
     """
     keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
 
@@ -166,18 +167,23 @@ def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: in
     comps = linked_classes(buckets, fetch, num=num, den=den, bounds=bounds)
     placed = firsts.drop("r").join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
     lowest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = placed.join(lowest, "comp").select("sk", "component_id")
-    return nodes.join(named, "sk", "left").select("doc_id", "_k1", "_k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = placed.join(lowest, "comp").select("sk", "comp", "component_id")
+    own = F.col("n_shingles") > 0
+    return nodes.join(named, "sk", "left").select("doc_id", "_k1", "_k2", "n_shingles", F.when(own, F.col("comp")).alias("comp"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that have the smallest doc_id of their component; of repeated rows one."""
+    """Of each component one document: the smallest doc_id (null last), then the smallest _k2; of repeated rows one.
+
+    Rows without shingles are linked with nothing and all stay, but for repeated ones.
+    """
     found = jaccard_components(docs, **options)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id"))).select("_k1", "_k2", F.coalesce("component_id", "doc_id").alias("_c"))
-    firsts = firsts.groupBy("_k1", "_c").agg(F.min("_k2").alias("_k2")).select("_k1", "_k2").distinct()
+    lone = F.col("comp").isNull()
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "_k1", "_k2")
+    firsts = found.groupBy("comp", F.when(lone, F.col("_k1")).alias("l1"), F.when(lone, F.col("_k2")).alias("l2")).agg(F.min(row).alias("r")).select("r._k1", "r._k2")
     k1, k2 = row_key()
     kept = docs.withColumns({"_k1": k1, "_k2": k2}).join(firsts, ["_k1", "_k2"], "left_semi")
-    one = Window.partitionBy("_k1", "_k2").orderBy(F.lit(1))
+    one = Window.partitionBy("_k1", "_k2").orderBy(F.col("doc_id").asc_nulls_last())
     return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns)
 
 

@@ -156,6 +156,19 @@ def test_ngram_join(docs, texts, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_keep_one_of_null_and_equal_ids(spark):
+    """Unrelated texts stay, whatever their ids; linked ones go, also across null and equal ids."""
+    rng = random.Random(11)
+    t = [prose(rng, 60) for _ in range(9)]
+    near = " ".join(t[0].split()[:-1] + ["changed"])
+    rows = [(None, t[0]), (None, near), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (7, t[5]), (7, t[5]), (8, t[6]), (None, t[6]), (-1, t[7]), (None, t[7]), (9, t[8]), (7, t[8]), (None, ""), (None, " "), (5, ""), (6, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], SCHEMA).repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()]
+    fixed = [(None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (7, t[5]), (8, t[6]), (-1, t[7]), (7, t[8]), (None, ""), (None, " "), (5, ""), (6, "")]
+    assert [x for x in kept if x[1] in (t[0], near)] in ([(None, t[0])], [(None, near)])
+    assert sorted(map(str, kept)) == sorted(map(str, fixed + [x for x in kept if x[1] in (t[0], near)]))
+
+
 def test_signatures_never_miss():
     """Random pairs at the threshold, of many sizes and with any common elements, share a signature."""
     rng = np.random.default_rng(4)
