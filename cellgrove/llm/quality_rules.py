@@ -11,6 +11,8 @@ from cellgrove.llm.text import SPACE, let, lines, strip_space, whole, words
 from cellgrove.scratch import at_most, materialize
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
+#: Distinct words are counted in windows of so many words, since their share in a whole text falls with its length.
+SHARE_WORDS = 100
 SYMBOLS = "#*$%&|<>"
 #: A bucket of the sketch spans values within a factor GAMMA (2 % relative error); values below ZERO share one bucket.
 GAMMA, ZERO = 1.04, 1e-4
@@ -24,7 +26,7 @@ RULES = {
     "symbol_ratio": (1, 0.5, 4.0, 0.02),
     "dup_line_ratio": (1, 0.75, 3.0, 0.50),
     "repeat_ratio": (1, 0.75, 3.0, 0.30),
-    "distinct_word_ratio": (-1, 0.25, 2.0, 0.30),
+    "distinct_share": (-1, 0.25, 2.0, 0.30),
     "mean_word_chars": (1, 0.75, 1.6, 9.0),
     "short_word_chars": (-1, 0.25, 1.6, 3.0),
 }
@@ -49,8 +51,20 @@ def _covered_words(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW, 0).when(hashes, repeated(exact)).otherwise(0).cast("long")
 
 
+def _distinct_share(w: Column) -> Column:
+    """Mean share of distinct words over the SHARE_WORDS-word windows that follow each other in array ``w``.
+
+    The last window ends with the text, so that all have the same length; a shorter text is one window.
+    """
+    n = F.size(w)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(SHARE_WORDS))
+    counts = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(w, F.greatest(F.least(i, n - SHARE_WORDS), F.lit(0)) + 1, SHARE_WORDS))))
+    share = let(counts, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x) / (F.size(c) * F.least(n, F.lit(SHARE_WORDS))))
+    return F.when(n > 0, share).otherwise(1.0)
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines``, ``n_repeat_words`` and ``n_distinct_words`` of the whole texts."""
+    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines``, ``n_repeat_words``, ``n_distinct_words`` and ``distinct_share`` of the whole texts."""
     full = docs.withColumns({"_t": whole(), "_w": words(whole()), "_l": F.filter(lines(whole()), lambda x: strip_space(x) != "")})
     length = F.length("_t")
     return full.withColumns({
@@ -61,6 +75,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         "n_repeat_words": _covered_words(F.col("_w")),
         "n_distinct_words": F.size(F.array_distinct("_w")).cast("long"),
+        "distinct_share": _distinct_share(F.col("_w")),
     }).drop("_t", "_w", "_l")
 
 
@@ -71,7 +86,7 @@ def _values() -> dict[str, Column]:
         "symbol_ratio": F.col("n_symbols") / chars,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_ratio": F.col("n_repeat_words") / n,
-        "distinct_word_ratio": F.when(F.col("n_words") > 0, F.col("n_distinct_words")).otherwise(1) / n,
+        "distinct_share": F.col("distinct_share"),
         "mean_word_chars": F.col("word_chars") / n,
         "short_word_chars": F.col("word_chars") / n,
     }
@@ -124,7 +139,7 @@ def assess(docs: DataFrame, *, carry: list[str] | None = None) -> DataFrame:
     statistics are written to the shared folder, and sketches and verdicts come from there. Columns named
     like an added one are replaced.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "base_failed", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "distinct_share", "base_failed", "kept"]
     kept_columns = [c for c in (carry or docs.columns) if c not in added]
     keyed = docs.drop(*added).withColumns({"_lang": F.col("lang"), "_source": F.col("source")})
     stats = with_statistics(keyed).select(*kept_columns, "_lang", "_source", *added[:-2])

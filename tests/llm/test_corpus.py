@@ -127,6 +127,18 @@ def test_quality_rules(docs, texts, empty):
     assert quality_rules.assess(empty).count() == 0
 
 
+def test_distinct_share_of_long_texts(spark):
+    """The share doesn't fall with length, so a clean text of 100,000 words stays; one of few words over and over doesn't."""
+    rng = random.Random(17)
+    t = [prose(rng, n, 20_000) for n in (150, 250, 1000, 100_000)] + [" ".join(prose(rng, 1, 12) for _ in range(3000))]
+    got = {r.doc_id: r for r in quality_rules.assess(spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(t)], SCHEMA)).collect()}
+    assert len(set(t[3].split())) < 0.3 * 100_000 and [got[i].kept for i in range(5)] == [True] * 4 + [False]
+    for i, x in enumerate(t):
+        w = x.split()
+        starts = [min(s, len(w) - 100) for s in range(0, len(w), 100)]
+        assert got[i].distinct_share == pytest.approx(sum(len(set(w[s : s + 100])) / 100 for s in starts) / len(starts))
+
+
 def components_of(texts):
     sets = []
     for t in texts:
