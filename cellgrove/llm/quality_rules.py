@@ -14,21 +14,24 @@ WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 #: Distinct words are counted in windows of so many words, since their share in a whole text falls with its length.
 SHARE_WORDS = 100
 SYMBOLS = "#*$%&|<>"
-#: A bucket of the sketch spans values within a factor GAMMA (2 % relative error); values below ZERO share one bucket.
-GAMMA, ZERO = 1.04, 1e-4
-#: Groups of fewer documents take the thresholds of their language, and languages of fewer those of all documents.
-MIN_GROUP = 200
+#: A bucket of the sketch spans values within a factor GAMMA (0.1 % relative error, as errors of spreads count SPREADS times); values below ZERO share one bucket.
+GAMMA, ZERO = 1.002, 1e-4
+#: Limits of a group are shrunk towards those of its language as if it had SHRINK documents more with these, languages towards all documents,
+#: and all documents towards a limit given beforehand.
+SHRINK = 200
+#: A limit is the median and SPREADS times the distance from there to the quartile on the side of the limit.
+SPREADS = 8
 #: A threshold table of up to so many rows (some 10 MB) is broadcast.
 BROADCAST_ROWS = 100_000
-#: metric: (side, quantile, factor, bound). A document fails above (side 1) max(bound, factor * quantile), or
-#: below (side -1) min(bound, quantile / factor) of its group.
+#: metric: (side, limit given beforehand, least spread, outermost limit). A document fails above (side 1) or below (side -1) the limit of its group.
+#: Where more than three quarters of the documents have the same value, the least spread takes the place of the spread.
 RULES = {
-    "symbol_ratio": (1, 0.5, 4.0, 0.02),
-    "dup_line_ratio": (1, 0.75, 3.0, 0.50),
-    "repeat_ratio": (1, 0.75, 3.0, 0.30),
-    "distinct_share": (-1, 0.25, 2.0, 0.30),
-    "mean_word_chars": (1, 0.75, 1.6, 9.0),
-    "short_word_chars": (-1, 0.25, 1.6, 3.0),
+    "symbol_ratio": (1, 0.02, 0.0025, 0.50),
+    "dup_line_ratio": (1, 0.50, 0.05, 0.90),
+    "repeat_ratio": (1, 0.25, 0.025, 0.29),
+    "distinct_share": (-1, 0.30, 0.01, 0.05),
+    "mean_word_chars": (1, 9.0, 0.1, 20.0),
+    "short_word_chars": (-1, 3.0, 0.1, 1.0),
 }
 
 
@@ -100,7 +103,7 @@ def quantile_sketch(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def adaptive_thresholds(sketch: DataFrame) -> DataFrame:
-    """One row a (lang, source) with a ``<metric>`` threshold each, from sketches merged upwards for small groups."""
+    """One row a (lang, source) with the limits of its metrics, from medians and quartiles of merged sketches, shrunk upwards by count."""
     levels = []
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
         own = [F.col(k) for k in keys] + [F.lit(None).cast("string").alias(k) for k in ("lang", "source") if k not in keys]
@@ -109,31 +112,37 @@ def adaptive_thresholds(sketch: DataFrame) -> DataFrame:
     every = levels[0].union(levels[1]).union(levels[2])
     group = Window.partitionBy("level", "lang", "source", "metric")
     ranked = every.withColumns({"upto": F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first())), "total": F.sum("n").over(group)})
-    sides = F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.lit(v[1]))])
-    quantile = ranked.filter(F.col("upto") >= sides[F.col("metric")] * F.col("total")).groupBy("level", "lang", "source", "metric").agg(
-        F.min_by("bucket", "upto").alias("bucket"), F.first("total").alias("total"))
-    value = F.coalesce(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1), F.lit(0.0))
-    limit = F.lit(None).cast("double")
-    for metric, (side, _, factor, bound) in RULES.items():
-        own = F.greatest(F.lit(bound), value * factor) if side > 0 else F.least(F.lit(bound), value / factor)
-        limit = F.when(F.col("metric") == metric, own).otherwise(limit)
-    limits = quantile.select("level", "lang", "source", "total", F.struct("metric", limit.alias("limit")).alias("m")).groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"), F.map_from_entries(F.collect_list("m")).alias("limits"))  # one entry a rule
+
+    def rule(i: int) -> Column:
+        return F.create_map(*[x for k, v in RULES.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("metric")]
+
+    def quantile(share: Column) -> Column:
+        bucket = F.min(F.when(F.col("upto") >= share * F.col("total"), F.struct("upto", "bucket")))["bucket"]
+        return F.coalesce(2 * F.pow(F.lit(GAMMA), bucket) / (GAMMA + 1), F.lit(0.0))
+
+    values = ranked.groupBy("level", "lang", "source", "metric").agg(F.first("total").alias("total"), quantile(F.lit(0.5)).alias("median"), quantile(0.5 + 0.25 * rule(0)).alias("quartile"))
+    spread = F.greatest(rule(0) * (F.col("quartile") - F.col("median")), rule(2))
+    own = F.col("median") + rule(0) * SPREADS * spread
+    own = F.when(rule(0) > 0, F.least(own, rule(3))).otherwise(F.greatest(own, rule(3)))
+    limits = values.select("level", "lang", "source", "metric", "total", own.alias("limit"))
     groups, langs, top = (limits.filter(F.col("level") == i) for i in range(3))
-    langs = langs.select(F.col("lang").alias("_l"), F.col("total").alias("_ln"), F.col("limits").alias("_ll"))
-    top = top.select(F.col("limits").alias("_tl"))
-    joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("_l")), "left").crossJoin(F.broadcast(top))  # one row
-    chosen = F.when(F.col("total") >= MIN_GROUP, F.col("limits")).when(F.col("_ln") >= MIN_GROUP, F.col("_ll")).otherwise(F.col("_tl"))
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), chosen.alias("_limits"))
+    langs = langs.select(F.col("lang").alias("_l"), F.col("metric").alias("_m"), F.col("total").alias("_ln"), F.col("limit").alias("_ll"))
+    top = top.select("metric", F.col("total").alias("_tn"), F.col("limit").alias("_tl"))
+    joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m")), "left").join(F.broadcast(top), "metric")  # one row a metric
+    shrunk = rule(1)
+    for n, limit in (("_tn", "_tl"), ("_ln", "_ll"), ("total", "limit")):
+        shrunk = (F.col(n) * F.col(limit) + SHRINK * shrunk) / (F.col(n) + SHRINK)
+    found = joined.select("lang", "source", F.struct("metric", shrunk.alias("limit")).alias("m")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list("m")).alias("_limits"))  # one entry a rule
+    return found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_limits")
 
 
 def assess(docs: DataFrame, *, carry: list[str] | None = None) -> DataFrame:
     """Statistics and verdict of every document.
 
     ``base_failed`` is true for fewer than 20 words, or more than 30 % of words in repeated 8-word windows.
-    ``kept`` is false for those and for documents beyond a threshold of their (lang, source): a multiple of
-    a quantile of that group, read from a mergeable logarithmic-bucket sketch and never stricter
-    than the fixed bound of the rule. Returns the columns in ``carry`` (all by default) with both and the statistics.
+    ``kept`` is false for those and for documents beyond a limit of their (lang, source): the median and a
+    multiple of the spread of that group, read from a mergeable logarithmic-bucket sketch and shrunk by count
+    towards those of the language and of all documents. Returns the columns in ``carry`` (all by default) with both and the statistics.
 
     Null text has no words and fails; null lang or source form groups of their own. The texts are read once:
     statistics are written to the shared folder, and sketches and verdicts come from there. Columns named

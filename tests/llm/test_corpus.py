@@ -127,6 +127,35 @@ def test_quality_rules(docs, texts, empty):
     assert quality_rules.assess(empty).count() == 0
 
 
+def test_limits_follow_the_group(spark):
+    """Limits against exact quantiles: each metric's follow the group, ratios stay below 1 in a bad source, few documents change little."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang, source, n, chars, bad in [("en", "plain", 2000, 5.0, 0), ("en", "long words", 2000, 8.0, 0), ("en", "bad", 2000, 5.0, 1), ("fr", "few", 4, 7.0, 1)]:
+        for _ in range(n):
+            dup, rep = (rng.uniform(0.5, 0.9), rng.uniform(0.1, 0.28)) if bad else (0.0, 0.0)
+            symbols = rng.uniform(0.2, 0.3) if bad else rng.uniform(0, 0.01)
+            words = 1000
+            rows.append((lang, source, words, int(1000 * rng.normal(chars, 0.2)), symbols, 100, int(100 * dup), int(words * rep), words, float(rng.uniform(0.8, 0.9))))
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, share double, n_lines long, n_dup_lines long, n_repeat_words long, n_distinct_words long, distinct_share double")
+    stats = stats.withColumn("n_symbols", (F.col("share") * F.col("word_chars")).cast("long"))
+    values = stats.select("lang", "source", *[v.alias(k) for k, v in quality_rules._values().items()]).toPandas()
+    got = {(r["_lang"], r["_source"]): r["_limits"] for r in quality_rules.adaptive_thresholds(quality_rules.quantile_sketch(stats, ["lang", "source"])).collect()}
+    assert len(got) == 4
+    for metric, (side, given, least, outermost) in quality_rules.RULES.items():
+        for lang, source in got:
+            want = given
+            for part in (values, values[values.lang == lang], values[(values.lang == lang) & (values.source == source)]):
+                median, quartile = part[metric].quantile(0.5), part[metric].quantile(0.5 + 0.25 * side)
+                own = median + side * 8 * max(side * (quartile - median), least)
+                own = min(own, outermost) if side > 0 else max(own, outermost)
+                want = (len(part) * own + 200 * want) / (len(part) + 200)
+            assert got[lang, source][metric] == pytest.approx(want, rel=0.01, abs=0.15 if "chars" in metric else 0.03), (metric, source)
+    plain, long_words, bad = (got["en", s] for s in ("plain", "long words", "bad"))
+    assert plain["mean_word_chars"] < 8 < long_words["mean_word_chars"] and plain["short_word_chars"] < 5 < long_words["short_word_chars"]
+    assert bad["symbol_ratio"] <= 0.5 and bad["dup_line_ratio"] <= 0.9 and all(x["repeat_ratio"] < 0.30 for x in got.values()) and plain["repeat_ratio"] < 0.25
+
+
 def test_distinct_share_of_long_texts(spark):
     """The share doesn't fall with length, so a clean text of 100,000 words stays; one of few words over and over doesn't."""
     rng = random.Random(17)
