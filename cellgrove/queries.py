@@ -310,6 +310,38 @@ def d7(spark: SparkSession, d: str) -> DataFrame:
     return r6(spatial.pair_correlation(spatial.ripley(c, spatial.box_area(c), radii=(20.0, 50.0))), "g")
 
 
+# The queries above are cut (two markers, small radii) as their SQL is; these are the whole jobs, at the reference's radii.
+@query("n2_adaptive_arcsinh_all_markers")
+def n2_all(spark: SparkSession, d: str) -> DataFrame:
+    out = normalize.normalize(fx.line_expression(spark, d), keys=["region_id"], cofactor="adaptive")
+    return out.groupBy("region_id", "marker").agg(F.round(F.avg("value"), 4).alias("mean_value"))
+
+
+@query("d2_nearest_full_radius")
+def d2_full(spark: SparkSession, d: str) -> DataFrame:
+    return r6(spatial.nearest_distances(fx.event_cells(spark, d, 10), sample_n=None), "min_dist", "mean_dist")
+
+
+@query("d4_proximity_full_radii")
+def d4_full(spark: SparkSession, d: str) -> DataFrame:
+    return r6(spatial.proximity(fx.event_cells(spark, d, 10)), "value")
+
+
+def _ripley_full(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.event_cells(spark, d, 10)
+    return spatial.ripley(c, spatial.box_area(c)).union(spatial.ripley(c, spatial.box_area(c), by_type=True))
+
+
+@query("d6_d8_ripley_full_radii")
+def d6_full(spark: SparkSession, d: str) -> DataFrame:
+    return _ripley_full(spark, d).withColumns({"k": F.round("k", 4), "l": F.round("l", 4)})
+
+
+@query("d7_d9_pair_correlation_full_radii")
+def d7_full(spark: SparkSession, d: str) -> DataFrame:
+    return r6(spatial.pair_correlation(_ripley_full(spark, d)), "g")
+
+
 @query("d5_hull_area")
 def d5(spark: SparkSession, d: str) -> DataFrame:
     return spatial.hull_area(fx.event_cells(spark, d, 10))
