@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, bin_counts, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, text_slices, word_hashes
+from cellgrove.llm.similarity import SETS, SHINGLE_WORDS, SIGNATURES, bin_counts, hash_rows, linked_classes, mix, shared_stars, shingle_hashes, signature_rows, text_slices, word_hashes
 from cellgrove.llm.text import row_key, whole
 from cellgrove.scratch import at_most, materialize
 
@@ -146,25 +146,25 @@ def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: in
                 yield pa.RecordBatch.from_pydict(signature_rows(np.concatenate(own), of))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows may repeat
         for _, sets in _document_sets(batches, k):
-            flat = np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)
-            ends = np.cumsum([0, *[len(a) for a in sets]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_int64([_set_key(a) for a in sets])), pa.array([len(a) for a in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["sk", "n", "hashes"])
+            new = {key: a for a in sets if (key := _set_key(a)) not in seen}
+            seen |= new.keys()
+            yield hash_rows(_int64(list(new)), list(new.values()))
 
-    buckets = materialize(shared_buckets(keyed.select("text").mapInArrow(signatures, SIGNATURES)), "shared-signatures")
+    stars = shared_stars(keyed.select("text").mapInArrow(signatures, SIGNATURES))
     # A row of each set; equal sets are summed up before the shuffle.
     firsts = materialize(nodes.filter("n_shingles > 0").groupBy("sk").agg(F.min("doc_id").alias("first"), F.min(F.struct("_k1", "_k2")).alias("r")), "sets")
     nodes_of = nodes.select(F.struct("_k1", "_k2").alias("r"), "sk", F.col("n_shingles").alias("n"), "bins")
-    in_buckets = buckets.select("sk").union(buckets.select(F.col("hub").alias("sk"))).distinct()
-    bounds = materialize(nodes_of.join(firsts.join(in_buckets, "sk", "left_semi").select("sk", "r"), ["sk", "r"], "left_semi").select("sk", "n", "bins").distinct(), "set-bounds")
+    in_stars = stars.select("sk").union(stars.select(F.col("hub").alias("sk"))).distinct()
+    bounds = materialize(nodes_of.join(firsts.join(in_stars, "sk", "left_semi").select("sk", "r"), ["sk", "r"], "left_semi").select("sk", "n", "bins").distinct(), "set-bounds")
 
     def fetch(keys: DataFrame) -> DataFrame:
         rows = materialize(firsts.join(keys, "sk", "left_semi").select("r.*"), "candidate-rows")
         rows = F.broadcast(rows) if at_most(rows, BROADCAST_KEYS) else rows
-        return materialize(keyed.join(rows, ["_k1", "_k2"], "left_semi").select("text").mapInArrow(contents, "sk long, n long, hashes array<long>"), "candidate-sets")
+        return materialize(keyed.join(rows, ["_k1", "_k2"], "left_semi").select("text").mapInArrow(contents, SETS), "candidate-sets")
 
-    comps = linked_classes(buckets, fetch, num=num, den=den, bounds=bounds)
+    comps = linked_classes(stars, fetch, num=num, den=den, bounds=bounds)
     placed = firsts.drop("r").join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
     lowest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = placed.join(lowest, "comp").select("sk", "comp", "component_id")

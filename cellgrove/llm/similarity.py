@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.llm.components import connected_components
-from cellgrove.scratch import materialize
+from cellgrove.scratch import at_most, materialize
 
 SHINGLE_WORDS = 5
 #: Texts, and bytes of texts unless one alone is longer, whose words a task holds at once.
@@ -27,10 +27,12 @@ _BYTES[[0x20, *range(0x09, 0x0E)]] = 0
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
 
-#: Members of a bucket that are compared with each other in one task; larger buckets are dealt to blocks by hash.
-BLOCK = 1_000
-#: Pairs whose counts a task compares at once.
-PAIRS_AT_ONCE = 50_000
+#: Sets of a group, and hashes of all of them, that a task compares with each other; larger groups are dealt to blocks by hash.
+BLOCK_SETS, BLOCK_HASHES = 2_000, 2_000_000
+#: Cells of a matrix of sets by hashes that a task fills at once.
+CELLS = 4_000_000
+#: Groups of several blocks: a table of up to so many (under 10 MB) is broadcast, a longer one is joined by shuffle.
+BROADCAST_GROUPS = 100_000
 
 SIGNATURES = "p long, sig long, sk long, hub long"
 
@@ -97,11 +99,11 @@ def shingle_hashes(w: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def signature_rows(sig: np.ndarray, sk: np.ndarray) -> dict[str, np.ndarray]:
-    """Rows for `shared_buckets` from the signatures of a batch of sets.
+    """Rows for `shared_stars` from the signatures of a batch of sets.
 
     Sets of the batch that share a signature send one row for it to the shuffle, that of the smallest set key (their
     hub); the others keep to themselves, with the hub beside them. So a signature that a third of all
-    sets have meets in one task only once a batch.
+    sets have meets in one task only once a batch. Rows come by set, so that their keys compress.
     """
     order = np.lexsort((sk, sig))
     sig, sk = sig[order], sk[order]
@@ -111,16 +113,22 @@ def signature_rows(sig: np.ndarray, sk: np.ndarray) -> dict[str, np.ndarray]:
     hub = sk[np.maximum.accumulate(np.where(new_sig, np.arange(len(sig)), 0))]
     none = np.zeros(len(sig), dtype=np.uint64)
     rows = {"p": np.where(new_sig, sig, mix(sig ^ mix(sk))), "sig": np.where(new_sig, none, sig), "sk": sk, "hub": np.where(new_sig, none, hub)}
-    return {k: v.view(np.int64) for k, v in rows.items()}
+    by_set = np.argsort(sk, kind="stable")
+    return {k: v[by_set].view(np.int64) for k, v in rows.items()}
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """(sig, hub, sk) for the sets other than a hub of signatures that two or more sets have, from `signature_rows`."""
+def shared_stars(rows: DataFrame) -> DataFrame:
+    """(hub, sk) for every signature that two or more sets have, from `signature_rows`: the smallest set key of the signature, and each other one.
+
+    Any two sets that share a signature are then in one star: they have the same hub, or one of them is it.
+    """
     bucket = Window.partitionBy("p").orderBy(F.col("sig") != 0, "sk")
-    met = rows.withColumn("first", F.first("sk").over(bucket))
     local = F.col("sig") != 0
-    pairs = met.filter(local | (F.col("first") != F.col("sk")))
-    return pairs.select(F.when(local, F.col("sig")).otherwise(F.col("p")).alias("sig"), F.when(local, F.col("hub")).otherwise(F.col("first")).alias("hub"), "sk")
+    met = materialize(rows.withColumn("first", F.first("sk").over(bucket)).filter(local | (F.col("first") != F.col("sk"))), "shared-signatures")
+    roots = met.filter(~local).select(F.col("p").alias("sig"), F.col("sk").alias("hub"), "first")
+    # A set that kept to its batch follows the hub there to the hub of all batches.
+    followers = met.filter(local).select("sig", "hub", "sk").join(roots, ["sig", "hub"], "left").select(F.coalesce("first", "hub").alias("hub"), "sk")
+    return materialize(roots.select(F.col("first").alias("hub"), F.col("hub").alias("sk")).union(followers).filter("hub <> sk").distinct(), "stars")
 
 
 def bin_counts(a: np.ndarray) -> bytes:
@@ -140,149 +148,205 @@ def _unpack(bins: bytes) -> tuple[int, np.ndarray]:
     return int(np.frombuffer(bins, np.uint32, 1)[0]), ((packed[:, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).ravel()
 
 
-def may_link(na: int, nb: int, a: bytes, b: bytes, num: int, den: int) -> bool:
-    """Whether two sets can link: the sum of the lesser counts bounds their intersection from above."""
-    (over_a, x), (over_b, y) = _unpack(a), _unpack(b)
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[::2] + x[1::2]
-        else:
-            y = y[::2] + y[1::2]
-    most = int(np.minimum(x, y).sum()) + min(over_a, over_b)
-    return den * most >= num * (na + nb - most)
-
-
-def possible_links(pairs: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that sizes and bin counts, ``bounds`` (sk, n, bins), don't rule out."""
-
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")]
-            yield b.select(["a", "b"]).filter(pa.array([may_link(*r, num, den) for r in zip(*columns, strict=True)], pa.bool_()))
-
-    sizes = bounds.select("sk", "n")
-    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    fit = pairs.join(sizes.select(F.col("sk").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sk").alias("b"), F.col("n").alias("nb")), "b").filter(near)
-    with_a = fit.join(bounds.select(F.col("sk").alias("a"), F.col("bins").alias("xa")), "a")
-    both = with_a.join(bounds.select(F.col("sk").alias("b"), F.col("bins").alias("xb")), "b")
-    return both.mapInArrow(possible, "a long, b long")
-
-
-def verified_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` with den * intersection >= num * union; ``sets`` has (sk, n, hashes)."""
-    left = sets.select(F.col("sk").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("sk").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
-
-
-def _blocks_of_links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Possible links between the blocks x and y of the same bucket; rows come sorted by sig, x, y and block."""
-
-    def groups() -> Iterator[pa.Table]:
-        """The rows in tables that break no group."""
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if b.num_rows:
-                g = np.stack([b.column(c).to_numpy() for c in ("sig", "x", "y")])
-                last = int(np.flatnonzero(np.r_[True, (g[:, 1:] != g[:, :-1]).any(axis=0)])[-1])
-                begun = held and [held[-1].column(c)[-1].as_py() for c in ("sig", "x", "y")] == g[:, 0].tolist()
-                if last or held and not begun:
-                    yield pa.Table.from_batches([*held, b.slice(0, last)])
-                    held = []
-                held.append(b.slice(last))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    for t in groups():
-        sig, x, y, block, sk, comp, n = (t.column(c).to_numpy() for c in ("sig", "x", "y", "block", "sk", "comp", "n"))
-        bins = t.column("bins").to_pylist()
-        if not len(sk):
-            continue
-        opened = [_unpack(v) for v in bins]
-        over, counts = np.array([o for o, _ in opened]), np.stack([c.reshape(128, -1).sum(axis=1, dtype=np.int32) for _, c in opened])
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-        ends = np.r_[np.flatnonzero(new)[1:], len(sk)][np.cumsum(new) - 1]
-        new_block = np.flatnonzero(np.r_[new[1:] | (block[1:] != block[:-1]), True]) + 1
-        block_ends = new_block[np.searchsorted(new_block, np.arange(len(sk)), "right")]
-        # Within a block each row meets those after it, else those of the other block.
-        low = np.where(x == y, np.arange(len(sk)) + 1, block_ends)
-        before = np.r_[0, np.cumsum(ends - low)]
-        for at in range(0, int(before[-1]), PAIRS_AT_ONCE):
-            pair = np.arange(at, min(at + PAIRS_AT_ONCE, int(before[-1])))
-            a = np.searchsorted(before, pair, "right") - 1
-            b = low[a] + pair - before[a]
-            near = (comp[a] != comp[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
-            a, b = a[near], b[near]
-            most = np.minimum(counts[a], counts[b]).sum(axis=1) + np.minimum(over[a], over[b])
-            near = den * most >= num * (n[a] + n[b] - most)
-            a, b = a[near], b[near]
-            near = np.array([may_link(n[i], n[j], bins[i], bins[j], num, den) for i, j in zip(a, b, strict=True)], dtype=bool)
-            a, b = sk[a[near]], sk[b[near]]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def pairs_within(members: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (sig, sk, comp) of a signature in different components that ``bounds`` (sk, n, bins) doesn't rule out.
-
-    The members of a signature are dealt to blocks of some BLOCK sets by hash, each two blocks meet in a task, and only
-    pairs that sizes and bin counts allow leave it. So a group of many sets makes no row for each of
-    its pairs, and no task gets more than two blocks.
+def _can_link(na: int, nb: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
+    return den * common >= num * (na + nb - common)
+
+
+def with_partner(n: np.ndarray, bins: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which sets of a group have a partner in it that sizes and bin counts don't rule out.
+
+    The sum of the lesser counts, and of what is above 3, bounds an intersection from above. With equal ranges what is above
+    3 in both counts as the lesser sum, since a range above 3 in one set alone is bounded by the other's count. Where
+    the larger set has finer ranges, several of its counts make one of the other's, and both sums count.
     """
-    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("sk"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "sk", "comp")
-    met = dealt.join(bounds, "sk").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "block")
-    return met.mapInArrow(lambda batches: _blocks_of_links(batches, num, den), "a long, b long").distinct()
+    opened = [_unpack(b) for b in bins]
+    over, width = np.array([o for o, _ in opened]), np.array([len(c) for _, c in opened])
+    found = np.zeros(len(n), dtype=bool)
+    order = np.argsort(n, kind="stable")
+    n_sorted = n[order]
+    stops = np.searchsorted(n_sorted, den * n_sorted // num, "right")
+    own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k in np.unique(width).tolist():
+        rows = order[width[order] == k]
+        own[k] = rows, np.stack([opened[i][1] for i in rows])
+    rank = np.empty(len(n), dtype=np.int64)
+    rank[order] = np.arange(len(n))
+    for k, (rows, counts) in own.items():
+        finer = [(larger, c.reshape(len(c), k, -1).sum(axis=2, dtype=np.uint16)) for w, (larger, c) in own.items() if w > k]
+        for r, i in enumerate(rows):
+            stop = stops[rank[i]]
+            for larger, c, fine in ((rows[r + 1 :], counts[r + 1 :], False), *((x, y, True) for x, y in finer)):
+                last = np.searchsorted(rank[larger], stop)
+                if last:
+                    j = larger[:last]
+                    most = np.minimum(counts[r], c[:last]).sum(axis=1, dtype=np.int64) + (over[i] + over[j] if fine else np.minimum(over[i], over[j]))
+                    hits = j[_can_link(n[i], n[j], most, num, den)]
+                    found[hits], found[i] = True, found[i] or len(hits) > 0
+    return found
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each two sorted sets (the diagonal doesn't count), as products of matrices of sets by those hashes that two sets or more have."""
+    m = len(sets)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(m), [len(a) for a in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    column, of = np.cumsum(new[shared]) - 1, of[shared]
+    out = np.zeros((m, m), dtype=np.float32)  # whole numbers up to 2^24 are exact
+    step = max(1, CELLS // m)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, [at, at + step])
+        part = np.zeros((m, min(step, int(column[j - 1]) + 1 - at)), dtype=np.float32)
+        part[of[i:j], column[i:j] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def spanning_links(sets: list[np.ndarray], comp: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between sets of different ``comp`` that connect whatever such links connect: fewer than there are sets."""
+    n = np.array([len(a) for a in sets])
+    common = common_counts(sets)
+    linked = (den * common >= num * (n[:, None] + n[None, :] - common)) & (comp[:, None] != comp[None, :])
+    free, out = np.ones(len(sets), dtype=bool), []
+    for root in range(len(sets)):
+        reached, free[root] = [root] if free[root] else [], False
+        while reached:
+            x = reached.pop()
+            new = np.flatnonzero(linked[x] & free)
+            free[new] = False
+            out += [(x, y) for y in new.tolist()]
+            reached += new.tolist()
+    return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows in tables that break no group of equal ``keys``, and where groups begin and the last ends; rows come sorted by keys."""
+    held: list[pa.RecordBatch] = []
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        g = np.stack([t.column(c).to_numpy() for c in keys])
+        return t, np.r_[np.flatnonzero(np.r_[True, (g[:, 1:] != g[:, :-1]).any(axis=0)]), t.num_rows]
 
+    for b in batches:
+        if b.num_rows:
+            g = np.stack([b.column(c).to_numpy() for c in keys])
+            begins = np.flatnonzero(np.r_[True, (g[:, 1:] != g[:, :-1]).any(axis=0)])
+            goes_on = held and [held[-1].column(c)[-1].as_py() for c in keys] == g[:, 0].tolist()
+            if held and (len(begins) > 1 or not goes_on):
+                first = int(begins[1]) if goes_on else 0
+                if first:
+                    held.append(b.slice(0, first))
+                yield table()
+                held, b, begins = [], b.slice(first), begins[begins >= first] - first
+            if len(begins) > 1:
+                last = int(begins[-1])
+                held = [b.slice(0, last)]
+                yield table()
+                held = [b.slice(last)]
+            else:
+                held.append(b)
+    if held:
+        yield table()
 
-def bounds_of(sets: DataFrame) -> DataFrame:
-    """(sk, n, bins) of ``sets`` (sk, n, hashes)."""
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = [bin_counts(np.array(h, dtype=np.int64).view(np.uint64)) for h in b.column("hashes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("sk"), b.column("n"), pa.array(counts, pa.binary())], ["sk", "n", "bins"])
+def _arrays(values: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in values]
 
-    return sets.mapInArrow(bins, "sk long, n long, bins binary").dropDuplicates(["sk"])
 
+def hash_rows(keys: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (sk, n, hashes) of sets, with the sorted hashes as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(a) for a in sets], pa.int64()), pa.array([a.tobytes() for a in sets], pa.binary())], ["sk", "n", "hashes"])
 
-def linked_classes(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, num: int, den: int, bounds: DataFrame | None = None, star_rounds: int = 3) -> DataFrame:
-    """(node, comp): the components of all links between sets that share a signature.
 
-    First every set is compared with its bucket's hub, which takes as many comparisons as rows. Sets
-    that are then in one component need not be compared. What is left are buckets that still hold several
-    components: again a star, about another hub, for ``star_rounds`` times; then the members of different components
-    block by block, the exact way for the rest. ``buckets`` has (sig, hub, sk); ``fetch`` gives the sets (sk, n, hashes)
-    of a table of keys (sk); ``bounds``, if given, rules pairs out before their sets are fetched.
-    """
+SETS = "sk long, n long, hashes binary"
+
+
+def _links_in_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect what can be connected within each block of ``rows`` (g, x, y, sk, comp, hashes), at most a row a set."""
+    keys = ["g", "x", "y"]
 
-    def links_of(pairs: DataFrame, narrow: bool = True) -> DataFrame:
-        possible = materialize(possible_links(pairs, bounds, num, den) if narrow and bounds is not None else pairs, "possible-links")
-        keys = possible.select(F.col("a").alias("sk")).union(possible.select(F.col("b").alias("sk"))).distinct()
-        return materialize(verified_links(possible, fetch(keys), num, den), "links")
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _whole_groups(batches, keys):
+            sk, comp = t.column("sk").to_numpy(), t.column("comp").to_numpy()
+            out: list[tuple[int, int]] = []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if (comp[i:j] != comp[i]).any():
+                    _, once = np.unique(sk[i:j], return_index=True)
+                    own = t.column("hashes").slice(i, j - i).take(pa.array(once))
+                    out += [(int(sk[i + once[a]]), int(sk[i + once[b]])) for a, b in spanning_links(_arrays(own), comp[i + once], num, den)]
+            if out:
+                a, b = np.array(out).T
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    links = links_of(buckets.select(F.col("hub").alias("a"), F.col("sk").alias("b")).distinct())
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, "a long, b long")
+
+
+def _possible_members(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The (g, sk) of ``rows`` (g, sk, n, bins; groups of one block) that have a possible partner in their group."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _whole_groups(batches, ["g"]):
+            n, bins = t.column("n").to_numpy(), t.column("bins").to_pylist()
+            keep = np.concatenate([with_partner(n[i:j], bins[i:j], num, den) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            yield from t.select(["g", "sk"]).filter(pa.array(keep)).to_batches()
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(find, "g long, sk long")
+
+
+def linked_classes(stars: DataFrame, fetch: Callable[[DataFrame], DataFrame], *, num: int, den: int, bounds: DataFrame | None = None, block_sets: int = BLOCK_SETS, block_hashes: int = BLOCK_HASHES) -> DataFrame:
+    """(node, comp): the components of all links between sets that share a signature.
+
+    ``stars`` has (hub, sk) from `shared_stars`; ``fetch`` gives the sets (sk, n, hashes) of a table of keys (sk); ``bounds``
+    (sk, n, bins), if given, tells which sets have no possible partner before any set is fetched.
+
+    A star is compared as a whole in one task, which gives no more links than it has sets. A star too large for that is dealt to
+    blocks by hash, its hub to each of them. What links a large star has are mostly found within its blocks; if components are left
+    in it, the sets outside its largest one meet each other and those inside it, block by block: all pairs of different components.
+    """
+    groups = stars.select(F.col("hub").alias("g"), "sk").union(stars.select(F.col("hub").alias("g"), F.col("hub").alias("sk")).distinct())
+    sets = None
+    if bounds is None:
+        sets = bounds = fetch(groups.select("sk").distinct())
+    columns = ["n", *(["bins"] if sets is None else [])]
+    sized = groups.join(bounds.select("sk", *columns), "sk")
+    count = lambda c, n: F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(n) / block_hashes)).cast("int").alias(c)
+    large = materialize(sized.groupBy("g").agg(count("blocks", "n")).filter("blocks > 1"), "large-groups")
+    has_large = not large.isEmpty()
+    large = F.broadcast(large) if at_most(large, BROADCAST_GROUPS) else large
+    if sets is None:
+        small = sized.join(large, "g", "left_anti") if has_large else sized
+        possible = _possible_members(small, num, den)
+        groups = materialize(possible.union(sized.join(large, "g", "left_semi").select("g", "sk")) if has_large else possible, "possible-members")
+        sets = fetch(groups.select("sk").distinct())
+    members = groups.select("g", "sk").withColumns({"x": F.lit(0), "y": F.lit(0)})
+    if has_large:
+        own = F.pmod(F.xxhash64("sk"), F.col("blocks")).cast("int")
+        dealt = groups.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        members = dealt.withColumn("x", F.explode(F.when(F.col("g") == F.col("sk"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))).withColumn("y", F.col("x")).select("g", "sk", "x", "y")
+    links = materialize(_links_in_blocks(members.join(sets.select("sk", "hashes"), "sk").withColumn("comp", F.col("sk")), num, den), "links")
     comps = materialize(connected_components(links), "components")
-    members = buckets.select("sig", "sk").union(buckets.select("sig", F.col("hub").alias("sk"))).distinct()
-    several = members.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 2").select("sig")
-    members = materialize(members.join(several, "sig"), "bucket-members")
-    for turn in range(star_rounds + 1):
-        placed = members.join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
-        mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sk", "comp"), F.xxhash64("sk", "sig", F.lit(turn))).alias("other")).filter("lo <> hi")
-        members = materialize(placed.join(mixed, "sig").select("sig", "sk", "comp", "other"), "open-buckets")
-        if members.isEmpty():
-            break
-        if turn < star_rounds:
-            pairs = members.filter("comp <> other.comp").select(F.least("sk", "other.sk").alias("a"), F.greatest("sk", "other.sk").alias("b")).distinct()
-        else:
-            known = bounds_of(fetch(members.select("sk").distinct())) if bounds is None else bounds
-            pairs = pairs_within(members.select("sig", "sk", "comp"), known, num, den)
-        more = links_of(pairs, turn < star_rounds)
-        members = members.select("sig", "sk")
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = materialize(connected_components(links), "components")
-    return comps
+    if not has_large:
+        return comps
+
+    inside = groups.join(large.select("g"), "g", "left_semi").join(comps.withColumnRenamed("node", "sk"), "sk", "left").withColumn("comp", F.coalesce("comp", "sk"))
+    inside = materialize(inside.join(sets.select("sk", "n"), "sk").select("g", "sk", "comp", "n"), "large-members")
+    parts = inside.groupBy("g", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    main = parts.groupBy("g").agg(F.count("*").alias("several"), F.max_by(F.struct("comp", "sets", "n"), F.struct("sets", "comp")).alias("m"), F.sum("sets").alias("sets"), F.sum("n").alias("n")).filter("several > 1")
+    blocks = lambda sets, n: F.greatest(F.ceil(sets / block_sets), F.ceil(n / block_hashes)).cast("int")
+    main = main.select("g", F.col("m.comp").alias("main"), blocks(F.col("m.sets"), F.col("m.n")).alias("ins"), blocks(F.col("sets") - F.col("m.sets"), F.col("n") - F.col("m.n")).alias("outs"))
+    main = materialize(main, "open-groups")
+    if main.isEmpty():
+        return comps
+    main = F.broadcast(main) if at_most(main, BROADCAST_GROUPS) else main
+    placed = inside.join(main, "g")
+    # Blocks of the largest component have negative numbers; each meets the others, which meet each other too.
+    is_in = F.col("comp") == F.col("main")
+    own = F.when(is_in, -1 - F.pmod(F.xxhash64("sk"), F.col("ins"))).otherwise(F.pmod(F.xxhash64("sk"), F.col("outs"))).cast("int")
+    others = F.when(is_in, F.sequence(F.lit(0), F.col("outs") - 1)).otherwise(F.sequence(-F.col("ins"), F.col("outs") - 1))
+    met = placed.withColumn("own", own).withColumn("other", F.explode(others)).select("g", "sk", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    more = materialize(_links_in_blocks(met.join(sets.select("sk", "hashes"), "sk"), num, den), "links")
+    return comps if more.isEmpty() else materialize(connected_components(links.union(more)), "components")

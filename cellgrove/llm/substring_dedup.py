@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.similarity import SHINGLE_WORDS, SIGNATURES, linked_classes, mix, shared_buckets, shingle_hashes, signature_rows, text_slices, word_hashes
+from cellgrove.llm.similarity import SETS, SHINGLE_WORDS, SIGNATURES, hash_rows, linked_classes, mix, shared_stars, shingle_hashes, signature_rows, text_slices, word_hashes
 from cellgrove.llm.text import row_key, whole
 from cellgrove.scratch import at_most, materialize
 
@@ -113,10 +113,7 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.flatnonzero(np.isin(keys, wanted))
         rows = found[np.unique(keys[found], return_index=True)[1]]
         if len(rows):
-            sets = [np.unique(h[places[i] : ends[i]]) for i in rows]
-            bounds = np.cumsum([0, *[len(a) for a in sets]]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(np.diff(bounds).astype(np.int64)), values], ["sk", "n", "hashes"])
+            yield hash_rows(keys[rows], [np.unique(h[places[i] : ends[i]]) for i in rows])
 
 
 def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
@@ -135,18 +132,18 @@ def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
     """
     keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
     places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, "_k1 long, _k2 long, first_word int, end_word int, sk long"), "paragraphs")
-    buckets = materialize(shared_buckets(keyed.select("text").mapInArrow(_signatures, SIGNATURES)), "shared-bands")
-    in_buckets = materialize(buckets.select("sk").union(buckets.select(F.col("hub").alias("sk"))).distinct(), "bucket-keys")
-    in_buckets = F.broadcast(in_buckets) if at_most(in_buckets, BROADCAST_KEYS) else in_buckets
-    holding = materialize(places.join(in_buckets, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")), "bucket-rows")
+    stars = shared_stars(keyed.select("text").mapInArrow(_signatures, SIGNATURES))
+    in_stars = materialize(stars.select("sk").union(stars.select(F.col("hub").alias("sk"))).distinct(), "star-keys")
+    in_stars = F.broadcast(in_stars) if at_most(in_stars, BROADCAST_KEYS) else in_stars
+    holding = materialize(places.join(in_stars, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")), "star-rows")
 
     def fetch(keys: DataFrame) -> DataFrame:
         holders = holding.join(keys, "sk", "left_semi").groupBy("r").agg(F.collect_list("sk").alias("wanted"))  # a text's own paragraphs
         holders = materialize(holders.select("r.*", "wanted"), "candidate-rows")
         holders = F.broadcast(holders) if at_most(holders.select(F.explode("wanted")), BROADCAST_KEYS) else holders
-        return materialize(keyed.select("_k1", "_k2", "text").join(holders, ["_k1", "_k2"]).select("text", "wanted").mapInArrow(_contents, "sk long, n long, hashes array<long>"), "candidate-sets")
+        return materialize(keyed.select("_k1", "_k2", "text").join(holders, ["_k1", "_k2"]).select("text", "wanted").mapInArrow(_contents, SETS), "candidate-sets")
 
-    comps = linked_classes(buckets, fetch, num=NUM, den=DEN, star_rounds=1)
+    comps = linked_classes(stars, fetch, num=NUM, den=DEN)
 
     # Firsts and holders of a class are minima taken before the shuffle, so that a passage that very many documents have is no hot group.
     order, text = F.struct("_k1", "_k2", "first_word"), F.struct("_k1", "_k2")

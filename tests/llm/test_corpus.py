@@ -223,7 +223,23 @@ def test_signatures_never_miss():
         share = rng.random() * 1.2
         common = np.unique(np.r_[both, more][rng.random(len(both) + len(more)) < share])
         assert set(ngram_join.set_signatures(a, common=common).tolist()) & set(ngram_join.set_signatures(b, common=common).tolist()), (trial, len(a), len(b))
-        assert similarity.may_link(len(a), len(b), similarity.bin_counts(a), similarity.bin_counts(b), 75, 100)
+        assert similarity.with_partner(np.array([len(a), len(b)]), [similarity.bin_counts(a), similarity.bin_counts(b)], 75, 100).all(), (trial, len(a), len(b))
+
+
+def test_bounds_never_rule_out_a_link():
+    """Sizes to 5,000, most of them on both sides of a power of two, with crowded ranges; sets that share little are ruled out."""
+    rng = np.random.default_rng(6)
+    for trial in range(1500):
+        s = min(5000, int(2 ** rng.integers(6, 13) * rng.uniform(0.75, 1.05)))
+        top = np.uint64(2**64 - 1) if trial % 3 else np.uint64(2**57)
+        extra = int(s // 0.75) - s
+        left = int(rng.integers(0, extra + 1))
+        both, more = rng.integers(0, top, s, dtype=np.uint64), rng.integers(0, top, extra, dtype=np.uint64)
+        a, b = np.unique(np.r_[both, more[:left]]), np.unique(np.r_[both, more[left:]])
+        far = np.unique(np.r_[both[: s // 3], rng.integers(0, 2**64, s, dtype=np.uint64)])
+        found = similarity.with_partner(np.array([len(a), len(far), len(b)]), [similarity.bin_counts(x) for x in (a, far, b)], 75, 100)
+        assert found[0] and found[2], (trial, len(a), len(b))
+        assert found[1] == 0 or s < 200 or trial % 3 == 0, (trial, s)
 
 
 def test_components(spark):
@@ -281,20 +297,73 @@ def test_word_hashes():
     assert all(len(x) == 0 for x in substring_dedup.paragraphs(*similarity.word_hashes(pa.array([], pa.binary()))))
 
 
-def test_blocks_of_links():
-    """No pair that links is lost, however rows fall to batches and pairs to pieces."""
-    rng = np.random.default_rng(1)
+def group_of_sets(seed, n=40):
+    rng = np.random.default_rng(seed)
     base, sets = rng.integers(0, 2**64, 200, dtype=np.uint64), []
-    for _ in range(40):
-        v, k = base.copy(), rng.integers(0, 60)
+    for _ in range(n):
+        v, k = base.copy(), rng.integers(0, 90)
         v[rng.choice(200, k, replace=False)] = rng.integers(0, 2**64, k, dtype=np.uint64)
         sets.append(np.unique(v))
-    rows = sorted((sig, min(i % 3, o), max(i % 3, o), i % 3, i, i, len(sets[i]), similarity.bin_counts(sets[i])) for sig in (5, 9) for i in range(40) for o in range(3))
-    t = pa.table(dict(zip(["sig", "x", "y", "block", "sk", "comp", "n", "bins"], map(list, zip(*rows, strict=True)), strict=True)))
-    links = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    for size in (1, 7, 1000):
-        found = similarity._blocks_of_links(iter(t.to_batches(size)), 75, 100)
-        assert links <= {p for b in found for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)}
+    return sets
+
+
+def classes_of(n, links):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(n)]
+
+
+def all_links(sets):
+    return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+
+
+def test_links_of_a_group():
+    """Forests connect what all links connect, however rows fall to batches."""
+    sets = group_of_sets(1)
+    links = all_links(sets)
+    found = similarity.spanning_links(sets, np.arange(40), 75, 100)
+    assert {(min(p), max(p)) for p in found} <= links and len(found) < 40 and 1 < len(set(classes_of(40, links))) < 40
+    assert classes_of(40, found) == classes_of(40, links)
+    counts = similarity.common_counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(i))
+    t = pa.table({"g": np.repeat([1, 2, 4, 9], [3, 5, 1, 4]), "v": np.arange(13)})
+    for size in range(1, 15):
+        groups = [t.slice(i, j - i)["v"].to_pylist() for t, at in similarity._whole_groups(iter(t.to_batches(size)), ["g"]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        assert groups == [[0, 1, 2], [3, 4, 5, 6, 7], [8], [9, 10, 11, 12]]
+
+
+@pytest.mark.parametrize("bounded", [True, False])
+@pytest.mark.parametrize("block_sets", [2, 7, 1000])
+def test_linked_classes(spark, bounded, block_sets):
+    """Stars in one block and in many, linked and not, give the components of all pairs that share a star."""
+    sets = group_of_sets(2) + group_of_sets(3, 5)
+    links = all_links(sets)
+    want = classes_of(45, links)
+    rows = spark.createDataFrame([(i, len(a), bytearray(a.tobytes())) for i, a in enumerate(sets)], similarity.SETS)
+    bounds = spark.createDataFrame([(i, len(a), bytearray(similarity.bin_counts(a))) for i, a in enumerate(sets)], "sk long, n long, bins binary") if bounded else None
+    stars = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(40, i) for i in range(41, 45)] + [(3, 4)], "hub long, sk long")
+    got = similarity.linked_classes(stars, lambda keys: rows.join(keys, "sk", "left_semi"), num=75, den=100, bounds=bounds, block_sets=block_sets)
+    got = {r.node: r.comp for r in got.collect()}
+    assert [got.get(i, i) for i in range(45)] == want
+
+
+def test_stars(spark):
+    """Sets of a signature are in one star, whether they shared it within a batch or across batches."""
+    parts = [[(1, 5), (1, 7), (2, 7)], [(1, 3), (1, 9), (4, 9)], [(1, 8), (4, 8), (6, 1)]]
+    rows = None
+    for p in parts:
+        sig, sk = np.array(p, dtype=np.uint64).T
+        df = spark.createDataFrame(pa.table(similarity.signature_rows(sig, sk)).to_pandas())
+        rows = df if rows is None else rows.union(df)
+    assert {tuple(r) for r in similarity.shared_stars(rows).collect()} == {(3, 5), (3, 7), (3, 8), (3, 9), (8, 9)}
 
 
 def test_substring_dedup(docs, texts, empty):
