@@ -14,18 +14,27 @@ from pyspark.sql import types as T
 
 from cellgrove.llm.text import whole
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the base patterns, and one that only the model finds: keys and tokens that give access.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Documents that the model is fitted on, at most (those with the smallest hashes among documents with a digit or @), and their islands.
 TRAIN_DOCS, TRAIN_ISLANDS, EPOCHS = 2_000, 600, 6
-#: An entity has at most so many tokens and characters.
+#: An entity that the model finds has at most so many tokens and characters; a longer run of letters and digits counts as several tokens.
 MAX_TOKENS, MAX_CHARS = 12, 64
 #: A span of the model counts if its score exceeds that of plain text by so much.
 MARGIN = 2.0
 
+#: Tokens whose segments are scored at once when a long stretch is decoded.
+TOKENS_AT_ONCE = 1_000
+
 Span = tuple[int, int, int]  # kind, start, end
 
 TRIGGER = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+TOKEN = re.compile(rf"[^\W_]{{1,{MAX_CHARS}}}|[^\w\s]|_")
+#: Strings that are certainly secrets, by the name before them: labels to fit the model with.
+NAMED_SECRET = re.compile(r"(?i:token|secret|key|password|passwd|pwd)[\"']?[ ]?[:=][ ]?[\"']?((?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,64})(?![A-Za-z0-9])")
+MIXED = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
+HEX = re.compile(r"[0-9A-Fa-f]{16,}")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: From the start of a run of digits alone: a later start in the run would fail where the first one does.
@@ -42,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a number, of however many digits, is at most 255."""
+    rest = digits.lstrip("0")
+    return len(rest) <= 3 and int(rest or "0") <= 255
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -59,7 +74,7 @@ def base_spans(text: str) -> list[Span]:
             last = m.end()
         at = text.find("@", max(at + 1, last))
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(_is_byte(x) for x in m[0].split(".")):
             found.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if 14 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
@@ -96,7 +111,7 @@ def islands(text: str) -> list[tuple[int, int]]:
 DIGIT_CLASSES, LENGTH_CLASSES = (0, 3, 6, 9, 11, 13, 15, 16, 19), (4, 7, 12, 16, 20, 32)
 GROUPS = re.compile(r"\d+")
 #: How many features a span can have.
-N_FEATURES = 1 + len(DIGIT_CLASSES) + 1 + len(LENGTH_CLASSES) + 1 + 5 + 17
+N_FEATURES = 1 + len(DIGIT_CLASSES) + 1 + len(LENGTH_CLASSES) + 1 + 5 + 21
 
 
 def span_features(text: str, start: int, end: int) -> list[int]:
@@ -126,40 +141,57 @@ def span_features(text: str, start: int, end: int) -> list[int]:
         any(c.isalpha() for c in s),
         s.isdigit(),
         14 <= len(d) <= 19 and luhn(d),
-        len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts),
+        len(parts) == 4 and all(p.isascii() and p.isdecimal() and _is_byte(p) for p in parts),
         groups[-3:] == [3, 3, 4],
         groups == [4, 4, 4, 4],
         not (s[0].isalnum() or s[0] in "+("),
         not s[-1].isalnum(),
         before.isalnum() or after.isalnum() or before == "." or (after == "." and text[end + 1 : end + 2].isdigit()),
+        MIXED.fullmatch(s) is not None,
+        HEX.fullmatch(s) is not None,
+        any(c in text[max(0, start - 4) : start] for c in "=:"),
+        before == after != "" and before in "\"'`",
     )
     found += [at + i for i, f in enumerate(facts) if f]
     return found
 
 
-class Lattice:
-    """The candidate segments of one stretch: tokens as plain text (label 0) and bounded spans (labels 1 to 4)."""
+class Segments:
+    """Candidate segments that begin at the tokens ``low`` to ``high`` (exclusive): tokens as plain text (label 0) and bounded spans (labels 1 and up)."""
 
-    def __init__(self, text: str, begin: int, end: int) -> None:
-        self.tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, begin, end)]
-        rows, self.first, self.last, self.plain = [], [], [], []
-        for i, (a, b) in enumerate(self.tokens):
-            for j in range(i, min(len(self.tokens), i + MAX_TOKENS)):
-                z = self.tokens[j][1]
+    def __init__(self, text: str, tokens: list[tuple[int, int]], low: int, high: int) -> None:
+        rows, first, last, plain, trigger = [], [], [], [], []
+        for i in range(low, high):
+            a, hit = tokens[i][0], False
+            for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+                z = tokens[j][1]
                 if z - a > MAX_CHARS:
                     break
-                if j == i or TRIGGER.search(text, a, z):
-                    self.first.append(i), self.last.append(j + 1), self.plain.append(j == i)
+                hit = hit or TRIGGER.search(text, tokens[j][0], z) is not None
+                if j == i or hit:
+                    first.append(i), last.append(j + 1), plain.append(j == i), trigger.append(hit)
                     rows.append(span_features(text, a, z))
-        self.features = np.zeros((len(rows), N_FEATURES))
+        self.features = np.zeros((len(rows), N_FEATURES), dtype=np.float32)
         for r, x in enumerate(rows):
             self.features[r, x] = 1
-        self.first, self.last = np.array(self.first, dtype=int), np.array(self.last, dtype=int)
-        trigger = np.array([bool(TRIGGER.search(text, self.tokens[i][0], self.tokens[j - 1][1])) for i, j in zip(self.first, self.last, strict=True)], dtype=bool)
+        self.first, self.last, self.plain = np.array(first, dtype=int), np.array(last, dtype=int), np.array(plain, dtype=bool)
         self.barred = np.full((len(rows), 1 + len(KINDS)), -np.inf)
-        self.barred[np.array(self.plain, dtype=bool), 0] = 0
-        self.barred[trigger, 1:] = 0
+        self.barred[self.plain, 0] = 0
+        self.barred[np.array(trigger, dtype=bool), 1:] = 0
+
+
+def tokens_of(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """Runs of letters and digits, cut at MAX_CHARS so that each fits an entity, and single other signs but white space."""
+    return [(m.start(), m.end()) for m in TOKEN.finditer(text, begin, end)]
+
+
+class Lattice(Segments):
+    """All candidate segments of one short stretch."""
+
+    def __init__(self, text: str, begin: int, end: int) -> None:
+        self.tokens = tokens_of(text, begin, end)
         n = len(self.tokens)
+        super().__init__(text, self.tokens, 0, n)
         self.ending = [np.flatnonzero(self.last == j) for j in range(n + 1)]
         self.starting = [np.flatnonzero(self.first == i) for i in range(n + 1)]
 
@@ -198,28 +230,35 @@ def log_likelihood_gradient(x: Lattice, gold: np.ndarray, weights: np.ndarray, m
     return value, (gold - chance).T @ x.features, taken - step
 
 
-def decode(x: Lattice, weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's spans as (label, first token, end token): boundaries and types are chosen together."""
-    n = len(x.tokens)
-    if not n:
-        return []
-    score = x.features @ weights.T + x.barred
-    score[:, 1:] -= MARGIN
-    best, back = np.full((n + 1, moves.shape[0]), -np.inf), {}
+def decode(text: str, begin: int, end: int, weights: np.ndarray, moves: np.ndarray) -> list[Span]:
+    """The best segmentation's spans: boundaries and types are chosen together.
+
+    Segments are scored for TOKENS_AT_ONCE tokens at a time, so that a stretch may be as long as the text.
+    """
+    tokens = tokens_of(text, begin, end)
+    n, k = len(tokens), moves.shape[0]
+    best, came_from, came_by = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k), dtype=np.int32), np.zeros((n + 1, k), dtype=np.int8)
     best[0, 0] = 0
-    for j in range(1, n + 1):
-        s = x.ending[j]
-        step = best[x.first[s]][:, :, None] + moves[None] + score[s][:, None, :]
-        for y in range(moves.shape[0]):
-            r, before = np.unravel_index(step[:, :, y].argmax(), step.shape[:2])
-            best[j, y], back[j, y] = step[r, before, y], (int(x.first[s[r]]), int(before))
-    j, y, found = n, int(best[n].argmax()), []
+    for low in range(0, n, TOKENS_AT_ONCE):
+        high = min(n, low + TOKENS_AT_ONCE)
+        x = Segments(text, tokens, low, high)
+        score = x.features @ weights.T + x.barred
+        score[:, 1:] -= MARGIN
+        bounds = np.searchsorted(x.first, np.arange(low, high + 1))
+        for i in range(low, high):
+            into = best[i][:, None] + moves
+            before = into.argmax(axis=0)
+            rows = slice(bounds[i - low], bounds[i - low + 1])
+            found, at = into[before, np.arange(k)] + score[rows], x.last[rows]
+            better = found > best[at]
+            best[at], came_from[at], came_by[at] = np.where(better, found, best[at]), np.where(better, i, came_from[at]), np.where(better, before, came_by[at])
+    j, y, out = n, int(best[n].argmax()), []
     while j:
-        i, before = back[j, y]
+        i, before = int(came_from[j, y]), int(came_by[j, y])
         if y:
-            found.append((y, i, j))
+            out.append((y - 1, tokens[i][0], tokens[j - 1][1]))
         j, y = i, before
-    return found[::-1]
+    return out[::-1]
 
 
 def fit(examples: list[tuple[str, list[Span]]], *, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -254,10 +293,20 @@ def fit(examples: list[tuple[str, list[Span]]], *, epochs: int = EPOCHS, seed: i
     return weights, moves
 
 
+#: Signs before an island that features of its first span look at.
+LOOK_BACK = 4
+
+
 def training_examples(text: str) -> list[tuple[str, list[Span]]]:
-    """The islands of a text with their base spans; those with a phone number again without its country prefix, as a phone all the same."""
+    """The islands of a text, with LOOK_BACK signs before and one after, with their base spans and named secrets.
+
+    Those with a phone number come again without its country prefix, as a phone all the same.
+    """
     spans, out = base_spans(text), []
+    taken = {i for _, s, e in spans for i in range(s, e)}
+    spans += [(KINDS.index("secret"), m.start(1), m.end(1)) for m in NAMED_SECRET.finditer(text) if not taken & set(range(m.start(1), m.end(1)))]
     for a, b in islands(text):
+        a, b = max(0, a - LOOK_BACK), min(len(text), b + 1)
         inside = [(k, s - a, e - a) for k, s, e in spans if a <= s and e <= b]
         out.append((text[a:b], inside))
         for k, s, e in inside:
@@ -281,8 +330,7 @@ def find_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> tuple[list[
             free.append((at, b))
         for s, e in free:
             if TRIGGER.search(text, s, e):
-                x = Lattice(text, s, e)
-                added += [(y - 1, x.tokens[i][0], x.tokens[j - 1][1]) for y, i, j in decode(x, weights, moves)]
+                added += decode(text, s, e, weights, moves)
     return base, sorted([*base, *added], key=lambda x: (x[1], x[0], x[2]))
 
 
@@ -290,11 +338,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, spans string"
+RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, spans string, n_spans long"
 
 
 def fit_on(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_islands: int = TRAIN_ISLANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit the model on a bounded sample of texts, with the base spans as labels."""
+    """Fit the model on a bounded sample of texts, with the base spans and named secrets as labels.
+
+    Islands of more than 4 * MAX_CHARS signs don't serve as examples; they are decoded all the same.
+    """
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,10 +361,11 @@ def fit_on(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_islands: int
 
 
 def with_pii(docs: DataFrame, **options) -> DataFrame:
-    """Add counts of base spans by kind, ``base`` and ``spans`` ("kind:start:end,...", code points) and ``base_sha256`` (of ``base``).
+    """Add counts of base spans by kind, ``base`` and ``spans`` ("kind:start:end,...", code points), ``base_sha256`` (of ``base``) and ``n_spans``.
 
-    Null or empty texts have no spans. Very long texts are read once; an entity has at most MAX_CHARS characters for the
-    model. Columns named like an added one are replaced; others pass through.
+    Null or empty texts have no spans. Very long texts are read once and decoded stretch by stretch, whatever they
+    consist of; an entity has at most MAX_CHARS characters for the model. Repeated rows have equal results; an empty table gives
+    no rows. Columns named like an added one are replaced; others pass through.
     """
     added = [c.split()[0] for c in RESULT.split(", ")]
     docs = docs.drop(*added)
@@ -323,15 +375,16 @@ def with_pii(docs: DataFrame, **options) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, moves = model.value
         for b in batches:
-            counts, texts = [[] for _ in KINDS], [[], [], []]
+            counts, texts, n_spans = [[] for _ in BASE_KINDS], [[], [], []], []
             for text in b.column("text").to_pylist():
                 base, every = find_spans(text, weights, moves) if text else ([], [])
                 for k, c in enumerate(counts):
                     c.append(sum(x[0] == k for x in base))
+                n_spans.append(len(every))
                 line = joined(base)
                 for c, v in zip(texts, (hashlib.sha256(line.encode()).hexdigest(), line, joined(every)), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.int64()) for c in counts], *[pa.array(c, pa.string()) for c in texts]], [*names, *added])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.int64()) for c in counts], *[pa.array(c, pa.string()) for c in texts], pa.array(n_spans, pa.int64())], [*names, *added])
 
     schema = T.StructType(list(docs.schema.fields))
     for c in RESULT.split(", "):
@@ -341,4 +394,4 @@ def with_pii(docs: DataFrame, **options) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_pii(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return with_pii(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")

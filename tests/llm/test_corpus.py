@@ -294,7 +294,7 @@ def test_word_hashes():
     assert np.diff(at).tolist() == [len(s) for s in split]
     flat = [x for s in split for x in s]
     assert len(set(flat)) == len(set(w.tolist())) == len(set(zip(flat, w.tolist(), strict=True)))
-    assert all(len(x) == 0 for x in substring_dedup.paragraphs(*similarity.word_hashes(pa.array([], pa.binary()))))
+    assert all(len(x) == 0 for x in substring_dedup.paragraphs(*similarity.word_hashes(pa.array([], pa.binary())), 5))
 
 
 def group_of_sets(seed, n=40):
@@ -378,11 +378,63 @@ def test_substring_dedup(docs, texts, empty):
             grams[tuple(w[j : j + 12])].add(i)
     repeated = set().union(*[v for v in grams.values() if len(v) > 1])
     assert ids <= repeated
+    again = substring_dedup.repeated_passages(docs.union(docs).withColumn("_run", F.lit(1)).withColumn("sk", F.lit("x"))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
     kept = [r for r in found if r.doc_id == first]
     assert all(r.n_removed_words == 0 for r in kept)
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def shingles(words):
+    return {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+
+
+def test_substring_recall(spark):
+    """Passages in two texts each, exact from 51 words on and edited ones of a similarity of 0.75 or more, against all pairs; clean texts stay."""
+    rng = random.Random(23)
+    rows, exact, near, clean = [], [], [], []
+    while len(exact) < 150 or len(near) < 150:
+        edited = len(exact) >= 150
+        p = prose(rng, rng.randint(51, 70) if not edited else rng.randint(60, 150), 30_000).split()
+        q = list(p)
+        for _ in range(rng.randint(1, 3) if edited else 0):
+            q[rng.randrange(len(q))] = f"new{rng.randrange(10**6)}"
+        if 100 * len(shingles(p) & shingles(q)) < 75 * len(shingles(p) | shingles(q)):
+            continue
+        (near if edited else exact).append(len(rows) + 1)
+        for x in (p, q):
+            rows.append((len(rows), " ".join([prose(rng, rng.randint(20, 200), 30_000), *x, prose(rng, rng.randint(20, 200), 30_000)])))
+    for _ in range(100):
+        clean.append(len(rows))
+        rows.append((len(rows), prose(rng, 300, 30_000)))
+    found = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = lambda ids: sum(i in found and found[i].first_doc_id == i - 1 and found[i].n_removed_words > 0 for i in ids) / len(ids)
+    assert share(exact) >= 0.99 and share(near) >= 0.9 and not set(clean) & set(found), (share(exact), share(near))
+    for i in exact:
+        if i in found:
+            assert all(found[i].first_word <= a < b <= found[i].end_word for a, b in found[i].removed)
+            assert found[i].n_removed_words == len({w for a, b in found[i].removed for w in range(a, b)})
+
+
+def test_paragraph_links(spark):
+    """Classes of paragraphs against all pairs: found links are links, and few of all are missed."""
+    rng = random.Random(29)
+    sets = []
+    for _ in range(120):
+        p = prose(rng, 12, 30_000).split()
+        sets.append(p)
+        for _ in range(3):
+            q = list(p)
+            q[rng.choice([0, 1, 10, 11])] = f"new{rng.randrange(10**6)}"
+            sets.append(q)
+    hashed = [np.unique(similarity.shingle_hashes(similarity.word_hashes(pa.array([" ".join(x).encode()], pa.binary()))[0])) for x in sets]
+    links = [p for p in all_links(hashed)]
+    starts = np.cumsum([0, *map(len, hashed[:-1])])
+    bands = substring_dedup.band_signatures(np.concatenate(hashed), starts)
+    met = [(bands[a] == bands[b]).any() for a, b in links]
+    assert len(links) > 100 and sum(met) / len(links) > 0.95, (len(links), sum(met))
+
+
 def test_pii():
     text = "a.b@c.d.co x@y 1.2.3.4 999.1.1.1 no 4111 1111 1111 1111 to +1 (389) 555-5010 +12 4111111111111112 é b@c.io"
     got = pii.base_spans(text)
@@ -401,8 +453,9 @@ def test_semi_markov_model():
     """Gradients agree with differences, decoding with all segmentations, and the fit finds a phone number without its prefix."""
     x = pii.Lattice("a 12-3", 0, 6)
     rng = np.random.default_rng(0)
-    weights, moves = rng.normal(size=(5, pii.N_FEATURES)), rng.normal(size=(5, 5))
-    gold = np.zeros((len(x.first), 5))
+    k = 1 + len(pii.KINDS)
+    weights, moves = rng.normal(size=(k, pii.N_FEATURES)), rng.normal(size=(k, k))
+    gold = np.zeros((len(x.first), k))
     gold[np.flatnonzero((x.first == 0) & (x.last == 1))[0], 0] = 1
     gold[np.flatnonzero((x.first == 1) & (x.last == len(x.tokens)))[0], 3] = 1
     value, gw, gm = pii.log_likelihood_gradient(x, gold, weights, moves)
@@ -421,17 +474,76 @@ def test_semi_markov_model():
         if at == len(x.tokens):
             yield 0.0, []
         for r in np.flatnonzero(x.first == at):
-            for y in range(5):
+            for y in range(k):
                 if np.isfinite(score[r, y]):
                     for s, rest in paths(int(x.last[r]), y):
                         yield s + score[r, y] + moves[before, y], [*([(y, at, int(x.last[r]))] if y else []), *rest]
 
-    assert pii.decode(x, weights, moves) == max(paths(0, 0))[1]
+    assert pii.decode("a 12-3", 0, 6, weights, moves) == [(y - 1, x.tokens[i][0], x.tokens[j - 1][1]) for y, i, j in max(paths(0, 0))[1]]
+    long = "7-12.5 x9 " * 300
+    whole = pii.decode(long, 0, len(long), weights, moves)
+    pii.TOKENS_AT_ONCE, before = 7, pii.TOKENS_AT_ONCE
+    assert pii.decode(long, 0, len(long), weights, moves) == whole and whole
+    pii.TOKENS_AT_ONCE = before
     examples = [e for i in range(60) for e in pii.training_examples(f"see +1 (20{i % 10}) 555-50{10 + i} or {i} and 10.0.{i}.7 at b{i}@c.io, id {i * 37}x")]
     base, every = pii.find_spans("now (203) 555-5017 ok 12", *pii.fit(examples))
     assert not base and every == [(3, 4, 18)]
 
 
+def contract_spans(t):
+    """The base spans by the contract's patterns as they stand."""
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+    def luhn(d):
+        twice = [int(c) * 2 for c in d[-2::-2]]
+        return (sum(int(c) for c in d[::-2]) + sum(v if v < 10 else v - 9 for v in twice)) % 10 == 0
+
+    checks = [lambda m: True, lambda m: all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m.split(".")), lambda m: 14 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d), lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15]
+    found = [(k, m.start(), m.end()) for k, p in enumerate(patterns) if k or "@" in t for m in re.finditer(p, t) if checks[k](m[0])]
+    return sorted(found, key=lambda x: (x[1], x[0]))
+
+
+def test_pii_on_any_text():
+    """Base spans as the contract's patterns give them, added ones apart from these, on random, very long and awkward texts."""
+    rng = random.Random(8)
+    model = pii.fit([e for i in range(40) for e in pii.training_examples(f"see +1 (20{i % 10}) 555-50{10 + i} or 10.0.{i}.7 at b{i}@c.io, key = 'a{i}bc9d8e7f6a5b4c{i}'")], epochs=2)
+    hard = ["1" * 65, "1.2.3.²", "0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "300", "x" * 70 + "1" + "y" * 200 + "@", "٣٤.1.2.3", "+1" + " (2) " * 40, "a@b" * 500, "@@@", "1-" * 9000]
+    texts = ["".join(rng.choice("01459abZ.@-+() \n²é_=\"'") for _ in range(rng.randrange(1, 120))) for _ in range(1500)]
+    texts += ["".join(rng.choice("0123456789 -") for _ in range(60)) for _ in range(500)] + ["+" + "".join(rng.choice("0123456789 -().") for _ in range(16)) for _ in range(500)]
+    texts += [" a ".join(str(4 * 10**15 + rng.randrange(10**15)) for _ in range(5)) for _ in range(100)] + [" ".join(".".join(str(rng.randrange(300)) for _ in range(rng.randint(3, 5))) for _ in range(3)) for _ in range(100)]
+    texts += hard + ["".join(rng.choice("012.@- ax") for _ in range(20_000)), "7" * 20_000]
+    seen = [0] * 4
+    for t in texts:
+        base, every = pii.find_spans(t, *model)
+        assert base == contract_spans(t), t[:200]
+        for k, _, _ in base:
+            seen[k] += 1
+        free = sorted((s, e) for _, s, e in set(every) - set(base))
+        assert all(0 <= s < e <= len(t) for s, e in free) and all(a[1] <= b[0] for a, b in zip(free, free[1:], strict=False))
+        assert not any(s < y and x < e for s, e in free for _, x, y in base if t not in texts[-2:])
+    assert min(seen) > 20, seen
+
+
+def test_secrets_of_the_model():
+    """Secrets without a telling name are found, numbers and long words aren't."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    plain = lambda: rng.choice([f"{rng.randrange(10**6)}", f"{rng.randrange(99)}x", f"chapter {rng.randrange(50)}", f"{rng.randrange(10**15, 10**16)}", f"({rng.randrange(9)})", f"v{rng.randrange(9)}.{rng.randrange(9)}"])
+    examples = [e for i in range(120) for e in pii.training_examples(f'see {plain()} or {plain()} token = "{hexes(rng.choice([24, 32, 40]))}" and b{i}@c.io, call +1 (203) 555-50{10 + i % 80}')]
+    model = pii.fit(examples)
+    hits = false = 0
+    for _ in range(200):
+        value = hexes(rng.choice([24, 32, 40]))
+        if value.isdigit() or value.isalpha():
+            continue
+        t = f'word {plain()} the value: "{value}" {plain()} end'
+        found = {(s, e) for k, s, e in pii.find_spans(t, *model)[1] if pii.KINDS[k] == "secret"}
+        hits += (t.index(value), t.index(value) + len(value)) in found
+        t = f"word {plain()} antidisestablishmentarianism2 {plain()} end {plain()}"
+        false += any(pii.KINDS[k] == "secret" for k, _, _ in pii.find_spans(t, *model)[1])
+    assert hits >= 180 and false <= 10, (hits, false)
+
+
 def test_pii_operator(spark, docs, empty):
     more = docs.union(docs.limit(1).withColumns({"doc_id": F.lit(900).cast("long"), "text": F.lit("é a.b@c.de 10.0.0.1")}))
     got = {r.doc_id: r for r in pii.with_pii(more, train_islands=50).collect()}
