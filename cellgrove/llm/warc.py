@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrove.scratch import materialize, new_path
@@ -28,16 +28,14 @@ MANIFEST = "path string, n_records long"
 CHUNKS = "record_id string, page_id long, record_type string, refers_to long, chunk_no int, is_last boolean, data binary, payload_bytes long, payload_digest string"
 
 
-def chunks(payload: Column, chunk_bytes: int = CHUNK_BYTES) -> Column:
-    """The payload cut to pieces in order; one empty piece of an empty payload."""
-    n = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / chunk_bytes)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(payload, i * chunk_bytes + 1, F.lit(chunk_bytes)))
-
-
 def chunk_table(pages: DataFrame, keys: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A row a chunk: ``keys``, ``chunk_no``, ``n_chunks`` and ``data``; the chunks of a record follow each other."""
-    cut = pages.select(*keys, chunks(F.col("payload"), chunk_bytes).alias("_c"))
-    return cut.select(*keys, F.size("_c").alias("n_chunks"), F.posexplode("_c").alias("chunk_no", "data"))
+    """A row a chunk, cut one after the other: ``keys``, ``n_chunks``, ``chunk_no`` and ``data``; an empty payload has one empty chunk.
+
+    The chunks of a record follow each other. No row but the scanned one holds a whole payload, and no list of all pieces is made.
+    """
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / chunk_bytes)).cast("int")
+    numbered = pages.select(*keys, "payload", n.alias("n_chunks")).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    return numbered.select(*keys, "n_chunks", "chunk_no", F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +119,11 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, chunk_bytes: int
 
     The payload is the html in UTF-8, empty where it is null. Equal payloads of ``min_bytes`` or more are stored once,
     with the largest page_id; the others become revisits without payload. Null page_ids have a record
-    without page id and are never the largest; rows that repeat a page_id and its payload are all responses.
-    Payloads pass through tasks as rows of ``chunk_bytes``, with digests carried along. Only archives named in the
+    without page id and are never the largest; rows that repeat a page_id and its payload are all responses. An empty table
+    gives an empty manifest. Other columns are not read, whatever their names.
+
+    Payloads of any size pass through tasks as rows of ``chunk_bytes``: digests are carried from chunk to chunk, what is
+    known of a record is joined to its chunks, and the writer sees one chunk at a time. Only archives named in the
     manifest count: a lost or repeated attempt leaves a file of its own that no manifest names.
     """
     spark = pages.sparkSession
@@ -130,10 +131,13 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, chunk_bytes: int
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("rid", F.xxhash64("page_id", "url", "payload"))
     heads = materialize(chunk_table(source, ["rid", "page_id"], chunk_bytes).mapInArrow(_digests, HEADS), "payload-heads")
-    roles = record_roles(heads, min_bytes).drop("page_id").distinct()
-    records = source.join(roles, "rid").withColumn("payload", F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload")))
-    keys = ["rid", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
-    return materialize(chunk_table(records, keys, chunk_bytes).mapInArrow(_writer(folder), MANIFEST), "warc-manifest")
+    roles = record_roles(heads, min_bytes).distinct()
+    # Rows that repeat have one rid; the number of the row keeps their chunks apart.
+    pieces = chunk_table(source.withColumn("row", F.monotonically_increasing_id()), ["rid", "row", "url"], chunk_bytes)
+    revisit = F.col("record_type") == "revisit"
+    records = pieces.join(roles, "rid").filter(~revisit | (F.col("chunk_no") == 0))
+    records = records.withColumns({"data": F.when(revisit, F.lit(b"")).otherwise(F.col("data")), "n_chunks": F.when(revisit, 1).otherwise(F.col("n_chunks"))})
+    return materialize(records.sortWithinPartitions("rid", "row", "chunk_no").mapInArrow(_writer(folder), MANIFEST), "warc-manifest")
 
 
 def _records(path: str, with_data: bool, chunk_bytes: int) -> Iterator[tuple]:
