@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellgrove.scratch import new_path
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -93,3 +95,36 @@ def event_polygons(spark: SparkSession, sf_dir: str, regions: int = 10) -> DataF
     tumour = f"named_struct('kind', 'tumour', 'rings', array(array({square(0, TUMOUR)})))"
     both = F.expr(f"CASE WHEN region_id = {regions - 1} THEN array() WHEN region_id % 2 = 0 THEN array({tissue}, {tumour}) ELSE array({tissue}) END")
     return ids.select("region_id", F.inline(both))
+
+
+def region_polygons(spark: SparkSession, cells: DataFrame) -> DataFrame:
+    """(region_id, kind, rings): a tissue square for every region, and a tumour square of a size that differs between regions."""
+    tissue = f"named_struct('kind', 'tissue', 'rings', array(array({square(0, TISSUE)})))"
+    side = "CAST(300 + 50 * (region_id % 7) AS DOUBLE)"
+    ring = "array(" + ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in (("0D", "0D"), (side, "0D"), (side, side), ("0D", side), ("0D", "0D"))) + ")"
+    tumour = f"named_struct('kind', 'tumour', 'rings', array(array({ring})))"
+    return cells.select("region_id").distinct().select("region_id", F.inline(F.expr(f"array({tissue}, {tumour})")))
+
+
+def csv_tree(spark: SparkSession, sf_dir: str, regions: int = 4) -> str:
+    """Write a tree of region files from the events, and two metadata files, to the shared folder; returns its root.
+
+    Panels of markers differ between regions, every fifth cell type is a null token, and one region has no tumour.
+    """
+    root = new_path(spark, "tree")
+    cells = event_cells(spark, sf_dir, regions)
+    marker = lambda i: (F.col("value") * i).alias(f"m{i}")
+    text = lambda df, at: df.coalesce(1).write.option("header", True).csv(f"{root}/{at}")
+    for r in range(regions):
+        own, at = cells.filter(F.col("region_id") == r), f"regions/r{r}"
+        text(own.select("cell_id", "x", "y"), f"{at}/coordinates.csv")
+        text(own.select("cell_id", marker(1 + r % 2), marker(2 + r % 2)), f"{at}/expression.csv")
+        text(own.select("cell_id", F.when(F.col("cell_id") % 5 == 0, "NA").otherwise(F.col("cell_type")).alias("cell_type")), f"{at}/cell_types.csv")
+        ring = lambda s: f"[[[0, 0], [{s}, 0], [{s}, {s}], [0, {s}], [0, 0]]]"
+        feature = lambda s, kind: f'{{"type": "Feature", "properties": {{{kind}}}, "geometry": {{"type": "Polygon", "coordinates": {ring(s)}}}}}'
+        both = [feature(900 + r, ""), *([feature(100 * r, '"kind": "tumor"')] if r else [])]
+        spark.createDataFrame([(f'{{"type": "FeatureCollection", "features": [{", ".join(both)}]}}',)], "value string").coalesce(1).write.text(f"{root}/{at}/tissue_polygons.geojson")
+    m = event_metadata(spark, sf_dir)
+    text(m.filter("region_id % 2 = 0").select("region_id", F.concat(F.lit("00"), "patient_id").alias("patient_id"), "cohort", "time"), "meta_a.csv")
+    text(m.filter("region_id % 2 = 1").select("region_id", "patient_id", "label", F.when(F.col("region_id") % 3 == 0, "n/a").otherwise(F.col("cohort")).alias("cohort")), "meta_b.csv")
+    return root

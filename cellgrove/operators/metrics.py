@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIMARY = {"survival": "c_index", "binary": "auc_roc", "multiclass": "balanced_acc"}
+# Metrics of each kind of task, and the one that is reported first.
+PRIMARY = {"survival": "c_index", "survival_regression": "c_index", "binary": "auc_roc", "binary_classification": "auc_roc", "multiclass": "balanced_acc", "multiclass_classification": "balanced_acc"}
 METRICS = {"survival": ["c_index"], "binary": ["auc_roc", "auc_pr", "balanced_acc"], "multiclass": ["balanced_acc", "auc_ovr"]}
 
 
+#: Quantile buckets that the values of a run are dealt to, so that no task orders a whole run.
+BUCKETS = 256
+
+
+def kind_of(task_type: str) -> str:
+    """survival, binary or multiclass, for any name of the type."""
+    return task_type.split("_")[0]
+
+
+def _bucket(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """``rows`` with the number of the quantile bucket of ``column`` within its run; equal values share a bucket, higher values have higher ones."""
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
+    joined = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # without keys one row
+    return joined.withColumn(name, F.size(F.filter("_cuts", lambda c: c <= F.col(column)))).drop("_cuts")
+
+
 def _by_score(pred: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by distinct score, with those of the scores from there up: sums over buckets first, then within each bucket."""
     counts = pred.groupBy(*keys, "score").agg(F.sum("truth").alias("_ones"), F.sum(1 - F.col("truth")).alias("_zeros"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    every = Window.partitionBy(*keys)
-    return counts.withColumns({"_tp": F.sum("_ones").over(down), "_fp": F.sum("_zeros").over(down), "_pos": F.sum("_ones").over(every), "_neg": F.sum("_zeros").over(every)})
+    counts = _bucket(counts, keys, "score", "_b")
+    of_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_ones").alias("_b1"), F.sum("_zeros").alias("_b0"))  # BUCKETS rows a run at most
+    down, every = Window.partitionBy(*keys).orderBy(F.desc("_b")), Window.partitionBy(*keys)
+    above = of_bucket.select(*keys, "_b", (F.sum("_b1").over(down) - F.col("_b1")).alias("_up1"), (F.sum("_b0").over(down) - F.col("_b0")).alias("_up0"), F.sum("_b1").over(every).alias("_pos"), F.sum("_b0").over(every).alias("_neg"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"))
+    own = counts.withColumns({"_in1": F.sum("_ones").over(inside), "_in0": F.sum("_zeros").over(inside)}).join(above, [*keys, "_b"])
+    return own.select(*keys, "score", "_ones", "_zeros", (F.col("_up1") + F.col("_in1")).alias("_tp"), (F.col("_up0") + F.col("_in0")).alias("_fp"), "_pos", "_neg")
 
 
 def roc_auc(pred: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -60,22 +82,45 @@ def concordance(pred: DataFrame, *, keys: list[str]) -> DataFrame:
     """(keys, c_index) of (keys, time, event, risk); null without comparable pairs.
 
     A pair counts if the earlier subject has the event, or at equal times if exactly one has it; risk ties count half.
-    Equal (time, event, risk) are summed up first; what is left is joined on the run and a half-open condition on time.
+    Equal (time, event, risk) are summed up first. What is left is dealt to quantile buckets of time and of risk, some sqrt(n) / 4 of
+    each: pairs in different buckets of both are counted from sums by bucket, and only those that share
+    a bucket of time or of risk are joined, so a run of n rows makes some n^1.5 pairs and not n^2.
     """
     c = pred.groupBy(*keys, "time", "event", "risk").agg(F.count("*").alias("n"))
-    side = lambda s: c.select(*keys, *[F.col(x).alias(f"{x}_{s}") for x in ("time", "event", "risk", "n")])
+    sizes = c.groupBy(*keys).agg(F.least(F.lit(BUCKETS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")) / 4))).cast("int").alias("_k"))
+    c = _bucket(_bucket(c, keys, "time", "_t"), keys, "risk", "_r").join(sizes, keys)
+    c = c.withColumns({x: F.floor(F.col(x) * F.col("_k") / BUCKETS).cast("int") for x in ("_t", "_r")}).drop("_k")
+
+    side = lambda s: c.select(*keys, "_t", "_r", *[F.col(x).alias(f"{x}_{s}") for x in ("time", "event", "risk", "n")])
     first = side("a").filter("event_a = 1")
-    later = "time_a < time_b OR (time_a = time_b AND event_b = 0)"
-    pairs = first.join(side("b"), keys).filter(later)
     n = F.col("n_a") * F.col("n_b")
     good = n * F.when(F.col("risk_a") > F.col("risk_b"), 1.0).when(F.col("risk_a") == F.col("risk_b"), 0.5).otherwise(0.0)
-    found = pairs.groupBy(*keys).agg((F.sum(good) / F.sum(n)).alias("c_index"))
-    return pred.select(*keys).distinct().join(found, keys, "left")
+    same_time = first.join(side("b").drop("_r"), [*keys, "_t"]).filter("time_a < time_b OR (time_a = time_b AND event_b = 0)")
+    near = same_time.groupBy(*keys).agg(F.sum(good).alias("good"), F.sum(n).cast("double").alias("pairs"))
+    same_risk = first.withColumnRenamed("_t", "_ta").join(side("b").withColumnRenamed("_t", "_tb"), [*keys, "_r"]).filter("_ta < _tb")
+    tied = same_risk.groupBy(*keys).agg(F.sum(good).alias("good"), F.lit(0.0).alias("pairs"))
+
+    cells = c.groupBy(*keys, "_t", "_r").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("event") == 1, F.col("n"))).alias("events"))
+    places = F.sequence(F.lit(0), F.col("_k") - 1)
+    grid = sizes.withColumn("_t", F.explode(places)).withColumn("_r", F.explode(places)).drop("_k").join(cells, [*keys, "_t", "_r"], "left").na.fill(0, ["n", "events"])
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "_t").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = Window.partitionBy(*keys, "_r").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_lower", lower).withColumns({"_won": F.coalesce(F.sum("_lower").over(after), F.lit(0)), "_later": F.coalesce(F.sum("n").over(after), F.lit(0))})
+    later = F.sum("_later").over(Window.partitionBy(*keys, "_t"))
+    far = grid.withColumn("_later", later).groupBy(*keys).agg(F.sum(F.col("events") * F.col("_won")).cast("double").alias("good"), F.sum(F.col("events") * F.col("_later")).cast("double").alias("pairs"))
+    total = near.union(tied).union(far).groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("pairs").alias("pairs"))
+    return total.select(*keys, F.when(F.col("pairs") > 0, F.col("good") / F.col("pairs")).alias("c_index"))
 
 
 def null_metrics(runs: DataFrame, kind: str) -> DataFrame:
-    """The metrics of failed runs: null."""
-    return runs.withColumns({m: F.lit(None).cast("double") for m in METRICS[kind]})
+    """(..., metric, value) of runs that failed: null for each metric of the kind of task."""
+    return runs.withColumn("metric", F.explode(F.array(*[F.lit(m) for m in METRICS[kind_of(kind)]]))).withColumn("value", F.lit(None).cast("double"))
+
+
+def primary(scores: DataFrame, task_types: dict[str, str]) -> DataFrame:
+    """The rows of each task's primary metric; ``task_types`` has the type of each task."""
+    wanted = F.create_map(*[x for t, kind in task_types.items() for x in (F.lit(t), F.lit(PRIMARY[kind]))])
+    return scores.filter(F.col("metric") == wanted[F.col("task")])
 
 
 def summarize(scores: DataFrame, *, keys: list[str]) -> DataFrame:

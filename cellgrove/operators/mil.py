@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrove.operators import features as fe
+from cellgrove.operators import metrics as me
+from cellgrove.operators import models, pipelines, prep, splits
 from cellgrove.operators.spatial import neighbourhood
+from cellgrove.scratch import materialize
 
 
 def focal_cells(cells: DataFrame, *, n_samples: int | None = 16, sample_ratio: float | None = None, seed: int = 0) -> DataFrame:
     """(region_id, cell_id) of a sample of each region in the order of md5(seed:cell_id): n_samples, or ceil(ratio * n), 1 at least."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("cell_id").cast("string")).cast("binary"))
-    sizes = cells.groupBy("region_id").agg(F.count("*").alias("_n"))
     k = F.lit(n_samples) if sample_ratio is None else F.greatest(F.lit(1), F.ceil(F.col("_n") * sample_ratio))
-    ranked = cells.select("region_id", "cell_id", F.row_number().over(Window.partitionBy("region_id").orderBy(order, "cell_id")).alias("_r"))
-    return ranked.join(F.broadcast(sizes), "region_id").filter(F.col("_r") <= k).select("region_id", "cell_id")
+    region = Window.partitionBy("region_id")
+    ranked = cells.select("region_id", "cell_id", F.row_number().over(region.orderBy(order, "cell_id")).alias("_r"), F.count("*").over(region).alias("_n"))
+    return ranked.filter(F.col("_r") <= k).select("region_id", "cell_id")
 
 
 def instances(cells: DataFrame, focal: DataFrame, *, radius_um: float = 100.0, mpp: float = 1.0, min_cells: int = 10) -> DataFrame:
@@ -24,7 +30,7 @@ def instances(cells: DataFrame, focal: DataFrame, *, radius_um: float = 100.0, m
     return members.join(full, ["region_id", "instance_id"], "left_semi").select("region_id", "instance_id", "cell_id", "cell_type")
 
 
-def pool(proba: DataFrame, regions: DataFrame, classes: list[str], *, agg: str = "mean") -> DataFrame:
+def pool(proba: DataFrame, regions: DataFrame, classes: list, *, agg: str = "mean") -> DataFrame:
     """(region_id, class, proba) from (region_id, instance_id, class, proba): mean, or max scaled to sum 1; uniform without instances."""
     if agg not in ("mean", "max"):
         raise ValueError(f"unknown pooling {agg!r}")
@@ -33,3 +39,45 @@ def pool(proba: DataFrame, regions: DataFrame, classes: list[str], *, agg: str =
         p = p.withColumn("proba", F.col("proba") / F.sum("proba").over(Window.partitionBy("region_id")))
     grid = regions.select("region_id").distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
     return grid.join(p, ["region_id", "class"], "left").withColumn("proba", F.coalesce("proba", F.lit(1.0 / len(classes))))
+
+
+def bag_labels(instances: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region_id, instance_id, label): each instance has the label of its region."""
+    return instances.select("region_id", "instance_id").distinct().join(labels.select("region_id", "label"), "region_id")
+
+
+def cross_validate(cells: DataFrame, meta: DataFrame, *, seeds: list[int], k: int = 5, n_samples: int = 16, radius_um: float = 100.0, mpp: float = 1.0, min_cells: int = 10, agg: str = "mean", featurise: Callable | None = None) -> DataFrame:
+    """(seed, fold, auc_roc, auc_pr, balanced_acc) of a logistic model of instances whose scores are pooled by region.
+
+    ``meta`` has (region_id, patient_id, label 0/1); folds are of patients. ``featurise`` makes (instance_id, feature, value) of instances, by default
+    their composition. Training and other regions draw focal cells with the same seed. Regions without an instance get 0.5.
+    """
+    inst = instances(cells, focal_cells(cells, n_samples=n_samples), radius_um=radius_um, mpp=mpp, min_cells=min_cells)
+    f = (featurise or (lambda i: fe.composition(i, fe.vocabulary(cells, keys=[]), keys=["instance_id"])))(inst).withColumnRenamed("instance_id", "region_id")
+    bags = materialize(bag_labels(inst, meta), "bags")
+    folds = splits.fold_patients(splits.patient_strata(meta, "label"), seeds=seeds, k=k, stratified=True)
+    roles = materialize(splits.assignments(meta, folds, k=k), "mil-roles")
+    keys = ["seed", "fold"]
+    runs = roles.join(bags, "region_id").select(*keys, F.col("instance_id").alias("region_id"), "role")
+    table = pipelines.run_features(f, runs, keys=keys, fill=0.0)
+    ready = prep.assemble(prep.apply_prep(table, prep.fit_prep(table, keys=keys), keys=keys), keys=keys)
+    owner = bags.select(F.col("instance_id").alias("region_id"), F.col("region_id").alias("bag"), "label")
+    rows = materialize(ready.join(owner, "region_id"), "mil-rows")
+    betas = models.fit_logistic(prep.balanced_weights(rows.filter("role = 'train'"), keys=keys), keys=keys)
+    scored = models.predict_logistic(rows.filter("role = 'val'"), betas, keys=keys)
+    one = scored.select(*keys, F.concat_ws(":", "seed", "fold", F.col("bag").cast("string")).alias("region_id"), F.col("region_id").alias("instance_id"), "score")
+    both = one.withColumn("class", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("proba", F.when(F.col("class") == 1, F.col("score")).otherwise(1 - F.col("score")))
+    asked = roles.filter("role = 'val'").join(meta.select("region_id", "label"), "region_id")
+    asked = asked.select(*keys, F.concat_ws(":", "seed", "fold", F.col("region_id").cast("string")).alias("region_id"), F.col("label").alias("truth"))
+    pooled = pool(both, asked, [0, 1], agg=agg).filter("class = 1").withColumnRenamed("proba", "score")
+    return me.binary_metrics(asked.join(pooled, "region_id").select(*keys, "truth", "score"), keys=keys)
+
+
+def sweep(cells: DataFrame, meta: DataFrame, variants: list[dict], **fixed) -> DataFrame:
+    """`cross_validate` for each variant (a dict of its options): (variant, seed, fold, metrics)."""
+    out = None
+    for v in variants:
+        name = ", ".join(f"{k}={v[k]}" for k in sorted(v) if k != "featurise")
+        one = cross_validate(cells, meta, **fixed, **v).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -11,9 +11,13 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrove.scratch import materialize
+
 CUTOFF = 1e-6
 
 
@@ -21,9 +25,14 @@ def _dot(beta: Column, x: Column) -> Column:
     return F.aggregate(F.zip_with(beta, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def _outer_sums(x: Column, size: int, weight: Column) -> Column:
-    """Sums of weight * x[i] * x[j] for i <= j, as an array."""
-    return F.array(*[F.sum(weight * F.get(x, F.lit(i)) * F.get(x, F.lit(j))) for i in range(size) for j in range(i, size)])
+def _outer(x: Column) -> Column:
+    """x[i] * x[j] for i <= j, as an array."""
+    return F.flatten(F.transform(x, lambda v, i: F.transform(F.slice(x, i + 1, F.size(x)), lambda u: u * v)))
+
+
+def _sum_arrays(x: Column) -> Column:
+    """The sum of arrays of numbers, place by place."""
+    return vector_to_array(Summarizer.sum(array_to_vector(x)))
 
 
 def _square(upper: list[float], size: int) -> np.ndarray:
@@ -39,36 +48,45 @@ def _with_beta(rows: DataFrame, betas: dict, keys: list[str]) -> DataFrame:
     return rows.join(F.broadcast(spark.createDataFrame([(*k, b.tolist()) for k, b in betas.items()], schema)), keys)
 
 
-def fit_logistic(rows: DataFrame, *, keys: list[str], c: float = 1.0, max_iter: int = 25) -> DataFrame:
+def _solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    step = np.linalg.solve(h, g)
+    if not np.isfinite(step).all():
+        raise np.linalg.LinAlgError("the step isn't finite")
+    return step
+
+
+def fit_logistic(rows: DataFrame, *, keys: list[str], c: float = 1.0, max_iter: int = 25, failed: dict | None = None) -> DataFrame:
     """(keys, beta): L2 logistic regressions of (keys, x, label 0/1, weight), intercept first and not penalised.
 
-    Minimises sum(weight * log loss) + |beta|^2 / (2 c), as Newton steps for all runs in one job each.
+    Minimises sum(weight * log loss) + |beta|^2 / (2 c), as Newton steps for all runs in one job each: a gradient and the upper half of
+    a Hessian for each run, summed up as vectors. A run that can't be solved has no row and goes to ``failed`` with its error.
     """
-    rows = rows.withColumn("x", F.concat(F.array(F.lit(1.0)), "x")).withColumn("p_", F.size("x")).cache()
+    failed = {} if failed is None else failed
+    rows = materialize(rows.withColumn("x", F.concat(F.array(F.lit(1.0)), "x")).withColumn("p_", F.size("x")), "model-rows")
     sizes = {tuple(r[k] for k in keys): r["p"] for r in rows.groupBy(*keys).agg(F.max("p_").alias("p")).collect()}  # one row a run
     betas = {k: np.zeros(p) for k, p in sizes.items()}
-    top = max(sizes.values(), default=0)
+    done: dict[tuple, np.ndarray] = {}
     for _ in range(max_iter):
         if not betas:
             break
         mu = 1 / (1 + F.exp(-_dot(F.col("beta"), F.col("x"))))
         at = _with_beta(rows, betas, keys).withColumns({"mu": mu}).withColumns({"g": F.col("weight") * (F.col("label") - F.col("mu")), "w": F.col("weight") * F.col("mu") * (1 - F.col("mu"))})
-        sums = at.groupBy(*keys).agg(F.array(*[F.sum(F.col("g") * F.get("x", F.lit(i))) for i in range(top)]).alias("g"), _outer_sums(F.col("x"), top, F.col("w")).alias("h")).collect()
-        moved = 0.0
+        sums = at.groupBy(*keys).agg(_sum_arrays(F.transform("x", lambda v: v * F.col("g"))).alias("g"), _sum_arrays(F.transform(_outer(F.col("x")), lambda v: v * F.col("w"))).alias("h")).collect()
         for r in sums:
             k = tuple(r[x] for x in keys)
             p = sizes[k]
-            g = np.array([v or 0.0 for v in r["g"]])[:p]
-            h = _square([v or 0.0 for v in r["h"]], top)[:p, :p]
             pen = np.eye(p) / c
             pen[0, 0] = 1e-9
-            step = np.linalg.solve(h + pen, g - pen @ betas[k])
+            try:
+                step = _solve(_square(r["h"], p) + pen, np.array(r["g"]) - pen @ betas[k])
+            except np.linalg.LinAlgError as e:
+                failed[k] = str(e)
+                del betas[k]
+                continue
             betas[k] = betas[k] + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < CUTOFF:
-            break
-    rows.unpersist()
-    return _beta_table(rows, betas, keys)
+            if float(np.abs(step).max()) < CUTOFF:  # a run that has ended takes no part in later steps
+                done[k] = betas.pop(k)
+    return _beta_table(rows, done | betas, keys)
 
 
 def _beta_table(rows: DataFrame, betas: dict, keys: list[str]) -> DataFrame:
@@ -95,13 +113,15 @@ def predict_ovr(rows: DataFrame, betas: DataFrame, *, keys: list[str]) -> DataFr
     return p.withColumn("proba", F.col("proba") / F.sum("proba").over(Window.partitionBy(*keys, "region_id")))
 
 
-def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_iter: int = 15) -> DataFrame:
+def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_iter: int = 15, failed: dict | None = None) -> DataFrame:
     """(keys, beta): ridge Cox models of (keys, x, time, event): log partial likelihood (Efron) / n - penalizer / 2 |beta|^2.
 
     Each Newton step sums w, w x and w x x' by run and time (events apart) and adds them up over later times with a window on the
-    sums; ties are spread over their events by a sequence, so no risk set is ever collected.
+    sums; ties are spread over their events by a sequence, so no risk set is ever collected. A run that can't be solved has no row
+    and goes to ``failed`` with its error.
     """
-    rows = rows.withColumn("p_", F.size("x")).cache()
+    failed = {} if failed is None else failed
+    rows = materialize(rows.withColumn("p_", F.size("x")), "model-rows")
     info = {tuple(r[k] for k in keys): (r["p"], r["n"]) for r in rows.groupBy(*keys).agg(F.max("p_").alias("p"), F.count("*").alias("n")).collect()}
     betas = {k: np.zeros(p) for k, (p, _) in info.items()}
     top = max((p for p, _ in info.values()), default=0)
@@ -127,13 +147,17 @@ def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_ite
             k = tuple(r[x] for x in keys)
             p, n = info[k]
             grad = np.array(r["g"])[:p] / n - penalizer * betas[k]
-            step = np.linalg.solve(_square(r["h"], top)[:p, :p] / n + penalizer * np.eye(p), grad)
+            try:
+                step = _solve(_square(r["h"], top)[:p, :p] / n + penalizer * np.eye(p), grad)
+            except np.linalg.LinAlgError as e:
+                failed[k] = str(e)
+                del betas[k]
+                continue
             step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
             betas[k] = betas[k] + step
             moved = max(moved, float(np.abs(step).max()))
         if moved < CUTOFF:
             break
-    rows.unpersist()
     return _beta_table(rows, betas, keys)
 
 
@@ -187,11 +211,40 @@ def guarded(runs: list, one: Callable) -> list[tuple]:
     for r in runs:
         try:
             out.append((r, one(r), None))
-        except (ValueError, np.linalg.LinAlgError) as e:
+        except (ValueError, np.linalg.LinAlgError, IllegalArgumentException) as e:
             out.append((r, None, str(e)))
     return out
 
 
-#: The model for each kind of task.
-def model_for(kind: str) -> Callable:
-    return fit_cox if kind.startswith("survival") else fit_logistic
+#: Models that the pipelines offer besides the batched ones: Spark ML estimators, fitted one run at a time.
+ESTIMATORS = {"forest": forest, "boosting": boosting, "elastic_net": elastic_net}
+
+
+def model_for(kind: str) -> str:
+    """The model of a kind of task if none is asked for."""
+    return "cox" if kind.startswith("survival") else "logistic"
+
+
+def fit_predict_runs(train: DataFrame, test: DataFrame, make: Callable, *, keys: list[str], failed: dict | None = None) -> DataFrame | None:
+    """(keys, region_id, truth, class, proba) of every run by the Spark ML classifier that ``make`` gives for (rows of the run).
+
+    Runs that fail have no rows and go to ``failed``; None if all do.
+    """
+    info = train.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("label")).alias("classes")).collect()  # one row a run
+    same = lambda df, r: df.filter(_all_equal([F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]))
+    one = lambda r: fit_predict_ml(same(train, r).drop(*keys), same(test, r).drop(*keys), make(r["n"]), r["classes"]).select(*[F.lit(r[k]).alias(k) for k in keys], "*")
+    out = None
+    for r, scored, error in guarded(info, one):
+        if scored is None:
+            if failed is not None:
+                failed[tuple(r[k] for k in keys)] = error
+        else:
+            out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def _all_equal(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out

@@ -50,6 +50,21 @@ def _all(conditions):
     return out
 
 
+def range_check(expression: DataFrame, *, regions: int = 6, seed: int = 0) -> DataFrame:
+    """(marker, p50, p99, p999, max_value) of normalised values over some regions, the first in the order of md5(seed:region_id)."""
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("region_id").cast("string")).cast("binary"))
+    some = expression.select("region_id").distinct().orderBy(order, "region_id").limit(regions)
+    e = expression.join(F.broadcast(some), "region_id", "left_semi")  # at most `regions` rows
+    quantiles = [F.percentile("value", F.lit(p)).alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"), (0.999, "p999"))]
+    return e.groupBy("marker").agg(*quantiles, F.max("value").alias("max_value"))
+
+
+def markers_at_zero(expression: DataFrame, *, keys: list[str], quantile: float = QUANTILE) -> DataFrame:
+    """(keys, n_markers, n_at_zero): how many markers have 0 as that quantile."""
+    q = expression.groupBy(*keys, "marker").agg(F.percentile("value", F.lit(quantile)).alias("_q"))
+    return q.groupBy(*keys).agg(F.count("*").alias("n_markers"), F.count_if(F.col("_q") == 0).alias("n_at_zero"))
+
+
 def profile(expression: DataFrame, *, keys: list[str], percentiles: tuple[float, ...] = (0.2, 0.5, 0.99)) -> DataFrame:
     """Range, percentiles and share of exact zeros of the values by ``keys``."""
     some = [F.percentile("value", F.lit(p)).alias(f"p{round(100 * p)}") for p in percentiles]

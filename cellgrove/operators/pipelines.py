@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cellgrove.operators import features as fe
 from cellgrove.operators import metrics as me
 from cellgrove.operators import models as mo
-from cellgrove.operators import prep, splits
+from cellgrove.operators import normalize, prep, spatial, splits, targets
+from cellgrove.scratch import materialize
 
 
 def run_features(features: DataFrame, runs: DataFrame, *, keys: list[str], fill: float | None, vocab: DataFrame | None = None) -> DataFrame:
@@ -23,50 +24,88 @@ def run_features(features: DataFrame, runs: DataFrame, *, keys: list[str], fill:
     return grid.join(features, ["region_id", "feature"], "left").withColumn("value", F.coalesce("value", F.lit(fill).cast("double")))
 
 
-def evaluate(features: DataFrame, runs: DataFrame, target: DataFrame, *, keys: list[str], kind: str, fill: float | None = 0.0, vocab: DataFrame | None = None) -> DataFrame:
+def evaluate(features: DataFrame, runs: DataFrame, target: DataFrame, *, keys: list[str], kind: str, fill: float | None = 0.0, vocab: DataFrame | None = None, model: str | None = None, **options) -> DataFrame:
     """(keys, metric, value, n_train, n_val) of every run: prepare on training rows, fit, predict, score.
 
-    A run whose training rows have one class, no event or no varying feature gets null metrics.
+    ``model`` is "cox", "logistic" (all runs in the same jobs), or "forest", "boosting" or "elastic_net" (Spark ML, a run at a time) with its
+    options. A run whose training rows have one class, no event or no varying feature, or whose fit fails, gets null metrics; the others go on.
     """
+    kind, model = me.kind_of(kind), model or mo.model_for(kind)
+    if (kind == "survival") != (model == "cox") or model not in ("cox", "logistic", *mo.ESTIMATORS):
+        raise ValueError(f"no model {model!r} for {kind} tasks")
     table = run_features(features, runs, keys=keys, fill=fill, vocab=vocab)
     ready = prep.apply_prep(table, prep.fit_prep(table, keys=keys), keys=keys)
-    rows = prep.assemble(ready, keys=keys).join(target, "region_id").cache()
+    rows = materialize(prep.assemble(ready, keys=keys).join(target, "region_id"), "run-rows")
     train, test = rows.filter("role = 'train'"), rows.filter("role <> 'train'")
-    if kind.startswith("survival"):
+    sizes = runs.groupBy(*keys).agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") != "train").alias("n_val"))
+    if kind == "survival":
         usable = train.groupBy(*keys).agg(F.sum("event").alias("_e")).filter("_e > 0").select(*keys)
-        betas = mo.fit_cox(train.join(F.broadcast(usable), keys, "left_semi"), keys=keys)
+        betas = mo.fit_cox(train.join(usable, keys, "left_semi"), keys=keys, **options)
         scores = me.concordance(mo.predict_risk(test, betas, keys=keys), keys=keys)
-        names = me.METRICS["survival"]
     else:
         usable = train.groupBy(*keys).agg(F.count_distinct("label").alias("_c")).filter("_c > 1").select(*keys)
-        train = prep.balanced_weights(train.join(F.broadcast(usable), keys, "left_semi"), keys=keys)
-        if kind.startswith("binary"):
-            betas = mo.fit_logistic(train, keys=keys)
-            scores = me.binary_metrics(mo.predict_logistic(test, betas, keys=keys).withColumn("truth", F.col("label")), keys=keys)
-            names = me.METRICS["binary"]
-        else:
+        train = prep.balanced_weights(train.join(usable, keys, "left_semi"), keys=keys)
+        if model == "logistic" and kind == "binary":
+            pred = mo.predict_logistic(test, mo.fit_logistic(train, keys=keys, **options), keys=keys).withColumn("truth", F.col("label"))
+        elif model == "logistic":
             classes = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]  # the classes
-            proba = mo.predict_ovr(test, mo.fit_logistic_ovr(train, classes, keys=keys), keys=keys)
+            proba = mo.predict_ovr(test, mo.fit_logistic_ovr(train, classes, keys=keys, **options), keys=keys)
+        else:
+            options = options if model != "elastic_net" else {**options, "n": None}
+            make = lambda n: mo.ESTIMATORS[model](**{k: n if k == "n" else v for k, v in options.items()})
+            train = materialize(train, "train-rows")
+            proba = mo.fit_predict_runs(train, test, make, keys=keys)
+            if proba is None:
+                return me.null_metrics(sizes, kind)
+            pred = proba.filter("class = 1").withColumnRenamed("proba", "score") if kind == "binary" else None
+        if kind == "binary":
+            scores = me.binary_metrics(pred, keys=keys)
+        else:
             scores = me.balanced_accuracy(me.argmax_class(proba, keys=keys), keys=keys).join(me.macro_auc(proba, keys=keys), keys)
-            names = me.METRICS["multiclass"]
-    sizes = runs.groupBy(*keys).agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") != "train").alias("n_val"))
-    long = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])
+    long = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in me.METRICS[kind]])
     return sizes.join(scores, keys, "left").select(*keys, "n_train", "n_val", F.inline(long))
 
 
-def cross_validate(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, seeds: list[int], k: int = 5, stratify: str | None = None, fill: float | None = 0.0, vocab: DataFrame | None = None) -> DataFrame:
-    """Patient-level folds for all seeds: (seed, fold, metric, value, n_train, n_val)."""
+def cross_validate(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, seeds: list[int], k: int = 5, stratify: str | None = None, cv_filter: str | None = None, **options) -> DataFrame:
+    """Patient-level folds for all seeds: (seed, fold, metric, value, n_train, n_val).
+
+    ``cv_filter`` is a condition on the metadata, ignored if no row meets it. Other options are those of `evaluate`.
+    """
+    meta = targets.filter_unless_empty(meta, cv_filter)
     patients = splits.patient_strata(meta, stratify) if stratify else meta.filter("patient_id IS NOT NULL").select("patient_id").distinct()
     folds = splits.fold_patients(patients, seeds=seeds, k=k, stratified=bool(stratify))
-    runs = splits.assignments(meta, folds, k=k)
-    return evaluate(features, runs, target, keys=["seed", "fold"], kind=kind, fill=fill, vocab=vocab)
+    runs = materialize(splits.assignments(meta, folds, k=k), "runs")
+    return evaluate(features, runs, target, keys=["seed", "fold"], kind=kind, **options)
+
+
+def cross_validate_task(features: DataFrame, meta: DataFrame, spec: dict, task_id: str, *, seeds: list[int], k: int = 5, **options) -> DataFrame:
+    """`cross_validate` of a task as a spec states it: its rows, target, stratification and the spec's ``cv_filter``."""
+    task = targets.find_task(spec, task_id)
+    rows = targets.task_rows(meta, task)
+    return cross_validate(features, rows, targets.build_target(rows, task), kind=task["type"], seeds=seeds, k=k, stratify=splits.stratify_column(task), cv_filter=spec.get("cv_filter"), **options)
+
+
+def cohort_test(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, column: str, train: list, test: list, seeds: list[int], **options) -> DataFrame:
+    """A model of some cohorts tested on others: (seed, metric, value, n_train, n_val); no rows if either side is empty."""
+    roles = splits.both_sides(splits.cohort_roles(meta, column=column, train=train, test=test))
+    runs = materialize(roles.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))), "runs")
+    return evaluate(features, runs, target, keys=["seed"], kind=kind, **options)
+
+
+def expression_features(expression: DataFrame, panel: DataFrame, *, normalization: dict | None = None) -> DataFrame:
+    """Mean intensities by region of the markers of ``panel``, after the normalisation that a spec states (none if None)."""
+    ready = normalize.normalize(expression, keys=["region_id"], **normalization) if normalization else expression
+    return fe.mean_expression(ready, panel, keys=["region_id"])
 
 
-def cohort_test(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, column: str, train: list, test: list, seeds: list[int], fill: float | None = 0.0, vocab: DataFrame | None = None) -> DataFrame:
-    """A model of some cohorts tested on others: (seed, metric, value, n_train, n_val)."""
-    roles = splits.cohort_roles(meta, column=column, train=train, test=test)
-    runs = roles.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    return evaluate(features, runs, target, keys=["seed"], kind=kind, fill=fill, vocab=vocab)
+def density_features(cells: DataFrame, polygons: DataFrame, *, mpp: float) -> DataFrame:
+    """Tissue and tumour densities of all types and the tumour ratio, by region."""
+    areas = materialize(spatial.areas_mm2(cells, polygons, mpp=mpp), "areas")
+    vocab, out = fe.vocabulary(cells, keys=[]), fe.tumour_ratio(areas, keys=["region_id"])
+    for kind in ("tissue", "tumour"):
+        flags = spatial.inside_polygon(cells, polygons, kind=kind)
+        out = out.unionByName(fe.densities(flags, areas.select("region_id", F.col(kind).alias("area_mm2")), vocab, keys=["region_id"], kind=kind))
+    return out
 
 
 def composition_features(cells: DataFrame) -> DataFrame:

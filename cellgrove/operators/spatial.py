@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrove.scratch import materialize
+
 #: rings: array (polygons) of array (shell, then holes) of array of (x, y); areas and tests are sums over edges.
 
 
@@ -124,24 +126,38 @@ def subsample(cells: DataFrame, n: int, *, seed: int = 42) -> DataFrame:
     return cells.withColumn("_r", F.row_number().over(Window.partitionBy("region_id", "cell_type").orderBy(order, "cell_id"))).filter(F.col("_r") <= n).drop("_r")
 
 
-def type_pairs(cells: DataFrame) -> DataFrame:
-    """Ordered pairs of the types in the data."""
+def type_pairs(cells: DataFrame, chosen: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Ordered pairs of the types in the data, or the pairs of a list."""
     t = cells.filter("cell_type IS NOT NULL").select("cell_type").distinct()
+    if chosen is not None:
+        return cells.sparkSession.createDataFrame(chosen, "a_type string, b_type string")
     return t.select(F.col("cell_type").alias("a_type")).crossJoin(F.broadcast(t.select(F.col("cell_type").alias("b_type"))))
 
 
-def nearest_distances(cells: DataFrame, *, max_dist: float = 500.0, sample_n: int | None = 500, seed: int = 42) -> DataFrame:
+def nearest_distances(cells: DataFrame, *, max_dist: float = 500.0, sample_n: int | None = 500, seed: int = 42, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """(region_id, a_type, b_type, min_dist, mean_dist) over A-cells of the distance to the nearest B, capped; A to A is 0.
 
-    The cap is the radius of the join, so the bounded join is exact. Pairs of types with an absent side have no row.
+    Every region has a row for each pair of types (or of ``pairs``), null where either side is absent. The cap is the largest radius, so the
+    bounded joins are exact: rings grow from 1/8 of the cap, and only cells that have found no B yet take part in the next.
     """
     some = subsample(cells.filter("cell_type IS NOT NULL"), sample_n, seed=seed) if sample_n else cells.filter("cell_type IS NOT NULL")
+    some = materialize(some.select("region_id", "cell_id", "cell_type", "x", "y"), "typed-cells")
+    wanted = type_pairs(some, pairs)
+    types = some.groupBy("region_id", F.col("cell_type").alias("b_type")).agg(F.count("*").alias("_n"))
     a, b = sides(some)
-    near = close_pairs(a, b, max_dist).groupBy("region_id", "a_id", "a_type", "b_type").agg(F.sqrt(F.min("d2")).alias("_d"))
-    types = some.select("region_id", F.col("cell_type").alias("b_type")).distinct()
-    every = a.select("region_id", "a_id", "a_type").join(types, "region_id")
-    full = every.join(near, ["region_id", "a_id", "a_type", "b_type"], "left").withColumn("_d", F.coalesce("_d", F.lit(max_dist)))
-    return full.groupBy("region_id", "a_type", "b_type").agg(F.min("_d").alias("min_dist"), F.avg("_d").alias("mean_dist"))
+    open_ = a.join(types.drop("_n"), "region_id")
+    open_ = open_ if pairs is None else open_.join(F.broadcast(wanted), ["a_type", "b_type"], "left_semi")  # pairs of types
+    found = None
+    for radius in (max_dist / 8, max_dist / 2, max_dist):
+        ids = open_.groupBy("region_id", "a_id", "a_type", "ax", "ay").agg(F.collect_set("b_type").alias("_open"))  # types, not cells
+        near = close_pairs(ids, b, radius).filter(F.array_contains("_open", F.col("b_type")))
+        near = materialize(near.groupBy("region_id", "a_id", "a_type", "b_type").agg(F.sqrt(F.min("d2")).alias("_d")), "nearest")
+        found = near if found is None else found.unionByName(near)
+        open_ = materialize(open_.join(near, ["region_id", "a_id", "b_type"], "left_anti"), "nearest-open")
+    every = found.select("region_id", "a_type", "b_type", "_d").unionByName(open_.select("region_id", "a_type", "b_type", F.lit(max_dist).alias("_d")))
+    values = every.groupBy("region_id", "a_type", "b_type").agg(F.min("_d").alias("min_dist"), F.avg("_d").alias("mean_dist"))
+    grid = cells.select("region_id").distinct().crossJoin(F.broadcast(wanted))  # pairs of types
+    return grid.join(values, ["region_id", "a_type", "b_type"], "left")
 
 
 def proximity(cells: DataFrame, *, radii: tuple[float, ...] = (20.0, 50.0, 100.0), min_cells: int = 3) -> DataFrame:

@@ -60,3 +60,17 @@ def cohort_roles(meta: DataFrame, *, column: str, train: list | None = None, tes
     in_test = c.isin(test) if test is not None else ~c.isin(train)
     role = F.when(in_train, "train").when(in_test, "test")
     return meta.select("region_id", role.alias("role")).filter(F.col("role").isNotNull())
+
+
+def both_sides(roles: DataFrame) -> DataFrame:
+    """The roles, or none of them if the train or the test side is empty."""
+    sides = roles.agg(F.count_distinct("role").alias("_sides"))
+    return roles.crossJoin(F.broadcast(sides)).filter("_sides = 2").drop("_sides")  # one row
+
+
+def fold_path(patients: DataFrame, *, k: int, stratified: bool) -> DataFrame:
+    """(patients, folds, path) of `fold_patients`: "none" for fewer than two patients, "stratified", or "plain", also as the fallback."""
+    counts = patients.groupBy(*(["stratum"] if stratified else [])).agg(F.count("*").alias("_n"))
+    total, folds = F.coalesce(F.sum("_n"), F.lit(0)), F.least(F.lit(k), F.coalesce(F.sum("_n"), F.lit(0)))
+    path = F.when(total < 2, "none").when(F.lit(stratified) & (F.max("_n") >= folds), "stratified").otherwise("plain")
+    return counts.agg(total.alias("patients"), F.when(total < 2, 0).otherwise(folds).cast("int").alias("folds"), path.alias("path"))

@@ -105,7 +105,7 @@ def p4(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_survival_target", f"SELECT region_id, time, event FROM {META} WHERE event = 1 OR time > 100")
 def p6(spark: SparkSession, d: str) -> DataFrame:
     m = fx.event_metadata(spark, d)
-    task = {"type": "survival", "time_col": "time", "event_col": "event", "filter": "event == 1 or time > 100"}
+    task = {"type": "survival", "time_col": "time", "event_col": "event", "row_filter": "event == 1 or time > 100"}
     return targets.build_target(m, task, targets.task_rows(m, task).select("region_id"))
 
 
@@ -280,7 +280,9 @@ def i5(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("d2_nearest", f"""WITH c AS {EVENT}, n AS (SELECT a.region_id, a.cell_id, a.cell_type AS a_type, b.cell_type AS b_type, min(least(40.0, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))) AS dist
-FROM c a JOIN c b ON a.region_id = b.region_id GROUP BY ALL) SELECT region_id, a_type, b_type, round(min(dist), 6) AS min_dist, round(avg(dist), 6) AS mean_dist FROM n GROUP BY ALL""")
+FROM c a JOIN c b ON a.region_id = b.region_id GROUP BY ALL), g AS (SELECT region_id, a_type, b_type, round(min(dist), 6) AS min_dist, round(avg(dist), 6) AS mean_dist FROM n GROUP BY ALL)
+SELECT r.region_id, a.cell_type AS a_type, b.cell_type AS b_type, min_dist, mean_dist FROM (SELECT DISTINCT region_id FROM c) r CROSS JOIN (SELECT DISTINCT cell_type FROM c) a CROSS JOIN (SELECT DISTINCT cell_type FROM c) b
+LEFT JOIN g ON g.region_id = r.region_id AND g.a_type = a.cell_type AND g.b_type = b.cell_type""")
 def d2(spark: SparkSession, d: str) -> DataFrame:
     return r6(spatial.nearest_distances(fx.event_cells(spark, d, 10), max_dist=40.0, sample_n=None), "min_dist", "mean_dist")
 
@@ -311,33 +313,51 @@ def d7(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The queries above are cut (two markers, small radii) as their SQL is; these are the whole jobs, at the reference's radii.
-@query("n2_adaptive_arcsinh_all_markers")
+@query("n2_adaptive_arcsinh_all_markers", f"""WITH q AS (SELECT region_id, marker, 5 * quantile_cont(value, 0.2) + 1e-5 AS c FROM {LINE_LONG} GROUP BY ALL)
+SELECT region_id, marker, round(avg(asinh(value / c)), 4) AS mean_value FROM {LINE_LONG} JOIN q USING (region_id, marker) GROUP BY ALL""")
 def n2_all(spark: SparkSession, d: str) -> DataFrame:
     out = normalize.normalize(fx.line_expression(spark, d), keys=["region_id"], cofactor="adaptive")
     return out.groupBy("region_id", "marker").agg(F.round(F.avg("value"), 4).alias("mean_value"))
 
 
-@query("d2_nearest_full_radius")
+_NEAREST = """WITH c AS {event}, n AS (SELECT a.region_id, a.cell_id, a.cell_type AS a_type, b.cell_type AS b_type, min(least({cap}, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))) AS dist
+FROM c a JOIN c b ON a.region_id = b.region_id GROUP BY ALL), g AS (SELECT region_id, min(dist) AS lo, avg(dist) AS mean, a_type, b_type FROM n GROUP BY ALL), t AS (SELECT DISTINCT cell_type FROM c)
+SELECT r.region_id, a.cell_type AS a_type, b.cell_type AS b_type, round(lo, 6) AS min_dist, round(mean, 6) AS mean_dist FROM (SELECT DISTINCT region_id FROM c) r CROSS JOIN t a CROSS JOIN t b
+LEFT JOIN g ON g.region_id = r.region_id AND g.a_type = a.cell_type AND g.b_type = b.cell_type"""
+
+
+@query("d2_nearest_full_radius", _NEAREST.format(event=EVENT, cap=500.0))
 def d2_full(spark: SparkSession, d: str) -> DataFrame:
     return r6(spatial.nearest_distances(fx.event_cells(spark, d, 10), sample_n=None), "min_dist", "mean_dist")
 
 
-@query("d4_proximity_full_radii")
+@query("d4_proximity_full_radii", f"""WITH c AS {EVENT}, r AS (SELECT unnest([20.0, 50.0, 100.0])::DOUBLE AS radius), o AS (SELECT region_id, cell_type, count(*) AS n FROM c GROUP BY ALL),
+p AS (SELECT a.region_id, a.cell_type AS a_type, b.cell_type AS b_type, radius, count(*) AS k FROM c a JOIN c b ON a.region_id = b.region_id AND a.cell_id <> b.cell_id JOIN r ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= radius * radius GROUP BY ALL)
+SELECT o.region_id, o.cell_type AS a_type, t.cell_type AS b_type, r.radius, round(CASE WHEN o.n >= 3 THEN coalesce(k, 0) / o.n::DOUBLE END, 6) AS value
+FROM o CROSS JOIN (SELECT DISTINCT cell_type FROM c) t CROSS JOIN r LEFT JOIN p ON p.region_id = o.region_id AND p.a_type = o.cell_type AND p.b_type = t.cell_type AND p.radius = r.radius""")
 def d4_full(spark: SparkSession, d: str) -> DataFrame:
     return r6(spatial.proximity(fx.event_cells(spark, d, 10)), "value")
 
 
+# All cells, and each type's (1,000 of it at most, null under 4) with the area of the whole region.
+_K_FULL = f"""c AS {EVENT}, area AS (SELECT region_id, greatest((max(x) - min(x)) * (max(y) - min(y)), 1.0) AS area FROM c GROUP BY 1),
+s AS (SELECT region_id, cell_id, cell_type, x, y FROM (SELECT *, row_number() OVER (PARTITION BY region_id, cell_type ORDER BY md5('42:' || cell_id), cell_id) AS rn FROM c) WHERE rn <= 1000),
+u AS (SELECT region_id, cell_id, 'all' AS cell_type, x, y, 2 AS least FROM c UNION ALL SELECT *, 4 FROM s), o AS (SELECT region_id, cell_type, least, count(*) AS n FROM u GROUP BY ALL), r AS (SELECT unnest([20.0, 50.0, 100.0, 200.0])::DOUBLE AS radius),
+p AS (SELECT a.region_id, a.cell_type, radius, count(*) AS k FROM u a JOIN u b ON a.region_id = b.region_id AND a.cell_type = b.cell_type AND a.cell_id <> b.cell_id JOIN r ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= radius * radius GROUP BY ALL),
+k AS (SELECT o.region_id, o.cell_type, radius, CASE WHEN n >= least THEN area * coalesce(p.k, 0) / (n::DOUBLE * (n - 1)) END AS k FROM o JOIN area USING (region_id) CROSS JOIN r LEFT JOIN p USING (region_id, cell_type, radius))"""
+
+
 def _ripley_full(spark: SparkSession, d: str) -> DataFrame:
     c = fx.event_cells(spark, d, 10)
-    return spatial.ripley(c, spatial.box_area(c)).union(spatial.ripley(c, spatial.box_area(c), by_type=True))
+    return spatial.ripley(c, spatial.box_area(c)).union(spatial.ripley(c, spatial.box_area(c), by_type=True, min_cells=4, sample_n=1000))
 
 
-@query("d6_d8_ripley_full_radii")
+@query("d6_d8_ripley_full_radii", f"WITH {_K_FULL} SELECT region_id, cell_type, radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 4) AS l FROM k")
 def d6_full(spark: SparkSession, d: str) -> DataFrame:
     return _ripley_full(spark, d).withColumns({"k": F.round("k", 4), "l": F.round("l", 4)})
 
 
-@query("d7_d9_pair_correlation_full_radii")
+@query("d7_d9_pair_correlation_full_radii", f"WITH {_K_FULL} SELECT region_id, cell_type, radius / 2 + lag(radius, 1, 0.0) OVER w / 2 AS mid, round((k - lag(k, 1, 0.0) OVER w) / (2 * pi() * (radius + lag(radius, 1, 0.0) OVER w) / 2 * (radius - lag(radius, 1, 0.0) OVER w)), 6) AS g FROM k WINDOW w AS (PARTITION BY region_id, cell_type ORDER BY radius)")
 def d7_full(spark: SparkSession, d: str) -> DataFrame:
     return r6(spatial.pair_correlation(_ripley_full(spark, d)), "g")
 
@@ -347,7 +367,13 @@ def d5(spark: SparkSession, d: str) -> DataFrame:
     return spatial.hull_area(fx.event_cells(spark, d, 10))
 
 
-@query("g4_disk_overlap")
+# The part of a disk below a corner in closed form, summed up with signs over the corners of the tumour square.
+@query("g4_disk_overlap", f"""WITH q AS (SELECT f.region_id, f.cell_id, s.sign, greatest(-200.0, least(200.0, s.x - f.x)) AS a, greatest(-200.0, least(200.0, s.y - f.y)) AS b
+FROM {_FOCAL} f, (SELECT * FROM (VALUES (0.0, 0.0, 1), (0.0, 500.0, -1), (500.0, 0.0, -1), (500.0, 500.0, 1)) v(x, y, sign)) s WHERE f.region_id % 2 = 0 AND f.region_id <> 9),
+e AS (SELECT *, sqrt(greatest(0, 40000 - b * b)) AS c FROM q),
+w AS (SELECT *, greatest(-c, least(c, a)) AS lo, least(a, -c) AS o1, greatest(a, c) AS o2 FROM e),
+p AS (SELECT region_id, cell_id, sign, b, lo, c, list_transform([lo, -c, o1, -200.0, o2, c], lambda v: (v * sqrt(greatest(0, 40000 - v * v)) + 40000 * asin(greatest(-1, least(1, v / 200)))) / 2) AS s FROM w)
+SELECT region_id, cell_id, round(abs(sum(sign * (s[1] - s[2] + b * (lo + c) + CASE WHEN b >= 0 THEN 2 * (s[3] - s[4]) + 2 * (s[5] - s[6]) ELSE 0 END))), 4) AS area FROM p GROUP BY ALL""")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     cells, p = fx.event_cells(spark, d, 10), fx.event_polygons(spark, d).filter("kind = 'tumour'")
     focal = cells.join(i1(spark, d), ["region_id", "cell_id"], "left_semi").join(p, "region_id")
@@ -371,13 +397,13 @@ def l1(spark: SparkSession, d: str) -> DataFrame:
 @query("l1_survival_cross_validation")
 def l1s(spark: SparkSession, d: str) -> DataFrame:
     f, m = _task(spark, d)
-    return _seeded(pipelines.cross_validate(f, m, m.select("region_id", "time", "event"), kind="survival", seeds=[0], stratify="event"))
+    return _seeded(pipelines.cross_validate(f, m, m.select("region_id", "time", "event"), kind="survival", seeds=[0, 1, 2], stratify="event"))
 
 
 @query("l1_multiclass_cross_validation")
 def l1m(spark: SparkSession, d: str) -> DataFrame:
     f, m = _task(spark, d)
-    return _seeded(pipelines.cross_validate(f, m, m.select("region_id", F.col("multi").alias("label")), kind="multiclass", seeds=[0], stratify="multi"))
+    return _seeded(pipelines.cross_validate(f, m, m.select("region_id", F.col("multi").alias("label")), kind="multiclass", seeds=[0, 1, 2], stratify="multi"))
 
 
 @query("l2_cohort_test")
@@ -386,11 +412,37 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
     return _seeded(pipelines.cohort_test(f, m, m.select("region_id", "label"), kind="binary", column="cohort", train=["BUILDING", "MACHINERY", "HOUSEHOLD"], test=["FURNITURE", "AUTOMOBILE"], seeds=[0, 1, 2]))
 
 
+def _named(df: DataFrame, task: str, scheme: str) -> DataFrame:
+    return df.select(F.lit(task).alias("task"), F.lit(scheme).alias("scheme"), "metric", "value")
+
+
+#: Cohorts of the generalisation tests.
+COHORTS = {"column": "cohort", "train": ["BUILDING", "MACHINERY", "HOUSEHOLD"], "test": ["FURNITURE", "AUTOMOBILE"]}
+
+
+def _baseline(f: DataFrame, m: DataFrame, *, fill: float | None, shared: DataFrame | None = None) -> DataFrame:
+    """All tasks in all schemes, three seeds: the summary with the printed score. ``shared`` is the vocabulary of the cohort tests."""
+    out, kinds = None, {"label": ("binary", "label"), "survival": ("survival", "event"), "multi": ("multiclass", "multi")}
+    for task, (kind, stratify) in kinds.items():
+        target = m.select("region_id", "time", "event") if kind == "survival" else m.select("region_id", F.col(task).alias("label"))
+        cv = pipelines.cross_validate(f, m, target, kind=kind, seeds=[0, 1, 2], stratify=stratify, fill=fill)
+        test = pipelines.cohort_test(f, m, target, kind=kind, **COHORTS, seeds=[0, 1, 2], fill=fill, vocab=shared)
+        both = _named(cv, task, "cv").union(_named(test, task, "cohorts"))
+        out = both if out is None else out.union(both)
+    return r6(pipelines.baseline(out), "mean", "sd")
+
+
 @query("l4_composition_baseline")
 def l4(spark: SparkSession, d: str) -> DataFrame:
-    name = lambda df, task, scheme: df.select(F.lit(task).alias("task"), F.lit(scheme).alias("scheme"), "metric", "value")
-    every = name(l1(spark, d), "label", "cv").union(name(l2(spark, d), "label", "cohorts")).union(name(l1s(spark, d), "survival", "cv"))
-    return pipelines.baseline(every)
+    return _baseline(*_task(spark, d), fill=0.0)
+
+
+@query("l5_density_baseline")
+def l5(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of their own with tissue and tumour squares each."""
+    cells, m = fx.event_cells(spark, d), fx.event_metadata(spark, d)
+    f = pipelines.density_features(cells, fx.region_polygons(spark, cells), mpp=fx.MPP)
+    return _baseline(f, m, fill=None)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -402,20 +454,34 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l6_expression_baseline")
 def l6(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised means of markers; the cohort tests share the panel of both sides."""
     cells, m = fx.event_cells(spark, d), fx.event_metadata(spark, d)
-    e = normalize.normalize(cells.select("region_id", F.concat(F.lit("value_"), "cell_type").alias("marker"), "value"), keys=["region_id"], cofactor="adaptive")
-    f = fe.mean_expression(e, e.select("marker").distinct(), keys=["region_id"])
-    out = pipelines.cross_validate(f, m, m.select("region_id", "label"), kind="binary", seeds=[0], stratify="label", fill=None)
-    return pipelines.baseline(out.select(F.lit("label").alias("task"), F.lit("cv").alias("scheme"), "metric", "value"))
+    e = cells.select("region_id", F.concat(F.lit("value_"), "cell_type").alias("marker"), "value")
+    f = pipelines.expression_features(e, e.select("marker").distinct(), normalization={"method": "arcsinh", "cofactor": "adaptive"})
+    side = lambda r: e.join(splits.cohort_roles(m, **COHORTS).filter(F.col("role") == r).select("region_id"), "region_id", "left_semi")
+    panel = fe.shared_panel(side("train"), side("test"), keys=["region_id"])
+    return _baseline(f, m, fill=None, shared=panel.select(F.col("marker").alias("feature")))
 
 
-def _ml(spark: SparkSession, d: str, estimator) -> DataFrame:
+def _ml(spark: SparkSession, d: str, estimator, label: str = "label") -> DataFrame:
     f, m = _task(spark, d)
+    m = m.withColumn("label", F.col(label))
     runs = m.select("region_id", F.when(F.col("region_id") % 5 == 0, "val").otherwise("train").alias("role"), F.lit(0).alias("run"))
     t = pipelines.run_features(f, runs, keys=["run"], fill=0.0)
     rows = prep.assemble(prep.apply_prep(t, prep.fit_prep(t, keys=["run"]), keys=["run"]), keys=["run"]).join(m.select("region_id", "label"), "region_id")
     train = prep.balanced_weights(rows.filter("role = 'train'"), keys=["run"]).cache()
-    return models.fit_predict_ml(train, rows.filter("role = 'val'"), estimator, [0, 1])
+    classes = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]  # the classes
+    return models.fit_predict_ml(train, rows.filter("role = 'val'"), estimator, classes)
+
+
+@query("m1_elastic_net")
+def m1_net(spark: SparkSession, d: str) -> DataFrame:
+    return _ml(spark, d, models.elastic_net(l1_ratio=0.5, n=100))
+
+
+@query("m1_multinomial")
+def m1_multi(spark: SparkSession, d: str) -> DataFrame:
+    return _ml(spark, d, models.elastic_net(n=100), label="multi")
 
 
 @query("m3_forest")
@@ -423,28 +489,29 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
     return _ml(spark, d, models.forest(trees=20, max_depth=6))
 
 
+@query("m3_forest_full")
+def m3_full(spark: SparkSession, d: str) -> DataFrame:
+    return _ml(spark, d, models.forest())
+
+
 @query("m4_boosting")
 def m4(spark: SparkSession, d: str) -> DataFrame:
     return _ml(spark, d, models.boosting(rounds=5, max_depth=3))
 
 
-@query("l7_mil_cross_validation")
-def l7(spark: SparkSession, d: str) -> DataFrame:
-    """Instances of regions take their region's label; a fold's instances are scored and pooled by region."""
+def _bag_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cells, m = fx.event_cells(spark, d, 60), fx.event_metadata(spark, d)
     labels = m.groupBy((F.col("region_id") % 60).alias("region_id")).agg(F.max("label").alias("label"))
-    inst = mil.instances(cells, mil.focal_cells(cells, n_samples=8), radius_um=150.0, min_cells=5)
-    f = fe.composition(inst, fe.vocabulary(cells, keys=[]), keys=["instance_id"]).withColumnRenamed("instance_id", "region_id")
-    owner = inst.select("region_id", "instance_id").distinct()
-    patients = labels.select(F.col("region_id").cast("string").alias("patient_id"), F.col("label").alias("stratum"))
-    folds = splits.fold_patients(patients, seeds=[0], k=3, stratified=True)
-    meta = owner.select(F.col("instance_id").alias("region_id"), F.col("region_id").cast("string").alias("patient_id"))
-    runs = splits.assignments(meta, folds, k=3)
-    keys = ["seed", "fold"]
-    table = pipelines.run_features(f, runs, keys=keys, fill=0.0)
-    bag = labels.join(owner, "region_id").select(F.col("instance_id").alias("region_id"), "label")
-    rows = prep.assemble(prep.apply_prep(table, prep.fit_prep(table, keys=keys), keys=keys), keys=keys).join(bag, "region_id")
-    betas = models.fit_logistic(prep.balanced_weights(rows.filter("role = 'train'"), keys=keys), keys=keys)
-    scored = models.predict_logistic(rows.filter("role = 'val'"), betas, keys=keys).join(owner.withColumnRenamed("region_id", "bag").withColumnRenamed("instance_id", "region_id"), "region_id")
-    pooled = scored.groupBy(*keys, "bag").agg(F.max("label").alias("truth"), F.avg("score").alias("score"))
-    return me.binary_metrics(pooled, keys=keys)
+    return cells, labels.withColumn("patient_id", F.col("region_id").cast("string"))
+
+
+@query("l7_mil_cross_validation")
+def l7(spark: SparkSession, d: str) -> DataFrame:
+    """Instances of regions take their region's label; a fold's instances are scored and pooled by region. Radius and size suit the sparse cells of the tables."""
+    return mil.cross_validate(*_bag_regions(spark, d), seeds=[0, 1, 2], radius_um=150.0, min_cells=5)
+
+
+@query("i8_variant_sweep")
+def i8(spark: SparkSession, d: str) -> DataFrame:
+    variants = [{"radius_um": 150.0, "agg": "mean"}, {"radius_um": 150.0, "agg": "max"}, {"radius_um": 250.0, "n_samples": 8}]
+    return mil.sweep(*_bag_regions(spark, d), variants, seeds=[0], min_cells=5)
