@@ -19,9 +19,9 @@ def kind_of(task_type: str) -> str:
     return task_type.split("_")[0]
 
 
-def _bucket(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+def quantile_bucket(rows: DataFrame, keys: list[str], column: str, name: str, buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with the number of the quantile bucket of ``column`` within its run; equal values share a bucket, higher values have higher ones."""
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
     joined = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # without keys one row
     return joined.withColumn(name, F.size(F.filter("_cuts", lambda c: c <= F.col(column)))).drop("_cuts")
 
@@ -29,7 +29,7 @@ def _bucket(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFra
 def _by_score(pred: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by distinct score, with those of the scores from there up: sums over buckets first, then within each bucket."""
     counts = pred.groupBy(*keys, "score").agg(F.sum("truth").alias("_ones"), F.sum(1 - F.col("truth")).alias("_zeros"))
-    counts = _bucket(counts, keys, "score", "_b")
+    counts = quantile_bucket(counts, keys, "score", "_b")
     of_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_ones").alias("_b1"), F.sum("_zeros").alias("_b0"))  # BUCKETS rows a run at most
     down, every = Window.partitionBy(*keys).orderBy(F.desc("_b")), Window.partitionBy(*keys)
     above = of_bucket.select(*keys, "_b", (F.sum("_b1").over(down) - F.col("_b1")).alias("_up1"), (F.sum("_b0").over(down) - F.col("_b0")).alias("_up0"), F.sum("_b1").over(every).alias("_pos"), F.sum("_b0").over(every).alias("_neg"))
@@ -88,7 +88,7 @@ def concordance(pred: DataFrame, *, keys: list[str]) -> DataFrame:
     """
     c = pred.groupBy(*keys, "time", "event", "risk").agg(F.count("*").alias("n"))
     sizes = c.groupBy(*keys).agg(F.least(F.lit(BUCKETS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")) / 4))).cast("int").alias("_k"))
-    c = _bucket(_bucket(c, keys, "time", "_t"), keys, "risk", "_r").join(sizes, keys)
+    c = quantile_bucket(quantile_bucket(c, keys, "time", "_t"), keys, "risk", "_r").join(sizes, keys)
     c = c.withColumns({x: F.floor(F.col(x) * F.col("_k") / BUCKETS).cast("int") for x in ("_t", "_r")}).drop("_k")
 
     side = lambda s: c.select(*keys, "_t", "_r", *[F.col(x).alias(f"{x}_{s}") for x in ("time", "event", "risk", "n")])

@@ -16,6 +16,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrove.operators.metrics import quantile_bucket
 from cellgrove.scratch import materialize
 
 CUTOFF = 1e-6
@@ -116,16 +117,16 @@ def predict_ovr(rows: DataFrame, betas: DataFrame, *, keys: list[str]) -> DataFr
 def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_iter: int = 15, failed: dict | None = None) -> DataFrame:
     """(keys, beta): ridge Cox models of (keys, x, time, event): log partial likelihood (Efron) / n - penalizer / 2 |beta|^2.
 
-    Each Newton step sums w, w x and w x x' by run and time (events apart) and adds them up over later times with a window on the
-    sums; ties are spread over their events by a sequence, so no risk set is ever collected. A run that can't be solved has no row
+    Each Newton step sums w, w x and w x x' by run and time (events apart) and adds them up over later times: over later quantile buckets of
+    time, and within the bucket, so no task has all times of a run. Ties are spread over their events by a sequence, so no risk set is ever collected. A run that can't be solved has no row
     and goes to ``failed`` with its error.
     """
     failed = {} if failed is None else failed
-    rows = materialize(rows.withColumn("p_", F.size("x")), "model-rows")
+    rows = materialize(quantile_bucket(rows, keys, "time", "_b").withColumn("p_", F.size("x")), "model-rows")
     info = {tuple(r[k] for k in keys): (r["p"], r["n"]) for r in rows.groupBy(*keys).agg(F.max("p_").alias("p"), F.count("*").alias("n")).collect()}
     betas = {k: np.zeros(p) for k, (p, _) in info.items()}
     top = max((p for p, _ in info.values()), default=0)
-    later = Window.partitionBy(*keys).orderBy(F.desc("time"))
+    later, inside = Window.partitionBy(*keys).orderBy(F.desc("_b")), Window.partitionBy(*keys, "_b").orderBy(F.desc("time"))
     names = ["s0", *[f"a{i}" for i in range(top)], *[f"b{i}_{j}" for i in range(top) for j in range(i, top)]]
     for _ in range(max_iter):
         if not betas:
@@ -135,8 +136,11 @@ def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_ite
         sums = [F.sum(F.coalesce(t, F.lit(0.0))).alias(n) for t, n in zip(terms, names, strict=True)]
         tied = [F.sum(F.when(F.col("event") == 1, F.coalesce(t, F.lit(0.0))).otherwise(0.0)).alias(f"d_{n}") for t, n in zip(terms, names, strict=True)]
         direct = [F.sum(F.when(F.col("event") == 1, F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))).otherwise(0.0)).alias(f"x{i}") for i in range(top)]
-        by_time = at.groupBy(*keys, "time").agg(F.sum(F.col("event")).cast("int").alias("d"), *sums, *tied, *direct)
-        risk = by_time.select(*keys, "d", *[F.sum(n).over(later).alias(n) for n in names], *[f"d_{n}" for n in names], *[f"x{i}" for i in range(top)]).filter("d > 0")
+        by_time = at.groupBy(*keys, "_b", "time").agg(F.sum(F.col("event")).cast("int").alias("d"), *sums, *tied, *direct)
+        by_bucket = by_time.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
+        above = by_bucket.select(*keys, "_b", *[(F.sum(n).over(later) - F.col(n)).alias(f"up_{n}") for n in names])
+        within = by_time.select(*keys, "_b", "d", *[F.sum(n).over(inside).alias(n) for n in names], *[f"d_{n}" for n in names], *[f"x{i}" for i in range(top)]).filter("d > 0")
+        risk = within.join(above, [*keys, "_b"]).withColumns({n: F.col(n) + F.col(f"up_{n}") for n in names})
         spread = risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
         share = F.col("l") / F.col("d")
         m = {n: F.col(n) - share * F.col(f"d_{n}") for n in names}

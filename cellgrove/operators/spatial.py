@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrove.scratch import materialize
+from cellgrove.scratch import at_most, materialize
+
+#: Edges of polygons: a table of up to so many (some 20 MB) is broadcast to the cells, a larger one is joined by shuffle.
+BROADCAST_EDGES = 500_000
 
 #: rings: array (polygons) of array (shell, then holes) of array of (x, y); areas and tests are sums over edges.
 
@@ -67,6 +70,8 @@ def inside_polygon(cells: DataFrame, polygons: DataFrame, *, kind: str) -> DataF
     x, y = F.col("x"), F.col("y")
     box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
     flag = F.when(F.col("_e").isNotNull(), F.when(box, strictly_inside(x, y, F.col("_e"))).otherwise(F.lit(False)))
+    p = materialize(p, "polygon-edges")
+    p = F.broadcast(p) if at_most(p.select(F.explode("_e")), BROADCAST_EDGES) else p
     return cells.join(p, "region_id", "left").withColumn("inside", flag).drop("_e", "_x0", "_x1", "_y0", "_y1")
 
 
