@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.text import ascii_lower, row_key, whole
+from cellgrove.llm.text import ascii_lower, row_key, shields_names, whole
 from cellgrove.scratch import at_most, materialize
 
 SPAN = 10
@@ -83,12 +83,14 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, span: int = SPAN, slop:
     return found.select(*key, "item_id", (F.col("first") + F.col("delta")).alias("start"), (F.col("first") + F.col("delta") + F.col("n")).alias("end"))
 
 
+@shields_names
 def contamination(docs: DataFrame, items: DataFrame, *, span: int = SPAN, slop: int = 0) -> DataFrame:
     """Add ``n_words``, ``n_hit`` (words inside occurrences of test windows), ``items`` (sorted ids) and ``contaminated``.
 
     Null text has no words and null items have no windows. Rows that repeat, doc_ids that repeat and null
     doc_ids are told apart by their texts, so each row gets the result of its own text. With an empty
-    benchmark nothing is hit. Columns named like an added one are replaced; others pass through.
+    benchmark nothing is hit; an empty table gives no rows. Very long texts are indexed word by word. Columns named like an added one are
+    replaced; others pass through.
     """
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
     hits = materialize(phrase_matches(docs, items, span=span, slop=slop), "phrase-matches")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm.text import ascii_lower, lines, row_key, strip_space, whole
+from cellgrove.llm.text import ascii_lower, lines, row_key, shields_names, strip_space, whole
 
 MIN_KEY_CHARS, MIN_DOCS = 20, 3
 
@@ -18,6 +18,7 @@ def _keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", *row_key(), F.inline(hashed).alias("pos", "h1", "h2"))
 
 
+@shields_names
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Drop lines that many documents share.
 
@@ -28,7 +29,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_KEY_CHARS, min_docs: in
 
     Null or empty text is one empty line. A null ``doc_id`` counts as no document and is never the
     largest. Rows that share a ``doc_id`` count as one document; each is rewritten on its own. Columns
-    of the input named like an added one are replaced; other columns pass through.
+    of the input named like an added one are replaced; other columns pass through. Very long texts are exploded by line, never by prefix; an
+    empty table gives no rows.
     """
     found = _keyed_lines(docs, min_chars)
     # Two phases (key and document, then key) with map-side sums: a line that every document has makes no hot task.

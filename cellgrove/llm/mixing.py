@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.text import whole, words
+from cellgrove.llm.text import shields_names, whole, words
 from cellgrove.scratch import at_most, materialize
 
 CYCLE, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
@@ -79,6 +79,7 @@ def _taken(i: int) -> Column:
     return F.coalesce(F.when(cut.isNull(), F.col(f"_gap{i}") > 0).otherwise((F.col("_bucket") < cut) | ((F.col("_bucket") == cut) & within)), F.lit(False))
 
 
+@shields_names
 def mix_sources(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, cap: int = MAX_EPOCHS, seed: str = SEED, weight: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """Say how often the mix takes each document.
 
@@ -126,6 +127,7 @@ def mix_sources(docs: DataFrame, *, cycle: tuple[int, ...] = CYCLE, cap: int = M
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*names, *added)
 
 
+@shields_names
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document as often as the mix takes it, in the columns of ``docs``."""
     out = mix_sources(docs, **options)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrove.llm.similarity import SETS, SHINGLE_WORDS, SIGNATURES, bin_counts, hash_rows, linked_classes, mix, shared_stars, shingle_hashes, signature_rows, text_slices, word_hashes
-from cellgrove.llm.text import row_key, whole
+from cellgrove.llm.text import row_key, shields_names, whole
 from cellgrove.scratch import at_most, materialize
 
 NUM, DEN = 75, 100
@@ -121,7 +121,8 @@ def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: in
     sets are one node. Candidates come from `set_signatures`, each is verified, and no pair is skipped but within
     what is one component already. Null or empty texts have no shingles and are linked with nothing.
     Repeated rows are equal sets. A null doc_id is never the smallest of a component. comp tells components apart
-    whatever their ids are (null without shingles).
+    whatever their ids are (null without shingles). Very long texts are one set as others are; an empty table gives no rows. Only doc_id and
+    text are read, so other columns may have any name.
     """
     keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
 
@@ -172,10 +173,11 @@ def jaccard_components(docs: DataFrame, *, num: int = NUM, den: int = DEN, k: in
     return nodes.join(named, "sk", "left").select("doc_id", "_k1", "_k2", "n_shingles", F.when(own, F.col("comp")).alias("comp"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@shields_names
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """Of each component one document: the smallest doc_id (null last), then the smallest _k2; of repeated rows one.
 
-    Rows without shingles are linked with nothing and all stay, but for repeated ones.
+    Rows without shingles are linked with nothing and all stay, but for repeated ones. All columns pass through; an empty table stays empty.
     """
     found = jaccard_components(docs, **options)
     lone = F.col("comp").isNull()

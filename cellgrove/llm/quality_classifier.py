@@ -108,18 +108,23 @@ def score_column(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_ROWS) -> DataFrame:
-    """Statistics and label of at most ``limit`` labelled rows that aren't held out; rows with a null doc_id or label don't count."""
+    """Statistics and label of at most ``limit`` labelled documents that aren't held out; rows with a null doc_id or label don't count.
+
+    Of rows that share a doc_id one counts, with the first text in code point order.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("quality").alias("label"))
     sample = usable.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(limit).select("doc_id", F.col("label").cast("double").alias("label"))
-    return statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("label", *STATISTICS)  # at most `limit` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return statistics(rows).select("label", *STATISTICS)  # at most `limit` rows
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, limit: int = TRAIN_ROWS) -> DataFrame:
     """Add ``held_out``, ``score`` (0 to 1) and ``predicted`` (score >= 0.3) to every document.
 
     Scores depend on the text alone: doc_id, lang and source are no inputs. Null and empty texts are scored as
-    texts without words. Without usable labels every score is 0.5. Clashing columns are replaced.
+    texts without words, very long ones as a whole. Repeated rows have equal scores; an empty table gives no rows. Without usable labels every
+    score is 0.5. Clashing columns are replaced.
     """
     spark = docs.sparkSession
     rows = spark.createDataFrame(training_rows(docs, labels, limit=limit).toPandas(), "label double, " + ", ".join(f"{c} double" for c in STATISTICS))

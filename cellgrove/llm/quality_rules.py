@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.llm.text import SPACE, let, lines, strip_space, whole, words
+from cellgrove.llm.text import SPACE, let, lines, shields_names, strip_space, whole, words
 from cellgrove.scratch import at_most, materialize
 
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
@@ -136,6 +136,7 @@ def adaptive_thresholds(sketch: DataFrame) -> DataFrame:
     return found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_limits")
 
 
+@shields_names
 def assess(docs: DataFrame, *, carry: list[str] | None = None) -> DataFrame:
     """Statistics and verdict of every document.
 
@@ -144,7 +145,8 @@ def assess(docs: DataFrame, *, carry: list[str] | None = None) -> DataFrame:
     multiple of the spread of that group, read from a mergeable logarithmic-bucket sketch and shrunk by count
     towards those of the language and of all documents. Returns the columns in ``carry`` (all by default) with both and the statistics.
 
-    Null text has no words and fails; null lang or source form groups of their own. The texts are read once:
+    Null or empty text has no words and fails; null lang or source form groups of their own. Very long texts are counted whole, by shares
+    that don't depend on length. Repeated rows have equal results, and count each in the sketches; an empty table gives no rows. The texts are read once:
     statistics are written to the shared folder, and sketches and verdicts come from there. Columns named
     like an added one are replaced.
     """

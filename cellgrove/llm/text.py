@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The ASCII white space of every contract: space and \x09-\x0D.
@@ -41,5 +44,23 @@ def let(value: Column, body) -> Column:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two longs that tell rows apart as far as results that depend on the text alone can differ."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k2")]
+    """Two longs that tell rows apart as far as results that depend on the text alone can differ; ids that are no number count as -1."""
+    return [F.coalesce(F.col(doc_id).try_cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k2")]
+
+
+def shields_names(operator: Callable) -> Callable:
+    """Keeps input columns whose names begin with an underscore, as those of helpers do, out of the operator's way; they come back under their names."""
+
+    @functools.wraps(operator)
+    def call(docs: DataFrame, *args, **options) -> DataFrame:
+        prefix = "kept"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "x"
+        hidden = {c: prefix + c for c in docs.columns if c.startswith("_")}
+        if not hidden:
+            return operator(docs, *args, **options)
+        if options.get("carry"):
+            options["carry"] = [hidden.get(c, c) for c in options["carry"]]
+        return operator(docs.withColumnsRenamed(hidden), *args, **options).withColumnsRenamed({v: k for k, v in hidden.items()})
+
+    return call
