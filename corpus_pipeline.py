@@ -17,28 +17,48 @@ from cellgrove.scratch import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the thresholds of their language and source go."""
+    """Documents that fail the base rules or the thresholds of their language and source go.
+
+    Null and empty texts fail. Very long texts are counted whole. Null languages and sources are groups. Repeated rows stay or go
+    together. An empty table stays empty; other columns, whatever their names, pass through.
+    """
     return assess(docs).filter("kept").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
+    """Of each component of near duplicates the document with the smallest doc_id stays.
+
+    Null ids come last, and ties go to the text with the smallest hash. Texts without words are near nothing; repeated rows leave one. Very
+    long texts are one set of shingles. An empty table stays empty; other columns pass through.
+    """
     return keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts, and all documents if the benchmark is empty, stay. Very long texts are searched whole. Rows that repeat have
+    the same fate. An empty table stays empty; other columns pass through.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items).filter("NOT contaminated").select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it.
+
+    Texts without words fill no budget and come as often as their source has whole epochs. Null sources are one source, the last. Equal keys go by doc_id, repeated
+    rows together. Very long texts are taken whole or passed over. An empty table stays empty; other columns pass through.
+    """
     return mixed_rows(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in a random order, dealt to the shards."""
+    """All rows in a random order, dealt to the shards.
+
+    Null and empty texts have size 1; repeated rows, also very many, are spread; a very long text has its bucket for itself. Input columns named
+    like an added one are replaced. An empty table stays empty.
+    """
     return with_shards(docs).drop("bucket")
 
 
