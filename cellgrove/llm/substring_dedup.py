@@ -11,28 +11,31 @@ from pyspark.sql import functions as F
 
 from cellgrove.llm.similarity import SETS, SHINGLE_WORDS, SIGNATURES, hash_rows, linked_classes, mix, shared_stars, shingle_hashes, signature_rows, text_slices, word_hashes
 from cellgrove.llm.text import row_key, whole
-from cellgrove.scratch import at_most, materialize
+from cellgrove.scratch import materialize
 
 NUM, DEN = 75, 100
-#: A pair at Jaccard 0.75 meets in one of BANDS bands of BAND_ROWS minima with probability 1 - (1 - 0.75^2)^4 = 0.963; equal paragraphs always do.
-BANDS, BAND_ROWS = 4, 2
-#: A paragraph begins where the hash of three words is the least within so many words on either side.
-RADIUS = 5
-#: Longer paragraphs are cut; those of fewer words than a shingle are no paragraphs.
-MAX_WORDS = 64
-#: Runs of repeated paragraphs of fewer words are set phrases, not passages.
+#: A pair at Jaccard 0.75 meets in one of BANDS bands of BAND_ROWS minima with probability 1 - (1 - 0.75^2)^6 = 0.993; equal paragraphs always do.
+BANDS, BAND_ROWS = 6, 2
+#: A paragraph begins where the hash of three words is the least within so many words on either side. Long paragraphs (some 41 words) are
+#: banded: one changed word inside leaves them a similarity of 0.75. Short ones (some 11 words) are too short to be similar without being equal: they
+#: are matched by equality, and find passages of 50 words or more wherever these begin.
+SHORT, LONG = 5, 20
+#: Longer paragraphs are cut at every so many radii; those of fewer words than a shingle are no paragraphs.
+LONGEST = 12
+#: Runs with fewer words in repeated paragraphs are set phrases, not passages.
 MIN_RUN = 16
-BROADCAST_KEYS = 300_000
+#: Repeated paragraphs of the same text with up to so many other words between them are one run (the words between stay).
+GAP = 24
 _A = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def paragraph_starts(w: np.ndarray, at: np.ndarray, radius: int = RADIUS, longest: int = MAX_WORDS) -> np.ndarray:
+def paragraph_starts(w: np.ndarray, at: np.ndarray, radius: int) -> np.ndarray:
     """Word positions at which the paragraphs of texts begin; text i has the word hashes ``w[at[i] : at[i + 1]]``.
 
     The cuts depend on the words around them alone, so a passage that is copied into another text is cut there
     in the same places, but for ``radius`` + 2 words at its ends. Texts of fewer than 2 * ``radius`` words are one paragraph.
     """
-    never, counts = np.iinfo(np.uint64).max, np.diff(at)
+    never, counts, longest = np.iinfo(np.uint64).max, np.diff(at), LONGEST * radius
     h = np.full(len(w), never)
     h[:-2] = mix(w[:-2] * _A[0] + w[1:-1] * _A[1] + w[2:] * _A[2])
     filled = counts > 0
@@ -54,15 +57,16 @@ def paragraph_starts(w: np.ndarray, at: np.ndarray, radius: int = RADIUS, longes
     return np.repeat(cuts, pieces) + longest * within
 
 
-def paragraphs(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def paragraphs(w: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the paragraphs of a shingle's length or more: texts, first words, ends, keys, and all their shingle hashes with the places where each begins.
 
-    Texts are as in `paragraph_starts`. A key is a hash of the sum of the mixed shingle hashes.
+    Texts are as in `paragraph_starts`. A key is a hash of the sum of the mixed shingle hashes, so paragraphs of either length
+    have equal keys if they have equal shingles.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(w) < SHINGLE_WORDS:
         return none, none, none, none.view(np.uint64), none.view(np.uint64), none
-    starts = paragraph_starts(w, at)
+    starts = paragraph_starts(w, at, radius)
     ends = np.r_[starts[1:], len(w)]
     counts = np.maximum(0, ends - starts - SHINGLE_WORDS + 1)
     kept = counts > 0
@@ -80,11 +84,13 @@ def paragraphs(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["_k1", "_k2", "first_word", "end_word", "sk"]
+    names = ["_k1", "_k2", "first_word", "end_word", "sk", "banded"]
     for b in text_slices(batches):
-        of, first, end, keys, _, _ = paragraphs(*word_hashes(b.column("text")))
-        at = pa.array(of)
-        yield pa.RecordBatch.from_arrays([b.column("_k1").take(at), b.column("_k2").take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(keys.view(np.int64))], names)
+        w = word_hashes(b.column("text"))
+        for radius in (SHORT, LONG):
+            of, first, end, keys, _, _ = paragraphs(*w, radius)
+            at = pa.array(of)
+            yield pa.RecordBatch.from_arrays([b.column("_k1").take(at), b.column("_k2").take(at), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(of), radius == LONG))], names)
 
 
 def band_signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -99,7 +105,7 @@ def band_signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches):
-        _, _, _, keys, h, places = paragraphs(*word_hashes(b.column("text")))
+        _, _, _, keys, h, places = paragraphs(*word_hashes(b.column("text")), LONG)
         if len(keys):
             yield pa.RecordBatch.from_pydict(signature_rows(band_signatures(h, places).reshape(-1), np.repeat(keys, BANDS)))
 
@@ -107,7 +113,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the wanted paragraphs of the texts."""
     for b in text_slices(batches):
-        _, _, _, keys, h, places = paragraphs(*word_hashes(b.column("text")))
+        _, _, _, keys, h, places = paragraphs(*word_hashes(b.column("text")), LONG)
         keys, ends = keys.view(np.int64), np.r_[places[1:], len(h)]
         wanted = b.column("wanted").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         found = np.flatnonzero(np.isin(keys, wanted))
@@ -119,28 +125,27 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
     """Passages that repeat, as runs of repeated paragraphs: one row a run.
 
-    Paragraphs are content-defined stretches of some 11 words, whatever line breaks a text has. Those that share a band
-    of MinHash values are compared; a Jaccard similarity of 0.75 or more of their five-word shingles links them. Of
+    Paragraphs are content-defined stretches of some 41 words, and again of some 11, whatever line breaks a text has. Long ones
+    that share a band of MinHash values are compared; a Jaccard similarity of 0.75 or more of their five-word shingles links them. Of
     each component of links (or of equal paragraphs) that two or more texts hold, the first occurrence in the smallest
     row stays and all others are removed; what only repeats within one text stays.
-    Neighbouring paragraphs that repeat make a run; runs of fewer than ``min_run`` words are left out.
+    Repeated paragraphs that overlap, follow each other or, with at most GAP words between them, stay in the same text make a run;
+    runs of fewer than ``min_run`` words in such paragraphs are left out.
 
-    Returns doc_id, _k1, _k2, first_word, end_word (exclusive), n_removed_words, removed (word ranges to cut) and
+    Returns doc_id, _k1, _k2, first_word, end_word (exclusive), n_removed_words, removed (word ranges to cut; they may overlap) and
     first_doc_id (the smallest doc_id that holds one of its paragraphs). Words are runs of other characters than ASCII
-    white space. Null, empty and very short texts have no paragraphs. Rows that repeat in doc_id and text
-    count once. Null doc_ids count as -1 in the order.
+    white space. Null, empty and very short texts have no paragraphs; very long ones are cut as others are. Rows that repeat in doc_id and text
+    count once. Null doc_ids count as -1 in the order. An empty table has no passages. Other columns are not read, so their names don't matter.
     """
     keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
-    places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, "_k1 long, _k2 long, first_word int, end_word int, sk long"), "paragraphs")
+    places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, "_k1 long, _k2 long, first_word int, end_word int, sk long, banded boolean"), "paragraphs")
     stars = shared_stars(keyed.select("text").mapInArrow(_signatures, SIGNATURES))
     in_stars = materialize(stars.select("sk").union(stars.select(F.col("hub").alias("sk"))).distinct(), "star-keys")
-    in_stars = F.broadcast(in_stars) if at_most(in_stars, BROADCAST_KEYS) else in_stars
-    holding = materialize(places.join(in_stars, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")), "star-rows")
+    holding = materialize(places.filter("banded").join(in_stars, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")), "star-rows")
 
     def fetch(keys: DataFrame) -> DataFrame:
         holders = holding.join(keys, "sk", "left_semi").groupBy("r").agg(F.collect_list("sk").alias("wanted"))  # a text's own paragraphs
         holders = materialize(holders.select("r.*", "wanted"), "candidate-rows")
-        holders = F.broadcast(holders) if at_most(holders.select(F.explode("wanted")), BROADCAST_KEYS) else holders
         return materialize(keyed.select("_k1", "_k2", "text").join(holders, ["_k1", "_k2"]).select("text", "wanted").mapInArrow(_contents, SETS), "candidate-sets")
 
     comps = linked_classes(stars, fetch, num=NUM, den=DEN)
@@ -154,16 +159,20 @@ def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
     classes = materialize(classes.withColumn("comp", F.coalesce("comp", "sk")), "classes")
     several = classes.groupBy("comp").agg(F.min("first").alias("keeper"), F.max("hi").alias("hi")).filter(F.struct("keeper._k1", "keeper._k2") != F.col("hi"))
     repeated = materialize(classes.select("sk", "comp").join(several, "comp").select("sk", "keeper"), "repeated-classes")
-    marked = places.join(repeated, "sk").select("_k1", "_k2", "first_word", "end_word", "keeper", (order != F.col("keeper")).alias("cut"))
-    in_text = Window.partitionBy("_k1", "_k2").orderBy("first_word")
-    once = marked.withColumn("_before", F.lag("first_word", 1, -1).over(in_text)).filter("first_word <> _before")  # rows may repeat
-    begins = (F.col("first_word") != F.lag("end_word", 1, -1).over(in_text)).cast("int")
-    runs = once.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(in_text))
-    n = F.when(F.col("cut"), F.col("end_word") - F.col("first_word")).otherwise(0)
+    marked = places.join(repeated, "sk").select("_k1", "_k2", "first_word", "end_word", "keeper", (order != F.col("keeper")).alias("cut")).distinct()  # rows may repeat
+    in_text = Window.partitionBy("_k1", "_k2").orderBy("first_word", "end_word", "keeper", "cut")
+    before = in_text.rowsBetween(Window.unboundedPreceding, -1)
+    home = F.struct("keeper._k1", "keeper._k2")
+    ends = marked.withColumns({
+        "_end": F.coalesce(F.max("end_word").over(before), F.lit(-GAP - 1)), "_cut_end": F.coalesce(F.max(F.when(F.col("cut"), F.col("end_word"))).over(before), F.lit(0)),
+        "_same": F.coalesce(F.lag(home).over(in_text) == home, F.lit(False))})
+    begins = F.col("first_word") > F.col("_end") + F.when(F.col("_same"), GAP).otherwise(0)
+    runs = ends.withColumn("_run", F.sum(begins.cast("int")).over(in_text))
+    new = lambda end: F.greatest(F.lit(0), F.col("end_word") - F.greatest("first_word", F.col(end)))
     out = runs.groupBy("_k1", "_k2", "_run").agg(
-        F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.sum(n).alias("n_removed_words"),
-        F.array_sort(F.collect_list(F.when(F.col("cut"), F.struct("first_word", "end_word")))).alias("removed"), F.min("keeper._k1").alias("first_doc_id"))
-    return out.filter(F.col("end_word") - F.col("first_word") >= min_run).drop("_run").withColumn("doc_id", F.col("_k1"))
+        F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.sum(F.when(F.col("cut"), new("_cut_end")).otherwise(0)).alias("n_removed_words"),
+        F.array_sort(F.collect_set(F.when(F.col("cut"), F.struct("first_word", "end_word")))).alias("removed"), F.min("keeper._k1").alias("first_doc_id"), F.sum(new("_end")).alias("_covered"))
+    return out.filter(F.col("_covered") >= min_run).drop("_run", "_covered").withColumn("doc_id", F.col("_k1"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
