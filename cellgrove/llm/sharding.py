@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellgrove.llm.text import whole
+from cellgrove.llm.text import shields_names, whole
 from cellgrove.scratch import at_most, materialize, new_path
 
 SHARDS, SEED = 16, 20240
@@ -29,6 +29,7 @@ def _starts(counts: DataFrame, n: str, width: int = 4096) -> DataFrame:
     return level.withColumn("_inside", inside).join(upper, "_level").select(F.col("bucket").alias("_b"), (F.col("_before") + F.col("_inside")).alias("_start"))
 
 
+@shields_names
 def with_shards(docs: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, carry: list[str] | None = None) -> DataFrame:
     """A uniform random order of all rows, cut into ``n_shards`` equal parts: counts differ by one at most.
 
@@ -59,7 +60,9 @@ def with_shards(docs: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED, bu
         parts = F.broadcast(parts) if at_most(parts, BROADCAST_BUCKETS) else parts
         rows = materialize(rows.join(parts, "_home", "left").withColumn("bucket", F.col("_home") + n_buckets * split).drop("_home", "_parts"), "shard-buckets")
 
-    starts = _starts(rows.groupBy("bucket").agg(F.count("*").alias("_n")), "_n")
+    # Starts are joined before the rows are grouped, so that texts are moved once.
+    starts = _starts(rows.groupBy("bucket").agg(F.count("*").alias("_n")), "_n").withColumnRenamed("_b", "bucket")
+    rows = rows.join(starts, "bucket")
     schema = T.StructType([*rows.schema.fields, T.StructField("_place", T.LongType())])
 
     def shuffled(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,10 +72,10 @@ def with_shards(docs: DataFrame, *, n_shards: int = SHARDS, seed: int = SEED, bu
         order = np.random.default_rng([seed, bucket]).permutation(len(pdf))  # Fisher-Yates
         return pdf.iloc[order].assign(_place=np.arange(len(pdf), dtype=np.int64))
 
-    placed = rows.groupBy("bucket").applyInPandas(shuffled, schema).join(starts, F.col("bucket") == F.col("_b"))
+    placed = rows.groupBy("bucket").applyInPandas(shuffled, schema)
     rank = F.col("_start") + F.col("_place")
     placed = placed.withColumns({"law": F.lit("rows"), "_rank": rank, "shard": F.floor(rank * n_shards / n_rows).cast("int")})
-    return placed.withColumn("slot", (F.col("_rank") - F.ceil(F.col("shard") * F.lit(n_rows) / n_shards)).cast("long")).drop("_b", "_start", "_place", "_rank")
+    return placed.withColumn("slot", (F.col("_rank") - F.ceil(F.col("shard") * F.lit(n_rows) / n_shards)).cast("long")).drop("_start", "_place", "_rank").select(*[c for c in rows.columns if c not in ("bucket", "_start")], "law", "shard", "slot", "bucket")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:
