@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrove.llm.similarity import SETS, SHINGLE_WORDS, SIGNATURES, hash_rows, linked_classes, mix, shared_stars, shingle_hashes, signature_rows, text_slices, word_hashes
-from cellgrove.llm.text import row_key, whole
+from cellgrove.llm.text import own_key, same_key, whole
 from cellgrove.scratch import materialize
 
 NUM, DEN = 75, 100
@@ -135,18 +135,18 @@ def repeated_passages(docs: DataFrame, *, min_run: int = MIN_RUN) -> DataFrame:
     Returns doc_id, _k1, _k2, first_word, end_word (exclusive), n_removed_words, removed (word ranges to cut; they may overlap) and
     first_doc_id (the smallest doc_id that holds one of its paragraphs). Words are runs of other characters than ASCII
     white space. Null, empty and very short texts have no paragraphs; very long ones are cut as others are. Rows that repeat in doc_id and text
-    count once. Null doc_ids count as -1 in the order. An empty table has no passages. Other columns are not read, so their names don't matter.
+    count once. doc_ids may have any type that can be ordered; null ones come first in the order. An empty table has no passages. Other columns are not read, so their names don't matter.
     """
-    keyed = docs.select("doc_id", *row_key(), whole().cast("binary").alias("text"))
-    places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, "_k1 long, _k2 long, first_word int, end_word int, sk long, banded boolean"), "paragraphs")
+    keyed, kind = docs.select(*own_key(), whole().cast("binary").alias("text")), docs.schema["doc_id"].dataType.simpleString()
+    places = materialize(keyed.select("_k1", "_k2", "text").mapInArrow(_occurrences, f"_k1 {kind}, _k2 long, first_word int, end_word int, sk long, banded boolean"), "paragraphs")
     stars = shared_stars(keyed.select("text").mapInArrow(_signatures, SIGNATURES))
     in_stars = materialize(stars.select("sk").union(stars.select(F.col("hub").alias("sk"))).distinct(), "star-keys")
     holding = materialize(places.filter("banded").join(in_stars, "sk", "left_semi").groupBy("sk").agg(F.min(F.struct("_k1", "_k2")).alias("r")), "star-rows")
 
     def fetch(keys: DataFrame) -> DataFrame:
         holders = holding.join(keys, "sk", "left_semi").groupBy("r").agg(F.collect_list("sk").alias("wanted"))  # a text's own paragraphs
-        holders = materialize(holders.select("r.*", "wanted"), "candidate-rows")
-        return materialize(keyed.select("_k1", "_k2", "text").join(holders, ["_k1", "_k2"]).select("text", "wanted").mapInArrow(_contents, SETS), "candidate-sets")
+        holders = materialize(holders.select(F.col("r._k1").alias("_o1"), F.col("r._k2").alias("_o2"), "wanted"), "candidate-rows")
+        return materialize(keyed.join(holders, same_key()).select("text", "wanted").mapInArrow(_contents, SETS), "candidate-sets")
 
     comps = linked_classes(stars, fetch, num=NUM, den=DEN)
 

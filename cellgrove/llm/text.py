@@ -48,6 +48,21 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.coalesce(F.col(doc_id).try_cast("long"), F.lit(-1)).alias("_k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k2")]
 
 
+def own_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """What tells rows apart: doc_id as it is, of any type and null too, and a hash of the text. Joins on it must be null-safe, as `same_key` is."""
+    return [F.col(doc_id).alias("_k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k2")]
+
+
+def same_key(k1: str = "_k1", k2: str = "_k2", other1: str = "_o1", other2: str = "_o2") -> Column:
+    return F.col(k1).eqNullSafe(F.col(other1)) & (F.col(k2) == F.col(other2))
+
+
+def set_aside(docs: DataFrame, read: list[str]) -> tuple[DataFrame, Callable]:
+    """``docs`` with all columns but those in ``read`` under names that no operator uses, and a function that gives back the columns of ``docs``."""
+    hidden = {c: f"kept_aside_{i}" for i, c in enumerate(docs.columns) if c not in read}
+    return docs.withColumnsRenamed(hidden), lambda out: out.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
+
+
 def shields_names(operator: Callable) -> Callable:
     """Keeps input columns whose names begin with an underscore, as those of helpers do, out of the operator's way; they come back under their names."""
 

@@ -95,6 +95,22 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_rows_are_told_apart_by_ids_of_any_type(spark):
+    """String ids, null beside -1, and equal texts in all of them: one copy of each shared line and passage stays."""
+    rng = random.Random(9)
+    line, passage = "a line that several documents share", prose(rng, 80)
+    for kind, ids in (("string", ["a", "b", "01", "1", None]), ("long", [-1, 4, 7, None]), ("double", [0.5, 0.25, 1.5, None])):
+        same = spark.createDataFrame([(i, f"{line}\nown words") for i in ids], f"doc_id {kind}, text string")
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(same).collect()}
+        keeper = max(i for i in ids if i is not None)
+        assert {i: r.n_dropped for i, r in got.items()} == {i: int(i != keeper) for i in ids}
+        assert got[keeper].text == f"{line}\nown words" and got[ids[0]].text in ("own words", f"{line}\nown words")
+        copies = spark.createDataFrame([(i, passage) for i in ids] + [(ids[0], prose(rng, 60) + " " + passage + " changed " + passage[:40])], f"doc_id {kind}, text string")
+        found = substring_dedup.repeated_passages(copies).collect()
+        cut = collections.Counter(r.doc_id for r in found if r.n_removed_words >= 60)
+        assert set(cut) >= set(ids) - {None, min(i for i in ids if i is not None)} and None not in cut
+
+
 def test_sharding(spark, docs, texts, empty):
     out = sharding.with_shards(docs, bucket_bytes=4000).collect()
     assert sorted(r.doc_id for r in out) == list(range(len(texts)))
@@ -621,6 +637,19 @@ def test_warc_of_a_large_payload(spark, tmp_path):
     assert sum(len(r.data) for r in small if r.page_id == 3) == 10_000 and len(small) == 5 + 4 * 3
 
 
+def test_pipeline_stages_leave_other_columns_alone(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([("q", "w1x w2x")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["n_words", "kept", "size", "items", "n_hit", "taken", "target", "base_failed", "distinct_share", "_k1"]
+    own = docs.drop(*names).withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, str(tmp_path))
+        assert out.columns == own.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
+
+
 def test_pipeline(spark, docs, tmp_path, texts):
     import corpus_pipeline
 
