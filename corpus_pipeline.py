@@ -13,6 +13,7 @@ from cellgrove.llm.mixing import mixed_rows
 from cellgrove.llm.ngram_join import keep_one
 from cellgrove.llm.quality_rules import assess
 from cellgrove.llm.sharding import with_shards
+from cellgrove.llm.text import set_aside
 from cellgrove.scratch import materialize
 
 
@@ -22,7 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts fail. Very long texts are counted whole. Null languages and sources are groups. Repeated rows stay or go
     together. An empty table stays empty; other columns, whatever their names, pass through.
     """
-    return assess(docs).filter("kept").select(*docs.columns)
+    own, back = set_aside(docs, ["doc_id", "text", "lang", "source"])
+    return back(assess(own).filter("kept"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     the same fate. An empty table stays empty; other columns pass through.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return contamination(docs, items).filter("NOT contaminated").select(*docs.columns)
+    own, back = set_aside(docs, ["doc_id", "text"])
+    return back(contamination(own, items).filter("NOT contaminated"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts without words fill no budget and come as often as their source has whole epochs. Null sources are one source, the last. Equal keys go by doc_id, repeated
     rows together. Very long texts are taken whole or passed over. An empty table stays empty; other columns pass through.
     """
-    return mixed_rows(docs)
+    own, back = set_aside(docs, ["doc_id", "text", "source"])
+    return back(mixed_rows(own))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
