@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.operators.ranks import dense_ranks, running_sums
+from cellgrove.scratch import materialize
+
 # Metrics of each kind of task, and the one that is reported first.
 PRIMARY = {"survival": "c_index", "survival_regression": "c_index", "binary": "auc_roc", "binary_classification": "auc_roc", "multiclass": "balanced_acc", "multiclass_classification": "balanced_acc"}
-METRICS = {"survival": ["c_index"], "binary": ["auc_roc", "auc_pr", "balanced_acc"], "multiclass": ["balanced_acc", "auc_ovr"]}
-
-
-#: Quantile buckets that the values of a run are dealt to, so that no task orders a whole run.
-BUCKETS = 256
+METRICS = {"survival": ["c_index"], "binary": ["auc_roc", "avg_precision", "balanced_acc"], "multiclass": ["balanced_acc", "macro_auc"]}
 
 
 def kind_of(task_type: str) -> str:
@@ -19,38 +18,35 @@ def kind_of(task_type: str) -> str:
     return task_type.split("_")[0]
 
 
-def quantile_bucket(rows: DataFrame, keys: list[str], column: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """``rows`` with the number of the quantile bucket of ``column`` within its run; equal values share a bucket, higher values have higher ones."""
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
-    joined = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # without keys one row
-    return joined.withColumn(name, F.size(F.filter("_cuts", lambda c: c <= F.col(column)))).drop("_cuts")
-
-
 def _by_score(pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts by distinct score, with those of the scores from there up: sums over buckets first, then within each bucket."""
+    """Counts by distinct score, with those of the scores from there up and of all."""
     counts = pred.groupBy(*keys, "score").agg(F.sum("truth").alias("_ones"), F.sum(1 - F.col("truth")).alias("_zeros"))
-    counts = quantile_bucket(counts, keys, "score", "_b")
-    of_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_ones").alias("_b1"), F.sum("_zeros").alias("_b0"))  # BUCKETS rows a run at most
-    down, every = Window.partitionBy(*keys).orderBy(F.desc("_b")), Window.partitionBy(*keys)
-    above = of_bucket.select(*keys, "_b", (F.sum("_b1").over(down) - F.col("_b1")).alias("_up1"), (F.sum("_b0").over(down) - F.col("_b0")).alias("_up0"), F.sum("_b1").over(every).alias("_pos"), F.sum("_b0").over(every).alias("_neg"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"))
-    own = counts.withColumns({"_in1": F.sum("_ones").over(inside), "_in0": F.sum("_zeros").over(inside)}).join(above, [*keys, "_b"])
-    return own.select(*keys, "score", "_ones", "_zeros", (F.col("_up1") + F.col("_in1")).alias("_tp"), (F.col("_up0") + F.col("_in0")).alias("_fp"), "_pos", "_neg")
+    ranked = running_sums(counts, keys=keys, order=["score"], sums=["_ones", "_zeros"], descending=True)
+    totals = ranked.groupBy(*keys).agg(F.sum("_ones").alias("_pos"), F.sum("_zeros").alias("_neg"))
+    return ranked.join(totals, keys).select(*keys, "_ones", "_zeros", F.col("upto__ones").alias("_tp"), F.col("upto__zeros").alias("_fp"), "_pos", "_neg")
 
 
-def roc_auc(pred: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(keys, auc_roc) of (keys, truth 0/1, score): ties count half; null with one class."""
+def rank_metrics(pred: DataFrame, *, keys: list[str]) -> DataFrame:
+    """(keys, auc_roc, avg_precision) of (keys, truth 0/1, score); null with one class.
+
+    Ties count half in the area under the curve; the average precision is the sum of recall steps times precision.
+    """
     c = _by_score(pred, keys)
-    below = F.col("_neg") - F.col("_fp")
-    wins = F.sum(F.col("_ones") * (below + F.col("_zeros") / 2.0))
-    return c.groupBy(*keys, "_pos", "_neg").agg(wins.alias("_w")).select(*keys, F.when((F.col("_pos") > 0) & (F.col("_neg") > 0), F.col("_w") / (F.col("_pos") * F.col("_neg"))).alias("auc_roc"))
+    wins = F.sum(F.col("_ones") * (F.col("_neg") - F.col("_fp") + F.col("_zeros") / 2.0))
+    precision = F.sum(F.when(F.col("_pos") > 0, F.col("_ones") / F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))))
+    both = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    out = c.groupBy(*keys, "_pos", "_neg").agg(wins.alias("_w"), precision.alias("_ap"))
+    return out.select(*keys, F.when(both, F.col("_w") / (F.col("_pos") * F.col("_neg"))).alias("auc_roc"), F.when(both, F.col("_ap")).alias("avg_precision"))
+
+
+def roc_auc(pred: DataFrame, *, keys: list[str]) -> DataFrame:
+    """(keys, auc_roc) of `rank_metrics`."""
+    return rank_metrics(pred, keys=keys).select(*keys, "auc_roc")
 
 
 def average_precision(pred: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(keys, auc_pr): the sum of recall steps times precision; null with one class."""
-    c = _by_score(pred, keys)
-    ap = F.sum(F.col("_ones") / F.col("_pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))
-    return c.filter("_pos > 0").groupBy(*keys, "_neg").agg(ap.alias("_ap")).select(*keys, F.when(F.col("_neg") > 0, F.col("_ap")).alias("auc_pr"))
+    """(keys, avg_precision) of `rank_metrics`."""
+    return rank_metrics(pred, keys=keys).select(*keys, "avg_precision")
 
 
 def balanced_accuracy(pred: DataFrame, *, keys: list[str], truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -60,9 +56,9 @@ def balanced_accuracy(pred: DataFrame, *, keys: list[str], truth: str = "truth",
 
 
 def binary_metrics(pred: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(keys, auc_roc, auc_pr, balanced_acc at score > 0.5)."""
+    """(keys, auc_roc, avg_precision, balanced_acc at score > 0.5)."""
     hard = pred.withColumn("predicted", (F.col("score") > 0.5).cast("int"))
-    return balanced_accuracy(hard, keys=keys).join(roc_auc(pred, keys=keys), keys).join(average_precision(pred, keys=keys), keys, "left")
+    return balanced_accuracy(hard, keys=keys).join(rank_metrics(pred, keys=keys), keys)
 
 
 def argmax_class(proba: DataFrame, *, keys: list[str]) -> DataFrame:
@@ -72,44 +68,41 @@ def argmax_class(proba: DataFrame, *, keys: list[str]) -> DataFrame:
 
 
 def macro_auc(proba: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(keys, auc_ovr): the mean one-against-rest AUC over classes; null if one is undefined."""
+    """(keys, macro_auc): the mean one-against-rest AUC over classes; null if one is undefined."""
     each = proba.select(*keys, "class", (F.col("truth") == F.col("class")).cast("int").alias("truth"), F.col("proba").alias("score"))
     a = roc_auc(each, keys=[*keys, "class"])
-    return a.groupBy(*keys).agg(F.when(F.count("auc_roc") == F.count("*"), F.avg("auc_roc")).alias("auc_ovr"))
+    return a.groupBy(*keys).agg(F.when(F.count("auc_roc") == F.count("*"), F.avg("auc_roc")).alias("macro_auc"))
 
 
 def concordance(pred: DataFrame, *, keys: list[str]) -> DataFrame:
     """(keys, c_index) of (keys, time, event, risk); null without comparable pairs.
 
     A pair counts if the earlier subject has the event, or at equal times if exactly one has it; risk ties count half.
-    Equal (time, event, risk) are summed up first. What is left is dealt to quantile buckets of time and of risk, some sqrt(n) / 4 of
-    each: pairs in different buckets of both are counted from sums by bucket, and only those that share
-    a bucket of time or of risk are joined, so a run of n rows makes some n^1.5 pairs and not n^2.
+
+    No pair is made. Subjects have dense ranks of (time, event first) and of risk in their run. Two time ranks differ first in one bit: for each bit
+    the ranks that agree in all higher bits are a group, those with 0 there come before those with 1, and a running sum over risks
+    counts for each event among the former how many of the latter have a lower risk. Rows with the same risk in a group are
+    added up before, so n rows make at most n rows a bit, however many share a time or a risk.
     """
-    c = pred.groupBy(*keys, "time", "event", "risk").agg(F.count("*").alias("n"))
-    sizes = c.groupBy(*keys).agg(F.least(F.lit(BUCKETS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")) / 4))).cast("int").alias("_k"))
-    c = quantile_bucket(quantile_bucket(c, keys, "time", "_t"), keys, "risk", "_r").join(sizes, keys)
-    c = c.withColumns({x: F.floor(F.col(x) * F.col("_k") / BUCKETS).cast("int") for x in ("_t", "_r")}).drop("_k")
-
-    side = lambda s: c.select(*keys, "_t", "_r", *[F.col(x).alias(f"{x}_{s}") for x in ("time", "event", "risk", "n")])
-    first = side("a").filter("event_a = 1")
-    n = F.col("n_a") * F.col("n_b")
-    good = n * F.when(F.col("risk_a") > F.col("risk_b"), 1.0).when(F.col("risk_a") == F.col("risk_b"), 0.5).otherwise(0.0)
-    same_time = first.join(side("b").drop("_r"), [*keys, "_t"]).filter("time_a < time_b OR (time_a = time_b AND event_b = 0)")
-    near = same_time.groupBy(*keys).agg(F.sum(good).alias("good"), F.sum(n).cast("double").alias("pairs"))
-    same_risk = first.withColumnRenamed("_t", "_ta").join(side("b").withColumnRenamed("_t", "_tb"), [*keys, "_r"]).filter("_ta < _tb")
-    tied = same_risk.groupBy(*keys).agg(F.sum(good).alias("good"), F.lit(0.0).alias("pairs"))
-
-    cells = c.groupBy(*keys, "_t", "_r").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("event") == 1, F.col("n"))).alias("events"))
-    places = F.sequence(F.lit(0), F.col("_k") - 1)
-    grid = sizes.withColumn("_t", F.explode(places)).withColumn("_r", F.explode(places)).drop("_k").join(cells, [*keys, "_t", "_r"], "left").na.fill(0, ["n", "events"])
-    lower = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "_t").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = Window.partitionBy(*keys, "_r").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("_lower", lower).withColumns({"_won": F.coalesce(F.sum("_lower").over(after), F.lit(0)), "_later": F.coalesce(F.sum("n").over(after), F.lit(0))})
-    later = F.sum("_later").over(Window.partitionBy(*keys, "_t"))
-    far = grid.withColumn("_later", later).groupBy(*keys).agg(F.sum(F.col("events") * F.col("_won")).cast("double").alias("good"), F.sum(F.col("events") * F.col("_later")).cast("double").alias("pairs"))
-    total = near.union(tied).union(far).groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("pairs").alias("pairs"))
-    return total.select(*keys, F.when(F.col("pairs") > 0, F.col("good") / F.col("pairs")).alias("c_index"))
+    counts = pred.groupBy(*keys, "time", (F.col("event") == 1).alias("_event"), "risk").agg(F.count("*").alias("_n"))
+    counts = materialize(counts.withColumn("_open", F.coalesce(~F.col("_event"), F.lit(True)).cast("int")).drop("_event"), "subjects")
+    times = dense_ranks(counts, keys=keys, order=["time", "_open"], name="_t")
+    risks = dense_ranks(counts, keys=keys, order=["risk"], name="_r")
+    bits = times.groupBy(*keys).agg(F.length(F.bin(F.max("_t"))).alias("_bits"))  # a row a run
+    ranked = counts.join(times, [*keys, "time", "_open"]).join(risks, [*keys, "risk"]).join(bits, keys)
+    each = ranked.select(*keys, "_t", "_r", "_open", "_n", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_bit"))
+    later = F.expr("shiftright(_t, _bit) & 1") == 1
+    halves = each.select(
+        *keys, "_bit", F.expr("shiftright(_t, _bit + 1)").alias("_prefix"), "_r",
+        F.when(~later & (F.col("_open") == 0), F.col("_n")).otherwise(0).alias("_events"), F.when(later, F.col("_n")).otherwise(0).alias("_later"))
+    group = [*keys, "_bit", "_prefix"]
+    halves = halves.filter("_events > 0 OR _later > 0").groupBy(*group, "_r").agg(F.sum("_events").alias("_events"), F.sum("_later").alias("_later"))
+    sums = running_sums(halves, keys=group, order=["_r"], sums=["_later"])
+    good = F.sum(F.col("_events") * (F.col("upto__later") - F.col("_later") / 2.0))
+    of_group = sums.groupBy(*group).agg(good.alias("_good"), (F.sum("_events").cast("double") * F.sum("_later")).alias("_pairs"))
+    total = of_group.groupBy(*keys).agg(F.sum("_good").alias("_good"), F.sum("_pairs").alias("_pairs"))
+    found = total.select(*keys, F.when(F.col("_pairs") > 0, F.col("_good") / F.col("_pairs")).alias("c_index"))
+    return bits.select(*keys).join(found, keys, "left")
 
 
 def null_metrics(runs: DataFrame, kind: str) -> DataFrame:

@@ -47,7 +47,7 @@ def bag_labels(instances: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def cross_validate(cells: DataFrame, meta: DataFrame, *, seeds: list[int], k: int = 5, n_samples: int = 16, radius_um: float = 100.0, mpp: float = 1.0, min_cells: int = 10, agg: str = "mean", featurise: Callable | None = None) -> DataFrame:
-    """(seed, fold, auc_roc, auc_pr, balanced_acc) of a logistic model of instances whose scores are pooled by region.
+    """(seed, fold, auc_roc, avg_precision, balanced_acc) of a logistic model of instances whose scores are pooled by region.
 
     ``meta`` has (region_id, patient_id, label 0/1); folds are of patients. ``featurise`` makes (instance_id, feature, value) of instances, by default
     their composition. Training and other regions draw focal cells with the same seed. Regions without an instance get 0.5.

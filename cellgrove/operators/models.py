@@ -16,7 +16,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrove.operators.metrics import quantile_bucket
+from cellgrove.operators.ranks import in_ranges
 from cellgrove.scratch import materialize
 
 CUTOFF = 1e-6
@@ -122,11 +122,11 @@ def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_ite
     and goes to ``failed`` with its error.
     """
     failed = {} if failed is None else failed
-    rows = materialize(quantile_bucket(rows, keys, "time", "_b").withColumn("p_", F.size("x")), "model-rows")
+    rows = in_ranges(rows.withColumn("p_", F.size("x")), keys=keys, order=[F.col("time").desc()], name="_b")
     info = {tuple(r[k] for k in keys): (r["p"], r["n"]) for r in rows.groupBy(*keys).agg(F.max("p_").alias("p"), F.count("*").alias("n")).collect()}
     betas = {k: np.zeros(p) for k, (p, _) in info.items()}
     top = max((p for p, _ in info.values()), default=0)
-    later, inside = Window.partitionBy(*keys).orderBy(F.desc("_b")), Window.partitionBy(*keys, "_b").orderBy(F.desc("time"))
+    later, inside = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy(F.desc("time"))
     names = ["s0", *[f"a{i}" for i in range(top)], *[f"b{i}_{j}" for i in range(top) for j in range(i, top)]]
     for _ in range(max_iter):
         if not betas:

@@ -177,11 +177,11 @@ def k1(spark: SparkSession, d: str) -> DataFrame:
 auc AS (SELECT a.run, sum(CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / count(*)::DOUBLE AS auc_roc FROM p a JOIN p b ON a.run = b.run AND a.truth = 1 AND b.truth = 0 GROUP BY 1),
 c AS (SELECT run, score, sum(truth) AS tp, count(*) AS n FROM p GROUP BY ALL),
 w AS (SELECT run, tp, sum(tp) OVER (PARTITION BY run ORDER BY score DESC) AS ctp, sum(n) OVER (PARTITION BY run ORDER BY score DESC) AS cn, sum(tp) OVER (PARTITION BY run) AS pos FROM c),
-ap AS (SELECT run, sum(tp / pos::DOUBLE * ctp / cn::DOUBLE) AS auc_pr FROM w GROUP BY 1),
+ap AS (SELECT run, sum(tp / pos::DOUBLE * ctp / cn::DOUBLE) AS avg_precision FROM w GROUP BY 1),
 ba AS (SELECT run, avg(r) AS balanced_acc FROM (SELECT run, truth, avg(((score > 0.5)::INT = truth)::INT) AS r FROM p GROUP BY ALL) GROUP BY 1)
-SELECT run, round(auc_roc, 6) AS auc_roc, round(auc_pr, 6) AS auc_pr, round(balanced_acc, 6) AS balanced_acc FROM auc JOIN ap USING (run) JOIN ba USING (run)""")
+SELECT run, round(auc_roc, 6) AS auc_roc, round(avg_precision, 6) AS avg_precision, round(balanced_acc, 6) AS balanced_acc FROM auc JOIN ap USING (run) JOIN ba USING (run)""")
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    return r6(me.binary_metrics(fx.scores(spark, d), keys=["run"]), "auc_roc", "auc_pr", "balanced_acc")
+    return r6(me.binary_metrics(fx.scores(spark, d), keys=["run"]), "auc_roc", "avg_precision", "balanced_acc")
 
 
 _ARGMAX = f"(SELECT run, region_id, truth, class AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY proba DESC, class) AS rn FROM {PROBA}) WHERE rn = 1)"
@@ -194,9 +194,9 @@ def k6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k7_macro_auc", f"""WITH p AS {PROBA}, c AS (SELECT run, class, proba, count(*) FILTER (truth = class) AS p, count(*) FILTER (truth <> class) AS q FROM p GROUP BY ALL),
 w AS (SELECT run, class, p, q, sum(q) OVER (PARTITION BY run, class ORDER BY proba) - q AS below FROM c),
-a AS (SELECT run, class, sum(p * (below + q / 2.0)) / (sum(p) * sum(q))::DOUBLE AS auc FROM w GROUP BY ALL) SELECT run, round(avg(auc), 6) AS auc_ovr FROM a GROUP BY 1""")
+a AS (SELECT run, class, sum(p * (below + q / 2.0)) / (sum(p) * sum(q))::DOUBLE AS auc FROM w GROUP BY ALL) SELECT run, round(avg(auc), 6) AS macro_auc FROM a GROUP BY 1""")
 def k7(spark: SparkSession, d: str) -> DataFrame:
-    return r6(me.macro_auc(fx.probabilities(spark, d), keys=["run"]), "auc_ovr")
+    return r6(me.macro_auc(fx.probabilities(spark, d), keys=["run"]), "macro_auc")
 
 
 @query("k9_summary", f"""WITH s AS (SELECT region_id % 9 AS run, marker AS metric, CASE WHEN region_id % 4 <> 0 THEN value END AS value FROM {EMB})

@@ -209,7 +209,7 @@ def i6(spark: SparkSession, d: str) -> DataFrame:
     return r6(mil.pool(p, cells, [0, 1]), "proba")
 
 
-@query("k8_null_metrics", f"SELECT run, m AS metric, NULL::DOUBLE AS value FROM (SELECT DISTINCT run FROM {SCORE}), (SELECT unnest(['auc_roc', 'auc_pr', 'balanced_acc']) AS m)")
+@query("k8_null_metrics", f"SELECT run, m AS metric, NULL::DOUBLE AS value FROM (SELECT DISTINCT run FROM {SCORE}), (SELECT unnest(['auc_roc', 'avg_precision', 'balanced_acc']) AS m)")
 def k8(spark: SparkSession, d: str) -> DataFrame:
     return me.null_metrics(fx.scores(spark, d).select("run").distinct(), "binary_classification")
 

@@ -36,6 +36,22 @@ def test_concordance_of_a_large_run(spark):
     assert got == pytest.approx(1 - (n / 2) / (n * (n - 1) / 2), abs=1e-12)
 
 
+@pytest.mark.parametrize("ties", ["two risks", "two times"])
+def test_concordance_of_a_million_rows(spark, ties):
+    """A million rows whose risks or times are nearly all tied take time in proportion, as no pairs are made."""
+    n, i = 1_000_000, F.col("id")
+    time, risk = {"two risks": (i, (i % 2)), "two times": (i % 2, i)}[ties]
+    rows = spark.range(n).select(F.lit(0).alias("run"), time.cast("double").alias("time"), F.lit(1).alias("event"), risk.cast("double").alias("risk"))
+    h = n // 2
+    wanted = {
+        # Odd ids have the higher risk: pairs of one parity tie, an odd id before an even one is right, an even one before an odd one wrong.
+        "two risks": (0.5 * h * (h - 1) + h * (h - 1) / 2) / (n * (n - 1) / 2),
+        # Time 0 before time 1, risks 2k against 2m + 1.
+        "two times": (h * (h - 1) / 2) / (h * h),
+    }[ties]
+    assert me.concordance(rows, keys=["run"]).first().c_index == pytest.approx(wanted, abs=1e-12)
+
+
 def test_rank_metrics_by_buckets(spark):
     rng = np.random.default_rng(4)
     rows, want = [], {}
@@ -47,7 +63,7 @@ def test_rank_metrics_by_buckets(spark):
         ap = sum((score >= s)[truth == 1].sum() / (score >= s).sum() * (a == s).sum() / len(a) for s in np.unique(score)) if len(a) else None
         want[run] = (auc, ap)
         rows += [(run, int(t), float(s)) for t, s in zip(truth, score, strict=True)]
-    got = {r.run: (r.auc_roc, r.auc_pr) for r in me.binary_metrics(spark.createDataFrame(rows, "run int, truth int, score double"), keys=["run"]).collect()}
+    got = {r.run: (r.auc_roc, r.avg_precision) for r in me.binary_metrics(spark.createDataFrame(rows, "run int, truth int, score double"), keys=["run"]).collect()}
     for run, (auc, ap) in want.items():
         assert got[run] == ((None, None) if auc is None else (pytest.approx(auc), pytest.approx(ap)))
 

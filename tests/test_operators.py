@@ -100,8 +100,8 @@ def test_metrics_with_ties_and_one_class(spark):
     s = "run int, truth int, score double"
     p = spark.createDataFrame([(0, 1, 0.5), (0, 0, 0.5), (0, 1, 0.9), (0, 0, 0.1), (1, 1, 0.9), (1, 1, 0.2)], s)
     got = {r.run: r for r in me.binary_metrics(p, keys=["run"]).collect()}
-    assert got[0].auc_roc == 0.875 and got[0].balanced_acc == 0.75 and math.isclose(got[0].auc_pr, 0.5 + 0.5 * 2 / 3)
-    assert got[1].auc_roc is None and got[1].auc_pr is None and got[1].balanced_acc == 0.5
+    assert got[0].auc_roc == 0.875 and got[0].balanced_acc == 0.75 and math.isclose(got[0].avg_precision, 0.5 + 0.5 * 2 / 3)
+    assert got[1].auc_roc is None and got[1].avg_precision is None and got[1].balanced_acc == 0.5
     c = "run int, time double, event int, risk double"
     r = spark.createDataFrame([(0, 1.0, 1, 3.0), (0, 1.0, 0, 1.0), (0, 1.0, 1, 2.0), (0, 5.0, 0, 3.0), (1, 1.0, 0, 1.0), (1, 2.0, 0, 1.0)], c)
     got = {x.run: x.c_index for x in me.concordance(r, keys=["run"]).collect()}
