@@ -7,16 +7,18 @@ gradient and Hessian a run (at most ``p`` x ``p`` numbers, p the vocabulary), ne
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellgrove.operators.ranks import in_ranges
+from cellgrove.operators.linear import fit_cox, fit_softmax, predict_softmax  # noqa: F401
 from cellgrove.scratch import materialize
 
 CUTOFF = 1e-6
@@ -101,70 +103,6 @@ def predict_logistic(rows: DataFrame, betas: DataFrame, *, keys: list[str]) -> D
     return rows.join(F.broadcast(betas), keys).withColumn("score", 1 / (1 + F.exp(-z))).drop("beta")
 
 
-def fit_logistic_ovr(rows: DataFrame, classes: list, *, keys: list[str], **options) -> DataFrame:
-    """One-against-rest logistic regressions, all classes and runs in the same jobs: (keys, class, beta)."""
-    each = rows.withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes]))).withColumn("label", (F.col("label") == F.col("class")).cast("int"))
-    return fit_logistic(each, keys=[*keys, "class"], **options)
-
-
-def predict_ovr(rows: DataFrame, betas: DataFrame, *, keys: list[str]) -> DataFrame:
-    """(keys, region_id, truth, class, proba), scaled to sum 1."""
-    z = 1 / (1 + F.exp(-_dot(F.col("beta"), F.concat(F.array(F.lit(1.0)), "x"))))
-    p = rows.join(F.broadcast(betas), keys).select(*keys, "region_id", F.col("label").alias("truth"), "class", z.alias("proba"))
-    return p.withColumn("proba", F.col("proba") / F.sum("proba").over(Window.partitionBy(*keys, "region_id")))
-
-
-def fit_cox(rows: DataFrame, *, keys: list[str], penalizer: float = 0.1, max_iter: int = 15, failed: dict | None = None) -> DataFrame:
-    """(keys, beta): ridge Cox models of (keys, x, time, event): log partial likelihood (Efron) / n - penalizer / 2 |beta|^2.
-
-    Each Newton step sums w, w x and w x x' by run and time (events apart) and adds them up over later times: over later quantile buckets of
-    time, and within the bucket, so no task has all times of a run. Ties are spread over their events by a sequence, so no risk set is ever collected. A run that can't be solved has no row
-    and goes to ``failed`` with its error.
-    """
-    failed = {} if failed is None else failed
-    rows = in_ranges(rows.withColumn("p_", F.size("x")), keys=keys, order=[F.col("time").desc()], name="_b")
-    info = {tuple(r[k] for k in keys): (r["p"], r["n"]) for r in rows.groupBy(*keys).agg(F.max("p_").alias("p"), F.count("*").alias("n")).collect()}
-    betas = {k: np.zeros(p) for k, (p, _) in info.items()}
-    top = max((p for p, _ in info.values()), default=0)
-    later, inside = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy(F.desc("time"))
-    names = ["s0", *[f"a{i}" for i in range(top)], *[f"b{i}_{j}" for i in range(top) for j in range(i, top)]]
-    for _ in range(max_iter):
-        if not betas:
-            break
-        at = _with_beta(rows, betas, keys).withColumn("w", F.exp(_dot(F.col("beta"), F.col("x"))))
-        terms = [F.col("w"), *[F.col("w") * F.get("x", F.lit(i)) for i in range(top)], *[F.col("w") * F.get("x", F.lit(i)) * F.get("x", F.lit(j)) for i in range(top) for j in range(i, top)]]
-        sums = [F.sum(F.coalesce(t, F.lit(0.0))).alias(n) for t, n in zip(terms, names, strict=True)]
-        tied = [F.sum(F.when(F.col("event") == 1, F.coalesce(t, F.lit(0.0))).otherwise(0.0)).alias(f"d_{n}") for t, n in zip(terms, names, strict=True)]
-        direct = [F.sum(F.when(F.col("event") == 1, F.coalesce(F.get("x", F.lit(i)), F.lit(0.0))).otherwise(0.0)).alias(f"x{i}") for i in range(top)]
-        by_time = at.groupBy(*keys, "_b", "time").agg(F.sum(F.col("event")).cast("int").alias("d"), *sums, *tied, *direct)
-        by_bucket = by_time.groupBy(*keys, "_b").agg(*[F.sum(n).alias(n) for n in names])
-        above = by_bucket.select(*keys, "_b", *[(F.sum(n).over(later) - F.col(n)).alias(f"up_{n}") for n in names])
-        within = by_time.select(*keys, "_b", "d", *[F.sum(n).over(inside).alias(n) for n in names], *[f"d_{n}" for n in names], *[f"x{i}" for i in range(top)]).filter("d > 0")
-        risk = within.join(above, [*keys, "_b"]).withColumns({n: F.col(n) + F.col(f"up_{n}") for n in names})
-        spread = risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d") - 1)))
-        share = F.col("l") / F.col("d")
-        m = {n: F.col(n) - share * F.col(f"d_{n}") for n in names}
-        g = [F.sum(F.col(f"x{i}") / F.col("d") - m[f"a{i}"] / m["s0"]) for i in range(top)]
-        h = [F.sum(m[f"b{i}_{j}"] / m["s0"] - m[f"a{i}"] * m[f"a{j}"] / (m["s0"] * m["s0"])) for i in range(top) for j in range(i, top)]
-        moved = 0.0
-        for r in spread.groupBy(*keys).agg(F.array(*g).alias("g"), F.array(*h).alias("h")).collect():
-            k = tuple(r[x] for x in keys)
-            p, n = info[k]
-            grad = np.array(r["g"])[:p] / n - penalizer * betas[k]
-            try:
-                step = _solve(_square(r["h"], top)[:p, :p] / n + penalizer * np.eye(p), grad)
-            except np.linalg.LinAlgError as e:
-                failed[k] = str(e)
-                del betas[k]
-                continue
-            step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
-            betas[k] = betas[k] + step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < CUTOFF:
-            break
-    return _beta_table(rows, betas, keys)
-
-
 def predict_risk(rows: DataFrame, betas: DataFrame, *, keys: list[str]) -> DataFrame:
     """Rows with ``risk``, the partial hazard."""
     return rows.join(F.broadcast(betas), keys).withColumn("risk", F.exp(_dot(F.col("beta"), F.col("x")))).drop("beta")
@@ -178,11 +116,6 @@ def ml_rows(rows: DataFrame, classes: list | None = None) -> DataFrame:
     return out.withColumn("label", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")) - 1).cast("double"))
 
 
-def elastic_net(*, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 200, n: int = 1) -> LogisticRegression:
-    """Binary or multinomial logistic regression of one large run; ``n`` is its number of rows."""
-    return LogisticRegression(weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=l1_ratio, standardization=False, maxIter=max_iter)
-
-
 def forest(*, trees: int = 300, max_depth: int = 15, seed: int = 0) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth, weightCol="weight", seed=seed)
 
@@ -209,19 +142,23 @@ def fit_predict_ml(train: DataFrame, test: DataFrame, estimator, classes: list)
     return scored.select("region_id", "truth", F.get(name, F.col("i")).alias("class"), "proba")
 
 
-def guarded(runs: list, one: Callable) -> list[tuple]:
+#: Models that the pipelines offer besides those of all runs at once: Spark ML estimators, fitted several runs at a time.
+ESTIMATORS = {"forest": forest, "boosting": boosting}
+#: Runs whose Spark ML jobs are under way at the same time.
+RUNS_AT_ONCE = 8
+
+
+def guarded(runs: list, one: Callable, *, session: SparkSession | None = None, at_once: int = RUNS_AT_ONCE) -> list[tuple]:
     """(run, result or None, error text or None) for each run: a run that fails doesn't end the others."""
-    out = []
-    for r in runs:
+    def attempt(r) -> tuple:
         try:
-            out.append((r, one(r), None))
+            return r, one(r), None
         except (ValueError, np.linalg.LinAlgError, IllegalArgumentException) as e:
-            out.append((r, None, str(e)))
-    return out
-
+            return r, None, str(e)
 
-#: Models that the pipelines offer besides the batched ones: Spark ML estimators, fitted one run at a time.
-ESTIMATORS = {"forest": forest, "boosting": boosting, "elastic_net": elastic_net}
+    with ThreadPoolExecutor(at_once) as pool:
+        call = inheritable_thread_target(session)(attempt) if session else attempt
+        return [f.result() for f in [pool.submit(call, r) for r in runs]]
 
 
 def model_for(kind: str) -> str:
@@ -229,21 +166,23 @@ def model_for(kind: str) -> str:
     return "cox" if kind.startswith("survival") else "logistic"
 
 
-def fit_predict_runs(train: DataFrame, test: DataFrame, make: Callable, *, keys: list[str], failed: dict | None = None) -> DataFrame | None:
-    """(keys, region_id, truth, class, proba) of every run by the Spark ML classifier that ``make`` gives for (rows of the run).
+def fit_predict_runs(train: DataFrame, test: DataFrame, make: Callable, *, keys: list[str], failed: dict | None = None) -> DataFrame:
+    """(keys, region_id, truth, class, proba) of every run by the Spark ML classifier that ``make`` gives for the run's number of rows.
 
-    Runs that fail have no rows and go to ``failed``; None if all do.
+    Runs that fail have no rows and go to ``failed``. Predictions of a run are written when its model is fitted.
     """
     info = train.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("label")).alias("classes")).collect()  # one row a run
+    names = ", ".join(f"`{k}` {train.schema[k].dataType.simpleString()}" for k in keys)
+    label = train.schema["label"].dataType.simpleString()
+    out = train.sparkSession.createDataFrame([], f"{names}, region_id {train.schema['region_id'].dataType.simpleString()}, truth {label}, class {label}, proba double")
     same = lambda df, r: df.filter(_all_equal([F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]))
-    one = lambda r: fit_predict_ml(same(train, r).drop(*keys), same(test, r).drop(*keys), make(r["n"]), r["classes"]).select(*[F.lit(r[k]).alias(k) for k in keys], "*")
-    out = None
-    for r, scored, error in guarded(info, one):
-        if scored is None:
-            if failed is not None:
-                failed[tuple(r[k] for k in keys)] = error
-        else:
-            out = scored if out is None else out.unionByName(scored)
+    own = lambda r: fit_predict_ml(same(train, r).drop(*keys), same(test, r).drop(*keys), make(r["n"]), r["classes"])
+    one = lambda r: materialize(own(r).select(*[F.lit(r[k]).cast(train.schema[k].dataType).alias(k) for k in keys], "*"), "run-predictions")
+    for r, scored, error in guarded(info, one, session=train.sparkSession):
+        if scored is not None:
+            out = out.unionByName(scored)
+        elif failed is not None:
+            failed[tuple(r[k] for k in keys)] = error
     return out
 
 

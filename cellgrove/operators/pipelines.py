@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,52 +27,75 @@ def run_features(features: DataFrame, runs: DataFrame, *, keys: list[str], fill:
 
 
 def evaluate(features: DataFrame, runs: DataFrame, target: DataFrame, *, keys: list[str], kind: str, fill: float | None = 0.0, vocab: DataFrame | None = None, model: str | None = None, **options) -> DataFrame:
-    """(keys, metric, value, n_train, n_val) of every run: prepare on training rows, fit, predict, score.
+    """(keys, n_train, n_val, metric, value, error) of every run: prepare on training rows, fit, predict, score.
 
-    ``model`` is "cox", "logistic" (all runs in the same jobs), or "forest", "boosting" or "elastic_net" (Spark ML, a run at a time) with its
-    options. A run whose training rows have one class, no event or no varying feature, or whose fit fails, gets null metrics; the others go on.
+    ``model`` is "cox", "logistic" or "elastic_net" (all runs in the same jobs), or "forest" or "boosting" (Spark ML, several runs at a time) with its
+    options. A run whose training rows have one class, no event or no varying feature, or whose fit fails, gets null metrics and the reason
+    as ``error``; the others go on.
     """
     kind, model = me.kind_of(kind), model or mo.model_for(kind)
-    if (kind == "survival") != (model == "cox") or model not in ("cox", "logistic", *mo.ESTIMATORS):
+    if (kind == "survival") != (model == "cox") or model not in ("cox", "logistic", "elastic_net", *mo.ESTIMATORS):
         raise ValueError(f"no model {model!r} for {kind} tasks")
     table = run_features(features, runs, keys=keys, fill=fill, vocab=vocab)
     ready = prep.apply_prep(table, prep.fit_prep(table, keys=keys), keys=keys)
     rows = materialize(prep.assemble(ready, keys=keys).join(target, "region_id"), "run-rows")
     train, test = rows.filter("role = 'train'"), rows.filter("role <> 'train'")
     sizes = runs.groupBy(*keys).agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") != "train").alias("n_val"))
+    failed: dict[tuple, str] = {}
+    if kind == "survival":
+        checked = train.groupBy(*keys).agg((F.sum("event") > 0).alias("_ok"))
+        why = "no event among the training rows"
+    else:
+        checked = train.groupBy(*keys).agg((F.count_distinct("label") > 1).alias("_ok"))
+        why = "one class among the training rows"
+    checked = materialize(checked, "usable-runs")
+    train = train.join(checked.filter("_ok").select(*keys), keys, "left_semi")
     if kind == "survival":
-        usable = train.groupBy(*keys).agg(F.sum("event").alias("_e")).filter("_e > 0").select(*keys)
-        betas = mo.fit_cox(train.join(usable, keys, "left_semi"), keys=keys, **options)
-        scores = me.concordance(mo.predict_risk(test, betas, keys=keys), keys=keys)
+        scores = me.concordance(mo.predict_risk(test, mo.fit_cox(train, keys=keys, failed=failed, **options), keys=keys), keys=keys)
     else:
-        usable = train.groupBy(*keys).agg(F.count_distinct("label").alias("_c")).filter("_c > 1").select(*keys)
-        train = prep.balanced_weights(train.join(usable, keys, "left_semi"), keys=keys)
+        train = prep.balanced_weights(train, keys=keys)
         if model == "logistic" and kind == "binary":
-            pred = mo.predict_logistic(test, mo.fit_logistic(train, keys=keys, **options), keys=keys).withColumn("truth", F.col("label"))
-        elif model == "logistic":
+            pred = mo.predict_logistic(test, mo.fit_logistic(train, keys=keys, failed=failed, **options), keys=keys).withColumn("truth", F.col("label"))
+        elif model in ("logistic", "elastic_net"):
             classes = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]  # the classes
-            proba = mo.predict_ovr(test, mo.fit_logistic_ovr(train, classes, keys=keys, **options), keys=keys)
+            proba = mo.predict_softmax(test, mo.fit_softmax(train, classes, keys=keys, failed=failed, **options), classes, keys=keys)
         else:
-            options = options if model != "elastic_net" else {**options, "n": None}
-            make = lambda n: mo.ESTIMATORS[model](**{k: n if k == "n" else v for k, v in options.items()})
-            train = materialize(train, "train-rows")
-            proba = mo.fit_predict_runs(train, test, make, keys=keys)
-            if proba is None:
-                return me.null_metrics(sizes, kind)
-            pred = proba.filter("class = 1").withColumnRenamed("proba", "score") if kind == "binary" else None
+            proba = mo.fit_predict_runs(materialize(train, "train-rows"), test, lambda n: mo.ESTIMATORS[model](**options), keys=keys, failed=failed)
         if kind == "binary":
+            if model != "logistic":
+                pred = proba.filter("class = 1").withColumnRenamed("proba", "score")
             scores = me.binary_metrics(pred, keys=keys)
         else:
             scores = me.balanced_accuracy(me.argmax_class(proba, keys=keys), keys=keys).join(me.macro_auc(proba, keys=keys), keys)
+    schema = ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys) + ", _text string"
+    texts = F.broadcast(runs.sparkSession.createDataFrame([(*k, v) for k, v in failed.items()], schema))  # a row a failed run
+    error = F.when(F.col("_ok").isNull(), "no feature varies among the training rows").when(~F.col("_ok"), why).otherwise(F.col("_text"))
     long = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in me.METRICS[kind]])
-    return sizes.join(scores, keys, "left").select(*keys, "n_train", "n_val", F.inline(long))
+    found = sizes.join(scores, keys, "left").join(checked, keys, "left").join(texts, keys, "left").withColumn("error", error)
+    return found.select(*keys, "n_train", "n_val", "error", F.inline(long)).select(*keys, "n_train", "n_val", "metric", "value", "error")
+
+
+def prepared_features(table: DataFrame, featurise: Callable | None, normalization: dict | None) -> DataFrame:
+    """The features of a pipeline, written once: ``table`` itself, or what ``featurise`` makes of it.
+
+    ``featurise`` takes the table (cells or intensities) and gives (region_id, feature, value). With ``normalization`` (the options of
+    `normalize.normalize`) the table has (region_id, marker, value) and its values are normalised before.
+    """
+    if normalization:
+        table = normalize.normalize(table, keys=["region_id"], **normalization)
+    if normalization and not featurise:
+        raise ValueError("normalised intensities need a featuriser")
+    return materialize((featurise(table) if featurise else table).select("region_id", "feature", "value"), "features")
 
 
-def cross_validate(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, seeds: list[int], k: int = 5, stratify: str | None = None, cv_filter: str | None = None, **options) -> DataFrame:
-    """Patient-level folds for all seeds: (seed, fold, metric, value, n_train, n_val).
+def cross_validate(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, seeds: list[int], k: int = 5, stratify: str | None = None, cv_filter: str | None = None, featurise: Callable | None = None, normalization: dict | None = None, **options) -> DataFrame:
+    """Patient-level folds for all seeds: (seed, fold, n_train, n_val, metric, value, error).
 
-    ``cv_filter`` is a condition on the metadata, ignored if no row meets it. Other options are those of `evaluate`.
+    ``cv_filter`` is a condition on the metadata, ignored if no row meets it. ``featurise`` and ``normalization`` are those of `prepared_features`, other
+    options those of `evaluate`.
     """
+    if featurise or normalization:
+        features = prepared_features(features, featurise, normalization)
     meta = targets.filter_unless_empty(meta, cv_filter)
     patients = splits.patient_strata(meta, stratify) if stratify else meta.filter("patient_id IS NOT NULL").select("patient_id").distinct()
     folds = splits.fold_patients(patients, seeds=seeds, k=k, stratified=bool(stratify))
@@ -85,8 +110,10 @@ def cross_validate_task(features: DataFrame, meta: DataFrame, spec: dict, task_i
     return cross_validate(features, rows, targets.build_target(rows, task), kind=task["type"], seeds=seeds, k=k, stratify=splits.stratify_column(task), cv_filter=spec.get("cv_filter"), **options)
 
 
-def cohort_test(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, column: str, train: list, test: list, seeds: list[int], **options) -> DataFrame:
-    """A model of some cohorts tested on others: (seed, metric, value, n_train, n_val); no rows if either side is empty."""
+def cohort_test(features: DataFrame, meta: DataFrame, target: DataFrame, *, kind: str, column: str, train: list, test: list, seeds: list[int], featurise: Callable | None = None, normalization: dict | None = None, **options) -> DataFrame:
+    """A model of some cohorts tested on others: (seed, n_train, n_val, metric, value, error); no rows if either side is empty."""
+    if featurise or normalization:
+        features = prepared_features(features, featurise, normalization)
     roles = splits.both_sides(splits.cohort_roles(meta, column=column, train=train, test=test))
     runs = materialize(roles.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))), "runs")
     return evaluate(features, runs, target, keys=["seed"], kind=kind, **options)
