@@ -18,7 +18,9 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellgrove.operators.boosting import boosting_predictions
 from cellgrove.operators.linear import fit_cox, fit_softmax, predict_softmax  # noqa: F401
+from cellgrove.operators.trees import forest_predictions
 from cellgrove.scratch import materialize
 
 CUTOFF = 1e-6
@@ -142,8 +144,10 @@ def fit_predict_ml(train: DataFrame, test: DataFrame, estimator, classes: list)
     return scored.select("region_id", "truth", F.get(name, F.col("i")).alias("class"), "proba")
 
 
+#: Ensembles of trees for all runs at once: (train, test, classes) to probabilities.
+ENSEMBLES = {"forest": forest_predictions, "boosting": boosting_predictions}
 #: Models that the pipelines offer besides those of all runs at once: Spark ML estimators, fitted several runs at a time.
-ESTIMATORS = {"forest": forest, "boosting": boosting}
+ESTIMATORS = {"forest_ml": forest, "boosting_ml": boosting}
 #: Runs whose Spark ML jobs are under way at the same time.
 RUNS_AT_ONCE = 8
 

@@ -29,12 +29,12 @@ def run_features(features: DataFrame, runs: DataFrame, *, keys: list[str], fill:
 def evaluate(features: DataFrame, runs: DataFrame, target: DataFrame, *, keys: list[str], kind: str, fill: float | None = 0.0, vocab: DataFrame | None = None, model: str | None = None, **options) -> DataFrame:
     """(keys, n_train, n_val, metric, value, error) of every run: prepare on training rows, fit, predict, score.
 
-    ``model`` is "cox", "logistic" or "elastic_net" (all runs in the same jobs), or "forest" or "boosting" (Spark ML, several runs at a time) with its
-    options. A run whose training rows have one class, no event or no varying feature, or whose fit fails, gets null metrics and the reason
+    ``model`` is "cox", "logistic", "elastic_net", "forest" or "boosting" (all runs in the same jobs), or "forest_ml" or "boosting_ml" (Spark ML, several runs at
+    a time, for few large ones) with its options. A run whose training rows have one class, no event or no varying feature, or whose fit fails, gets null metrics and the reason
     as ``error``; the others go on.
     """
     kind, model = me.kind_of(kind), model or mo.model_for(kind)
-    if (kind == "survival") != (model == "cox") or model not in ("cox", "logistic", "elastic_net", *mo.ESTIMATORS):
+    if (kind == "survival") != (model == "cox") or model not in ("cox", "logistic", "elastic_net", *mo.ENSEMBLES, *mo.ESTIMATORS):
         raise ValueError(f"no model {model!r} for {kind} tasks")
     table = run_features(features, runs, keys=keys, fill=fill, vocab=vocab)
     ready = prep.apply_prep(table, prep.fit_prep(table, keys=keys), keys=keys)
@@ -56,9 +56,12 @@ def evaluate(features: DataFrame, runs: DataFrame, target: DataFrame, *, keys: l
         train = prep.balanced_weights(train, keys=keys)
         if model == "logistic" and kind == "binary":
             pred = mo.predict_logistic(test, mo.fit_logistic(train, keys=keys, failed=failed, **options), keys=keys).withColumn("truth", F.col("label"))
-        elif model in ("logistic", "elastic_net"):
+        elif model in ("logistic", "elastic_net", *mo.ENSEMBLES):
             classes = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]  # the classes
-            proba = mo.predict_softmax(test, mo.fit_softmax(train, classes, keys=keys, failed=failed, **options), classes, keys=keys)
+            if model in mo.ENSEMBLES:
+                proba = mo.ENSEMBLES[model](train, test.join(checked.filter("_ok").select(*keys), keys, "left_semi"), classes, keys=keys, **options)
+            else:
+                proba = mo.predict_softmax(test, mo.fit_softmax(train, classes, keys=keys, failed=failed, **options), classes, keys=keys)
         else:
             proba = mo.fit_predict_runs(materialize(train, "train-rows"), test, lambda n: mo.ESTIMATORS[model](**options), keys=keys, failed=failed)
         if kind == "binary":

@@ -506,9 +506,17 @@ def m1_multi(spark: SparkSession, d: str) -> DataFrame:
     return _linear(spark, d, "multi")
 
 
+def _ensemble(spark: SparkSession, d: str, fit, label: str = "label") -> DataFrame:
+    rows, keys = _all_runs(spark, d, label), ["seed", "fold"]
+    train = materialize(prep.balanced_weights(rows.filter("role = 'train'"), keys=keys), "train-rows")
+    classes = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]  # the classes
+    return r6(fit(train, rows.filter("role = 'val'"), classes, keys=keys), "proba")
+
+
 @query("m3_forest")
 def m3(spark: SparkSession, d: str) -> DataFrame:
-    return _ml(spark, d, models.forest(trees=20, max_depth=6))
+    """Forests of 300 trees of all 15 runs at once."""
+    return _ensemble(spark, d, models.forest_predictions)
 
 
 @query("m3_forest_full")
@@ -518,7 +526,8 @@ def m3_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m4_boosting")
 def m4(spark: SparkSession, d: str) -> DataFrame:
-    return _ml(spark, d, models.boosting(rounds=5, max_depth=3))
+    """300 rounds of boosting of all 15 runs at once."""
+    return _ensemble(spark, d, models.boosting_predictions)
 
 
 def _bag_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

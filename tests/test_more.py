@@ -107,8 +107,8 @@ def test_runs_that_fail_are_null(spark):
     f, m = runs_of(spark)
     runs = m.select("region_id", F.when(F.col("region_id") % 3 == 0, "val").otherwise("train").alias("role"), F.explode(F.array(F.lit(0), F.lit(1))).alias("run"))
     one_class = runs.join(m, "region_id").filter("run = 0 OR role = 'val' OR label = 1").select("region_id", "role", "run")
-    for model in ("logistic", "forest", "elastic_net"):
-        options = {"trees": 5, "max_depth": 3} if model == "forest" else {}
+    for model in ("logistic", "forest", "elastic_net", "boosting", "forest_ml"):
+        options = {"forest": {"trees": 5, "max_depth": 3}, "forest_ml": {"trees": 5, "max_depth": 3}, "boosting": {"rounds": 3, "min_leaf": 2}}.get(model, {})
         got = {(r.run, r.metric): r.value for r in pipelines.evaluate(f, one_class, m.select("region_id", "label"), keys=["run"], kind="binary_classification", model=model, **options).collect()}
         assert len(got) == 6 and got[0, "auc_roc"] > 0.5 and all(got[1, k] is None for k in me.METRICS["binary"]), model
     failed = {}
