@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.scratch import materialize
 
 BINS = 32
+#: Nodes of up to so many training rows grow on in one task.
+LOCAL_ROWS = 5_000
 #: Upper ends of the cumulative probabilities of 0, 1, 2, ... of a Poisson variable of mean 1: how often a bootstrap sample has a row.
 _POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
@@ -49,12 +55,108 @@ def _best_splits(state: DataFrame, keys: list[str], k: int, chosen: Column) -> D
     return found.select(*node, "_totals", (-F.col("_cut.f")).alias("_feature"), (-F.col("_cut.b")).alias("_at"))
 
 
-def forest_predictions(train: DataFrame, test: DataFrame, classes: list, *, keys: list[str], trees: int = 300, max_depth: int = 15, bins: int = BINS, max_features: str | None = "sqrt", bootstrap: bool = True, seed: int = 0) -> DataFrame:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values evenly (the finalizer of MurmurHash3)."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Subtree:
+    """What grows below a node of few rows: cuts by node, and shares of classes of leaves; nodes are numbered from 1."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, *, depth: int, tried: int, draw: int, bins: int):
+        self.cuts: dict[int, tuple[int, int]] = {}
+        self.shares: dict[int, np.ndarray] = {}
+        p, stack = x.shape[1], [(1, np.arange(len(x)), depth)]
+        while stack:
+            node, rows, left_depth = stack.pop()
+            own, labels, weights = x[rows], y[rows], w[rows]
+            totals = np.bincount(labels, weights, k)
+            cut = None
+            if left_depth and (totals > 0).sum() > 1:
+                drawn = _mixed(np.arange(p, dtype=np.uint64) + np.uint64(p) * np.uint64(node % 2**40) + np.uint64(draw))
+                features = np.sort(np.argsort(drawn, kind="stable")[:tried])
+                cells = (own[:, features] + bins * np.arange(len(features))) * k + labels[:, None]
+                left = np.cumsum(np.bincount(cells.ravel(), np.repeat(weights, len(features)), len(features) * bins * k).reshape(len(features), bins, k), axis=1)
+                right = totals - left
+                a, b = left.sum(axis=2), right.sum(axis=2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = (left**2).sum(axis=2) / a + (right**2).sum(axis=2) / b - (totals**2).sum() / totals.sum()
+                gain = np.round(np.where((a > 1e-9) & (b > 1e-9), gain, 0), 9)
+                f, at = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[f, at] > 1e-9:
+                    cut = int(features[f]), int(at)
+            if cut is None:
+                self.shares[node] = totals / totals.sum()
+                continue
+            self.cuts[node] = cut
+            high = own[:, cut[0]] > cut[1]
+            stack += [(2 * node, rows[~high], left_depth - 1), (2 * node + 1, rows[high], left_depth - 1)]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out, stack = np.empty((len(x), len(next(iter(self.shares.values())))), dtype=float), [(1, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            if node in self.shares:
+                out[rows] = self.shares[node]
+            elif len(rows):
+                f, at = self.cuts[node]
+                high = x[rows, f] > at
+                stack += [(2 * node, rows[~high]), (2 * node + 1, rows[high])]
+        return out
+
+
+def _finished(state: DataFrame, keys: list[str], k: int, *, depth: int, all_features: bool, bins: int, seed: int) -> DataFrame:
+    """(keys, region_id, _y, _totals) of the rows to predict in ``state``, whose nodes have few training rows: each node's subtree grows in one task.
+
+    Training rows of a node come first; the rows to predict stream past the grown subtree, however many they are.
+    """
+    drawn = state.withColumn("_draw", F.xxhash64(F.lit(seed), "_tree", "_node", *keys))
+    kept = [*keys, "region_id", "_y"]
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, tree, held = None, None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_draw", "_tree", "_node", "_asked")])
+            at = np.r_[np.flatnonzero(np.r_[True, (marks[:, 1:] != marks[:, :-1]).any(axis=0)]), b.num_rows]
+            lists = b.column("_bins")
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            y, w = b.column("_y").to_numpy(zero_copy_only=False), b.column("_w").to_numpy(zero_copy_only=False)
+            which, found = [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own, x = tuple(marks[:3, i].tolist()), flat[ends[i] : ends[j]].reshape(j - i, -1)
+                if own != group:
+                    group, tree, held = own, None, []
+                if not marks[3, i]:
+                    held.append((x.copy(), y[i:j].copy(), w[i:j].copy()))
+                    continue
+                if tree is None:
+                    p = x.shape[1]
+                    tried = p if all_features else max(1, math.isqrt(p))
+                    rows = [np.concatenate(v) for v in zip(*held, strict=True)]
+                    tree, held = Subtree(*rows, k, depth=depth, tried=tried, draw=own[0] % 2**62, bins=bins), []
+                which.append(np.arange(i, j))
+                found.append(tree.predict(x))
+            if which:
+                rows, shares = pa.array(np.concatenate(which)), np.concatenate(found)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, shares.size + 1, k), pa.int32()), pa.array(shares.ravel()))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(rows) for c in kept], lists], [*kept, "_totals"])
+
+    schema = ", ".join(f"`{c}` {state.schema[c].dataType.simpleString()}" for c in kept) + ", _totals array<double>"
+    order = ["_draw", "_tree", "_node", "_asked"]
+    return drawn.repartition("_draw", "_tree", "_node").sortWithinPartitions(*order).mapInArrow(grow, schema)
+
+
+def forest_predictions(train: DataFrame, test: DataFrame, classes: list, *, keys: list[str], trees: int = 300, max_depth: int = 15, bins: int = BINS, max_features: str | None = "sqrt", bootstrap: bool = True, seed: int = 0, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(keys, region_id, truth, class, proba): random forests of the runs of ``train`` (keys, region_id, x, label, weight), applied to ``test``.
 
     Trees grow level by level, and one level of all trees of all runs is the same few jobs, so their number depends on the depth alone. A row is in a
     tree as often as a Poisson draw by hash says, a node tries the square root of the number of features (all if ``max_features`` is None), and splits
-    where the weighted Gini impurity falls most, between quantile bins of the run's training values. A node without such a cut among the features it tries is a leaf. Rows to
+    where the weighted Gini impurity falls most, between quantile bins of the run's training values. A node without such a cut among the features it tries is a leaf. A
+    node of at most ``local_rows`` training rows grows on in one task; only larger ones take a job a level. Rows to
     predict go down the trees together with the training rows, without weight; probabilities are the mean over trees of the
     shares of classes in their leaves. Rows are told apart by keys and region_id; draws don't depend on how they are partitioned.
     """
@@ -69,25 +171,32 @@ def forest_predictions(train: DataFrame, test: DataFrame, classes: list, *, keys
         u = _uniform(F.lit(seed), F.lit("rows"), "_tree", *keys, "region_id")
         times = sum((F.when(u >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(u >= _POISSON[0], 1).otherwise(0))
         rows = rows.withColumn("_w", F.col("_w") * times).filter("_asked OR _w > 0")
-    state = materialize(rows.withColumn("_node", F.lit(1).cast("long")), "forest-rows")
+    state = rows.withColumn("_node", F.lit(1).cast("long"))
+    most = train.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     every = F.sequence(F.lit(0), F.size("_bins") - 1)
     shuffled = F.array_sort(F.transform(every, lambda f: F.struct(F.xxhash64(F.lit(seed), F.col("_tree"), F.col("_node"), *[F.col(c) for c in keys], f).alias("h"), f.alias("f"))))
     tried = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("_bins"))).cast("int"))
     chosen = every if max_features is None else F.transform(F.slice(shuffled, F.lit(1), tried), lambda e: e["f"])
 
-    found, node = None, [*keys, "_tree", "_node"]
-    for depth in range(max_depth + 1):
+    node = [*keys, "_tree", "_node"]
+    finish = lambda df, depth: materialize(_finished(df, keys, k, depth=max_depth - depth, all_features=max_features is None, bins=bins, seed=seed), "forest-leaves")
+    found = [finish(state, 0)] if most <= local_rows else []
+    state = state if found else materialize(state, "forest-rows")
+    for depth in [] if found else range(max_depth + 1):
+        sizes = materialize(state.filter("_w > 0").groupBy(*node).agg((F.count("*") <= local_rows).alias("_few")), "forest-nodes")
+        found.append(finish(state.join(sizes.filter("_few"), node, "left_semi"), depth))
+        state = state.join(sizes.filter("NOT _few"), node, "left_semi")
         best = _best_splits(state, keys, k, chosen)
         if depth == max_depth:
             best = best.withColumn("_feature", F.lit(None).cast("int"))
         best = materialize(best, "forest-splits")
         routed = state.join(best, node)
-        leaves = materialize(routed.filter("_feature IS NULL AND _asked").select(*keys, "region_id", "_y", "_totals"), "forest-leaves")
-        found = leaves if found is None else found.unionByName(leaves)
+        found.append(materialize(routed.filter("_feature IS NULL AND _asked").select(*keys, "region_id", "_y", "_totals"), "forest-leaves"))
         if best.filter("_feature IS NOT NULL").isEmpty():
             break
         child = 2 * F.col("_node") + (F.get("_bins", F.col("_feature")) > F.col("_at")).cast("long")
         state = materialize(routed.filter("_feature IS NOT NULL").withColumn("_node", child).drop("_feature", "_at", "_totals"), "forest-rows")
+    found = reduce(DataFrame.unionByName, found)
     total = F.aggregate("_totals", F.lit(0.0), lambda s, v: s + v)
     shares = found.select(*keys, "region_id", "_y", F.posexplode(F.transform("_totals", lambda v: v / total)).alias("_k", "_p"))
     mean = shares.groupBy(*keys, "region_id", "_y", "_k").agg(F.avg("_p").alias("proba"))

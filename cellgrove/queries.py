@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -526,8 +528,8 @@ def m3_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m4_boosting")
 def m4(spark: SparkSession, d: str) -> DataFrame:
-    """300 rounds of boosting of all 15 runs at once."""
-    return _ensemble(spark, d, models.boosting_predictions)
+    """40 rounds of boosting of all 15 runs at once."""
+    return _ensemble(spark, d, partial(models.boosting_predictions, rounds=40))
 
 
 def _bag_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
