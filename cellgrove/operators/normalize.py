@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellgrove.operators.ranks import exact_percentiles
+
 #: Of the adaptive method: scale, quantile and the least cofactor.
 SCALE, QUANTILE, EPS = 5.0, 0.2, 1e-5
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -55,8 +57,8 @@ def range_check(expression: DataFrame, *, regions: int = 6, seed: int = 0) -> Da
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("region_id").cast("string")).cast("binary"))
     some = expression.select("region_id").distinct().orderBy(order, "region_id").limit(regions)
     e = expression.join(F.broadcast(some), "region_id", "left_semi")  # at most `regions` rows
-    quantiles = [F.percentile("value", F.lit(p)).alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"), (0.999, "p999"))]
-    return e.groupBy("marker").agg(*quantiles, F.max("value").alias("max_value"))
+    quantiles = exact_percentiles(e, keys=["marker"], value="value", percentiles={"p50": 0.5, "p99": 0.99, "p999": 0.999})
+    return _same_group(e.groupBy("marker").agg(F.max("value").alias("max_value")), quantiles, ["marker"]).select("marker", "p50", "p99", "p999", "max_value")
 
 
 def markers_at_zero(expression: DataFrame, *, keys: list[str], quantile: float = QUANTILE) -> DataFrame:
@@ -66,6 +68,14 @@ def markers_at_zero(expression: DataFrame, *, keys: list[str], quantile: float =
 
 
 def profile(expression: DataFrame, *, keys: list[str], percentiles: tuple[float, ...] = (0.2, 0.5, 0.99)) -> DataFrame:
-    """Range, percentiles and share of exact zeros of the values by ``keys``."""
-    some = [F.percentile("value", F.lit(p)).alias(f"p{round(100 * p)}") for p in percentiles]
-    return expression.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), *some, F.avg((F.col("value") == 0).cast("double")).alias("zero_share"))
+    """Range, percentiles and share of exact zeros of the values by ``keys``. Percentiles are exact for groups of any size."""
+    some = {f"p{round(100 * p)}": p for p in percentiles}
+    span = expression.groupBy(*keys).agg(F.count("value").alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg((F.col("value") == 0).cast("double")).alias("zero_share"))
+    joined = _same_group(span, exact_percentiles(expression, keys=keys, value="value", percentiles=some), keys)
+    return joined.select(*keys, "n", "min_value", "max_value", *some, "zero_share")
+
+
+def _same_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` for equal keys, null equal to null."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return left.join(named, _all([F.lit(True), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]), "left").drop(*[f"_{k}" for k in keys])

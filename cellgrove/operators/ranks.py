@@ -37,3 +37,21 @@ def dense_ranks(rows: DataFrame, *, keys: list[str], order: list[str], name: str
     """(keys, order, name): the place of each distinct value of ``order`` in its group, from 0."""
     values = rows.select(*keys, *order).distinct().withColumn("_one", F.lit(1).cast("long"))
     return running_sums(values, keys=keys, order=order, sums=["_one"]).select(*keys, *order, (F.col("upto__one") - 1).alias(name))
+
+
+def exact_percentiles(rows: DataFrame, *, keys: list[str], value: str, percentiles: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of ``percentiles``) of the values that aren't null, interpolated between neighbours as ``percentile`` does.
+
+    Counts of distinct values and their running sums over ranges take the place of a buffer with all values of a group, so a group may be of any size.
+    Keys may be null; groups without a value have no row.
+    """
+    group = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    placed = materialize(running_sums(counts.withColumn("_group", group), keys=["_group"], order=["_value"], sums=["_n"]), "value-counts")
+    totals = placed.groupBy("_group").agg((F.sum("_n") - 1).alias("_last"))  # a row a group
+    pos = {name: F.col("_last") * p for name, p in percentiles.items()}
+    first = lambda at: F.min(F.when(F.col("upto__n") > at, F.col("_value")))  # noqa: E731  the value at a place, from 0
+    ends = [e for name, at in pos.items() for e in (first(F.floor(at)).alias(f"_lo_{name}"), first(F.ceil(at)).alias(f"_hi_{name}"))]
+    found = placed.join(totals, "_group").groupBy(*keys, "_last").agg(*ends)
+    between = lambda name, at: (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (at - F.floor(at))).alias(name)
+    return found.select(*keys, *[between(name, at) for name, at in pos.items()])

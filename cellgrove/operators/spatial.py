@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellgrove.scratch import at_most, materialize
 
-#: Edges of polygons: a table of up to so many (some 20 MB) is broadcast to the cells, a larger one is joined by shuffle.
+#: Edges in the cells of polygon grids: a table of up to so many (some 20 MB) is broadcast to the cells, a larger one is joined by shuffle.
 BROADCAST_EDGES = 500_000
 
 #: rings: array (polygons) of array (shell, then holes) of array of (x, y); areas and tests are sums over edges.
@@ -61,18 +61,89 @@ def strictly_inside(x: Column, y: Column, edge_list: Column) -> Column:
     return odd & ~F.exists(edge_list, on)
 
 
+def _place(at: Column, low: Column, width: Column, n: Column) -> Column:
+    """Number of the grid column (or row) of a coordinate, from 0 to n - 1."""
+    return F.greatest(F.lit(0).cast("long"), F.least(n.cast("long") - 1, F.floor((at - low) / width)))
+
+
+def polygon_index(polygons: DataFrame, *, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Grids over the polygons of a kind: (region_id, _x0, _y0, _x1, _y1, _w, _h, _side) and the index (region_id, _i, _j, _odd, _edges).
+
+    A polygon of n edges has a grid of sqrt(n) by sqrt(n) cells. A cell has the edges that touch it (``low`` marks those that cross the line of its lower side
+    within the cell) and ``_odd``, whether an odd number of edges crosses that line to the right of the cell. Cells without edges are wholly inside or wholly outside;
+    those outside are left out. Edges with a null end are skipped. The index has some n rows and as many edges as cells are touched: about n for short edges.
+    """
+    own = polygons.filter(F.col("kind") == kind)
+    e = own.select("region_id", F.inline(edges(F.col("rings")))).drop("hole").dropna(subset=["ax", "ay", "bx", "by"])
+    e = materialize(e, "polygon-edges")
+    ends = e.groupBy("region_id").agg(F.count("*").alias("_n"), *[f(g(f"a{c}", f"b{c}")).alias(f"_{c}{i}") for c in "xy" for i, f, g in ((0, F.min, F.least), (1, F.max, F.greatest))])
+    side = F.ceil(F.sqrt(F.coalesce("_n", F.lit(1)))).cast("int")
+    wide = lambda c: F.when(F.col(f"_{c}1") > F.col(f"_{c}0"), (F.col(f"_{c}1") - F.col(f"_{c}0")) / F.col("_side")).otherwise(1.0)
+    grids = own.select("region_id").distinct().join(ends, "region_id", "left").withColumn("_side", side).withColumns({"_w": wide("x"), "_h": wide("y")})
+    grids = materialize(grids.drop("_n"), "polygon-grids")
+    small = at_most(grids, BROADCAST_EDGES)  # a row of numbers a region
+    x0, y0, w, h, n = (F.col(c) for c in ("_x0", "_y0", "_w", "_h", "_side"))
+    ax, ay, bx, by, floor_y = (F.col(c) for c in ("ax", "ay", "bx", "by", "_low_y"))
+    slack = 1e-6  # of a cell: an edge near a border is in the cells of both sides
+    bands = F.sequence(_place(F.least(ay, by) - slack * h, y0, h, n), _place(F.greatest(ay, by) + slack * h, y0, h, n))
+    cut = e.join(F.broadcast(grids) if small else grids, "region_id").withColumn("_j", F.explode(bands)).withColumn("_low_y", y0 + F.col("_j") * h)
+    at = lambda y: F.when(by == ay, ax).otherwise(ax + (bx - ax) * (y - ay) / (by - ay))
+    clip = lambda y: F.greatest(F.least(ay, by), F.least(F.greatest(ay, by), y))
+    one, two = at(clip(floor_y - slack * h)), at(clip(floor_y + (1 + slack) * h))
+    left = F.when(by == ay, F.least(ax, bx)).otherwise(F.least(one, two)) - slack * w
+    right = F.when(by == ay, F.greatest(ax, bx)).otherwise(F.greatest(one, two)) + slack * w
+    cut = cut.withColumns({"_from": _place(left, x0, w, n), "_to": _place(right, x0, w, n)})
+    crossing = F.when((ay > floor_y) != (by > floor_y), F.greatest(F.col("_from"), F.least(F.col("_to"), _place(at(floor_y), x0, w, n))))
+    touched = cut.withColumn("_cross", crossing).withColumn("_i", F.explode(F.sequence("_from", "_to")))
+    edge = F.struct("ax", "ay", "bx", "by", F.coalesce(F.col("_i") == F.col("_cross"), F.lit(False)).alias("low"))
+    held = touched.select("region_id", "_i", "_j", edge.alias("_e")).groupBy("region_id", "_i", "_j").agg(F.collect_list("_e").alias("_edges"), F.count_if("_e.low").alias("_low"))
+    places = F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    every = grids.filter(F.col("_x0").isNotNull()).select("region_id", "_side", F.explode(places).alias("_j")).select("region_id", "_j", F.explode(places).alias("_i"))
+    beyond = Window.partitionBy("region_id", "_j").orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum(F.coalesce("_low", F.lit(0))).over(beyond), F.lit(0)) % 2 == 1
+    index = every.join(held, ["region_id", "_i", "_j"], "left").withColumn("_odd", odd).filter("_odd OR _edges IS NOT NULL")
+    return grids, materialize(index.select("region_id", "_i", "_j", "_odd", "_edges"), "polygon-index")
+
+
+def _inside_cell(x: Column, y: Column, low_y: Column, odd: Column, edge_list: Column) -> Column:
+    """Even-odd rule within a grid cell: crossings of the way from the cell's lower right corner along its lower side to x and up to y.
+
+    A point at the height or place of a corner counts as a little higher and, still more, to the right, on both parts of the way. So what is between the two agrees.
+    """
+    def turn(e: Column, at: Column) -> Column:
+        return (e["bx"] - e["ax"]) * (at - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+
+    def flips(e: Column) -> Column:
+        corner, here, run = turn(e, low_y), turn(e, y), e["bx"] - e["ax"]
+        along = e["low"] & (corner * (e["by"] - e["ay"]) > 0)
+        over = ((corner * run < 0) | ((corner == 0) & (run * (e["by"] - e["ay"]) > 0))) != (here * run < 0)
+        up = ((e["ax"] > x) != (e["bx"] > x)) & over
+        return F.when(along != up, 1).otherwise(0)
+
+    def on(e: Column) -> Column:
+        return (turn(e, y) == 0) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+
+    crossed = F.aggregate(edge_list, F.lit(0), lambda k, e: k + flips(e)) % 2 == 1
+    return F.when(edge_list.isNull(), odd).otherwise((odd != crossed) & ~F.exists(edge_list, on))
+
+
 def inside_polygon(cells: DataFrame, polygons: DataFrame, *, kind: str) -> DataFrame:
-    """``cells`` with ``inside``; null in regions without a polygon of that kind. A bounding box is tested first."""
-    p = polygons.filter(F.col("kind") == kind).select("region_id", edges(F.col("rings")).alias("_e"))
-    low = lambda c: F.array_min(F.transform("_e", lambda e: e[c]))
-    high = lambda c: F.array_max(F.transform("_e", lambda e: e[c]))
-    p = p.select("*", low("ax").alias("_x0"), high("ax").alias("_x1"), low("ay").alias("_y0"), high("ay").alias("_y1"))
-    x, y = F.col("x"), F.col("y")
+    """``cells`` with ``inside``: strictly inside by the even-odd rule, false on an edge and without a place; null in regions without a polygon of that kind.
+
+    Cells meet the few edges of their grid cell of `polygon_index`, on (region_id, grid cell): no row holds all edges of a polygon, and a large region spreads
+    over many tasks. The grids' numbers, a row a region, are broadcast up to a counted size.
+    """
+    grids, index = polygon_index(polygons, kind=kind)
+    grids = F.broadcast(grids.withColumn("_has", F.lit(True))) if at_most(grids, BROADCAST_EDGES) else grids.withColumn("_has", F.lit(True))
+    index = F.broadcast(index) if at_most(index.select("_odd", F.explode_outer("_edges")), BROADCAST_EDGES) else index
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
     box = x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1"))
-    flag = F.when(F.col("_e").isNotNull(), F.when(box, strictly_inside(x, y, F.col("_e"))).otherwise(F.lit(False)))
-    p = materialize(p, "polygon-edges")
-    p = F.broadcast(p) if at_most(p.select(F.explode("_e")), BROADCAST_EDGES) else p
-    return cells.join(p, "region_id", "left").withColumn("inside", flag).drop("_e", "_x0", "_x1", "_y0", "_y1")
+    i, j = (F.when(box, _place(v, F.col(f"_{c}0"), F.col(w), F.col("_side"))) for c, v, w in (("x", x, "_w"), ("y", y, "_h")))
+    placed = cells.join(grids, "region_id", "left").withColumns({"_i": i, "_j": j})
+    found = placed.join(index, ["region_id", "_i", "_j"], "left")
+    low_y = F.col("_y0") + F.col("_j") * F.col("_h")
+    flag = F.when(F.col("_has"), F.coalesce(_inside_cell(x, y, low_y, F.col("_odd"), F.col("_edges")), F.lit(False)))
+    return found.select(*cells.columns, flag.alias("inside"))
 
 
 def disk_overlap(x: Column, y: Column, radius: float, edge_list: Column) -> Column:
