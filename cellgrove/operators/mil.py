@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellgrove.operators import features as fe
 from cellgrove.operators import metrics as me
 from cellgrove.operators import models, pipelines, prep, splits
-from cellgrove.operators.spatial import neighbourhood
+from cellgrove.operators.spatial import close_pairs, neighbourhood, sides
 from cellgrove.scratch import materialize
 
 
@@ -30,15 +30,15 @@ def instances(cells: DataFrame, focal: DataFrame, *, radius_um: float = 100.0, m
     return members.join(full, ["region_id", "instance_id"], "left_semi").select("region_id", "instance_id", "cell_id", "cell_type")
 
 
-def pool(proba: DataFrame, regions: DataFrame, classes: list, *, agg: str = "mean") -> DataFrame:
-    """(region_id, class, proba) from (region_id, instance_id, class, proba): mean, or max scaled to sum 1; uniform without instances."""
+def pool(proba: DataFrame, regions: DataFrame, classes: list, *, agg: str = "mean", keys: tuple[str, ...] = ("region_id",)) -> DataFrame:
+    """(keys, class, proba) from (keys, instance_id, class, proba): mean, or max scaled to sum 1; uniform without instances."""
     if agg not in ("mean", "max"):
         raise ValueError(f"unknown pooling {agg!r}")
-    p = proba.groupBy("region_id", "class").agg((F.avg if agg == "mean" else F.max)("proba").alias("proba"))
+    p = proba.groupBy(*keys, "class").agg((F.avg if agg == "mean" else F.max)("proba").alias("proba"))
     if agg == "max":
-        p = p.withColumn("proba", F.col("proba") / F.sum("proba").over(Window.partitionBy("region_id")))
-    grid = regions.select("region_id").distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
-    return grid.join(p, ["region_id", "class"], "left").withColumn("proba", F.coalesce("proba", F.lit(1.0 / len(classes))))
+        p = p.withColumn("proba", F.col("proba") / F.sum("proba").over(Window.partitionBy(*keys)))
+    grid = regions.select(*keys).distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    return grid.join(p, [*keys, "class"], "left").withColumn("proba", F.coalesce("proba", F.lit(1.0 / len(classes))))
 
 
 def bag_labels(instances: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,38 +46,132 @@ def bag_labels(instances: DataFrame, labels: DataFrame) -> DataFrame:
     return instances.select("region_id", "instance_id").distinct().join(labels.select("region_id", "label"), "region_id")
 
 
-def cross_validate(cells: DataFrame, meta: DataFrame, *, seeds: list[int], k: int = 5, n_samples: int = 16, radius_um: float = 100.0, mpp: float = 1.0, min_cells: int = 10, agg: str = "mean", featurise: Callable | None = None) -> DataFrame:
-    """(seed, fold, auc_roc, avg_precision, balanced_acc) of a logistic model of instances whose scores are pooled by region.
+#: Options of a variant with fixed default values: neighbourhoods a region, radius in micrometres, fewest cells, pooling and the seed of the draw.
+N_SAMPLES, RADIUS_UM, MIN_CELLS, AGG, DRAW = 16, 100.0, 10, "mean", 0
+KEYS = ["variant", "seed", "fold"]
 
-    ``meta`` has (region_id, patient_id, label 0/1); folds are of patients. ``featurise`` makes (instance_id, feature, value) of instances, by default
-    their composition. Training and other regions draw focal cells with the same seed. Regions without an instance get 0.5.
+
+def draws(cells: DataFrame, views: list[dict]) -> DataFrame:
+    """(region_id, cell_id, _views): the focal cells of all views, each with the views (number, squared radius) that take it.
+
+    Draws of one seed are nested: a smaller sample is the beginning of a larger one. ``n_samples`` of at most 1 is a share of a region's cells, one cell at least.
+    """
+    region, out = Window.partitionBy("region_id"), None
+    for seed in sorted({v["draw"] for v in views}):
+        order = F.md5(F.concat_ws(":", F.lit(seed), F.col("cell_id").cast("string")).cast("binary"))
+        ranked = cells.select("region_id", "cell_id", F.row_number().over(region.orderBy(order, "cell_id")).alias("_r"), F.count("*").over(region).alias("_n"))
+        size = lambda v: F.greatest(F.lit(1), F.ceil(F.col("_n") * v["n_samples"])) if v["n_samples"] <= 1 else F.lit(int(v["n_samples"]))
+        takes = F.array_compact(F.array(*[F.when(F.col("_r") <= size(v), F.struct(F.lit(i).alias("view"), F.lit(v["radius"] ** 2).alias("r2"))) for i, v in enumerate(views) if v["draw"] == seed]))
+        own = ranked.select("region_id", "cell_id", takes.alias("_views")).filter(F.size("_views") > 0)
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("region_id", "cell_id").agg(F.flatten(F.collect_list("_views")).alias("_views"))
+
+
+def view_instances(cells: DataFrame, views: list[dict]) -> DataFrame:
+    """(view, region_id, instance_id, cell_id, cell_type): the neighbourhoods of all views that have the view's ``min_cells``, from one join of close cells.
+
+    The join has the largest radius; pairs count for the views whose radius holds them.
+    """
+    a, b = sides(cells)
+    focal = draws(cells, views).withColumnRenamed("cell_id", "a_id")
+    chosen = a.select("region_id", "a_id", "ax", "ay").join(focal, ["region_id", "a_id"])
+    near = close_pairs(chosen, b, max(v["radius"] for v in views)).withColumn("_v", F.explode(F.filter("_views", lambda v: v["r2"] >= F.col("d2"))))
+    name = F.format_string("v%d:%s#inst%s", F.col("_v.view"), F.col("region_id").cast("string"), F.col("a_id").cast("string"))
+    members = near.select(F.col("_v.view").alias("view"), "region_id", name.alias("instance_id"), F.col("b_id").alias("cell_id"), F.col("b_type").alias("cell_type"))
+    least = F.element_at(F.array(*[F.lit(v["min_cells"]) for v in views]), F.col("view") + 1)
+    full = members.groupBy("view", "instance_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("view", "instance_id")
+    return members.join(full, ["view", "instance_id"], "left_semi")
+
+
+def variant_name(v: dict) -> str:
+    """The ``name`` of a variant, else its options."""
+    return v.get("name") or ", ".join(f"{k}={getattr(x, '__name__', x)}" for k, x in sorted(v.items()) if k != "options")
+
+
+def sweep(cells: DataFrame, meta: DataFrame, variants: list[dict], *, seeds: list[int], k: int = 5, mpp: float = 1.0, **fixed) -> DataFrame:
+    """(variant, seed, fold, metrics, error): models of instances, scored by region, for all variants, seeds and folds in the same jobs.
+
+    A variant may state ``name``, ``n_samples`` (a share if at most 1), ``predict_samples``, ``radius_um``, ``min_cells``, ``agg``, ``draw``, ``featurise``, ``fill``, ``model``
+    ("logistic", "forest" or "boosting") and the model's ``options``; ``fixed`` are those of all. ``meta`` has (region_id, patient_id, label), two or more classes; folds are of patients.
+    Training regions draw focal cells by the seed ``draw``, scored regions by the next one. ``featurise`` makes (instance_id, feature, value) of
+    (view, region_id, instance_id, cell_id, cell_type), by default their composition. Neighbours come from one join, whatever the number of variants; features are made once
+    for each featuriser and models fitted once for each kind. A scored region without an instance gets equal probabilities. A run without training
+    instances of two classes has null metrics and the reason.
     """
-    inst = instances(cells, focal_cells(cells, n_samples=n_samples), radius_um=radius_um, mpp=mpp, min_cells=min_cells)
-    f = (featurise or (lambda i: fe.composition(i, fe.vocabulary(cells, keys=[]), keys=["instance_id"])))(inst).withColumnRenamed("instance_id", "region_id")
-    bags = materialize(bag_labels(inst, meta), "bags")
+    asked = [{"n_samples": N_SAMPLES, "radius_um": RADIUS_UM, "min_cells": MIN_CELLS, "agg": AGG, "draw": DRAW, "featurise": None, "fill": 0.0, "model": "logistic", "options": {}} | fixed | v for v in variants]
+    names = [variant_name(v) for v in variants]
+    if len(set(names)) < len(names):
+        raise ValueError("two variants have the same name")
+    if bad := {v["model"] for v in asked} - {"logistic", *models.ENSEMBLES}:
+        raise ValueError(f"no model of instances {sorted(bad)}")
+    if bad := {v["agg"] for v in asked} - {"mean", "max"}:
+        raise ValueError(f"unknown pooling {sorted(bad)}")
+    views: list[dict] = []
+
+    def view(v: dict, n: float, draw: int) -> int:
+        own = {"n_samples": n, "radius": v["radius_um"] / mpp, "min_cells": v["min_cells"], "draw": draw}
+        if own not in views:
+            views.append(own)
+        return views.index(own)
+
+    used = [(name, role, i) for name, v in zip(names, asked) for role, i in (("train", view(v, v["n_samples"], v["draw"])), ("val", view(v, v.get("predict_samples") or v["n_samples"], v["draw"] + 1)))]
+    spark = cells.sparkSession
+    cells = cells.join(meta.select("region_id").distinct(), "region_id", "left_semi")
+    inst = materialize(view_instances(cells, views), "instances")
+    bags = materialize(inst.select("view", "region_id", "instance_id").distinct().join(meta.select("region_id", "label"), "region_id"), "bags")
     folds = splits.fold_patients(splits.patient_strata(meta, "label"), seeds=seeds, k=k, stratified=True)
     roles = materialize(splits.assignments(meta, folds, k=k), "mil-roles")
-    keys = ["seed", "fold"]
-    runs = roles.join(bags, "region_id").select(*keys, F.col("instance_id").alias("region_id"), "role")
-    table = pipelines.run_features(f, runs, keys=keys, fill=0.0)
-    ready = prep.assemble(prep.apply_prep(table, prep.fit_prep(table, keys=keys), keys=keys), keys=keys)
-    owner = bags.select(F.col("instance_id").alias("region_id"), F.col("region_id").alias("bag"), "label")
-    rows = materialize(ready.join(owner, "region_id"), "mil-rows")
-    betas = models.fit_logistic(prep.balanced_weights(rows.filter("role = 'train'"), keys=keys), keys=keys)
-    scored = models.predict_logistic(rows.filter("role = 'val'"), betas, keys=keys)
-    one = scored.select(*keys, F.concat_ws(":", "seed", "fold", F.col("bag").cast("string")).alias("region_id"), F.col("region_id").alias("instance_id"), "score")
-    both = one.withColumn("class", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("proba", F.when(F.col("class") == 1, F.col("score")).otherwise(1 - F.col("score")))
-    asked = roles.filter("role = 'val'").join(meta.select("region_id", "label"), "region_id")
-    asked = asked.select(*keys, F.concat_ws(":", "seed", "fold", F.col("region_id").cast("string")).alias("region_id"), F.col("label").alias("truth"))
-    pooled = pool(both, asked, [0, 1], agg=agg).filter("class = 1").withColumnRenamed("proba", "score")
-    return me.binary_metrics(asked.join(pooled, "region_id").select(*keys, "truth", "score"), keys=keys)
-
-
-def sweep(cells: DataFrame, meta: DataFrame, variants: list[dict], **fixed) -> DataFrame:
-    """`cross_validate` for each variant (a dict of its options): (variant, seed, fold, metrics)."""
-    out = None
-    for v in variants:
-        name = ", ".join(f"{k}={v[k]}" for k in sorted(v) if k != "featurise")
-        one = cross_validate(cells, meta, **fixed, **v).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    by_role = spark.createDataFrame(used, "variant string, role string, view int")  # two rows a variant
+    wanted = roles.join(F.broadcast(by_role), "role").select(*KEYS, "region_id", "role", "view")
+    runs = materialize(wanted.join(bags.withColumnRenamed("region_id", "bag"), (F.col("region_id") == F.col("bag")) & (wanted["view"] == bags["view"])).select(*KEYS, "bag", F.col("instance_id").alias("region_id"), "role", "label"), "mil-runs")
+    classes = [r[0] for r in meta.select("label").dropna().distinct().orderBy("label").collect()]  # the classes
+    usable = runs.filter("role = 'train'").groupBy(*KEYS).agg(F.count_distinct("label").alias("_classes"))
+    usable = materialize(usable.filter("_classes > 1").select(*KEYS), "mil-usable")
+    proba, failed = None, {}
+    for f, fill in {(v["featurise"], v["fill"]) for v in asked}:
+        own = [(n, v) for n, v in zip(names, asked) if (v["featurise"], v["fill"]) == (f, fill)]
+        found = (f or (lambda i: fe.composition(i, fe.vocabulary(i, keys=[]), keys=["instance_id"])))(inst)
+        found = materialize(found.select(F.col("instance_id").alias("region_id"), "feature", "value"), "instance-features")
+        part = runs.filter(F.col("variant").isin([n for n, _ in own])).join(usable, KEYS, "left_semi")
+        table = pipelines.run_features(found, part.select(*KEYS, "region_id", "role"), keys=KEYS, fill=fill)
+        ready = prep.assemble(prep.apply_prep(table, prep.fit_prep(table, keys=KEYS), keys=KEYS), keys=KEYS)
+        rows = materialize(ready.join(part.select(*KEYS, "region_id", "role", "label", "bag"), [*KEYS, "region_id", "role"]), "mil-rows")
+        kinds: list[tuple] = []
+        for _, v in own:
+            if (v["model"], v["options"]) not in kinds:
+                kinds.append((v["model"], v["options"]))
+        for model, options in kinds:
+            same = rows.filter(F.col("variant").isin([n for n, v in own if (v["model"], v["options"]) == (model, options)]))
+            train, test = prep.balanced_weights(same.filter("role = 'train'"), keys=KEYS), same.filter("role = 'val'")
+            if model == "logistic":
+                one = models.predict_softmax(test, models.fit_softmax(train, classes, keys=KEYS, failed=failed, **options), classes, keys=KEYS)
+            else:
+                one = models.ENSEMBLES[model](train, test, classes, keys=KEYS, **options)
+            one = one.select(*KEYS, F.col("region_id").alias("instance_id"), "class", "proba")
+            proba = one if proba is None else proba.unionByName(one)
+    proba = proba.join(runs.filter("role = 'val'").select(*KEYS, "bag", F.col("region_id").alias("instance_id")), [*KEYS, "instance_id"])
+    proba = materialize(proba.select(*KEYS, F.col("bag").alias("region_id"), "instance_id", "class", "proba"), "instance-scores")
+    texts = F.broadcast(spark.createDataFrame([(*r, t) for r, t in failed.items()], "variant string, seed int, fold int, _text string"))  # a row a failed run
+    every = roles.select("seed", "fold").distinct().join(F.broadcast(by_role.select("variant").distinct()), how="cross").select(*KEYS)
+    every = every.join(usable.withColumn("_ok", F.lit(True)), KEYS, "left").join(texts, KEYS, "left")
+    every = every.withColumn("error", F.when(F.col("_ok").isNull(), "no training instances of two classes").otherwise(F.col("_text"))).drop("_ok", "_text")
+    truth = wanted.filter("role = 'val'").join(every.filter("error IS NULL").select(*KEYS), KEYS, "left_semi").join(meta.select("region_id", F.col("label").alias("truth")), "region_id").select(*KEYS, "region_id", "truth")
+    pooled = None
+    for agg in {v["agg"] for v in asked}:
+        of_agg = F.col("variant").isin([n for n, v in zip(names, asked) if v["agg"] == agg])
+        one = pool(proba.filter(of_agg), truth.filter(of_agg), classes, agg=agg, keys=(*KEYS, "region_id"))
+        pooled = one if pooled is None else pooled.unionByName(one)
+    scored = materialize(truth.join(pooled, [*KEYS, "region_id"]), "bag-scores")
+    if len(classes) == 2:
+        hits = scored.filter(F.col("class") == classes[1]).select(*KEYS, (F.col("truth") == classes[1]).cast("int").alias("truth"), F.col("proba").alias("score"))
+        scores = me.binary_metrics(hits, keys=KEYS)
+    else:
+        scores = me.balanced_accuracy(me.argmax_class(scored, keys=KEYS), keys=KEYS).join(me.macro_auc(scored, keys=KEYS), KEYS, "left")
+    kind = "binary" if len(classes) == 2 else "multiclass"
+    return every.join(scores, KEYS, "left").select(*KEYS, *me.METRICS[kind], "error")
+
+
+def cross_validate(cells: DataFrame, meta: DataFrame, *, seeds: list[int], **options) -> DataFrame:
+    """`sweep` of one variant: (seed, fold, metrics, error)."""
+    steps = {n: options.pop(n) for n in ("k", "mpp") if n in options}
+    return sweep(cells, meta, [options | {"name": "one"}], seeds=seeds, **steps).drop("variant")

@@ -533,18 +533,31 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bag_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cells, m = fx.event_cells(spark, d, 60), fx.event_metadata(spark, d)
-    labels = m.groupBy((F.col("region_id") % 60).alias("region_id")).agg(F.max("label").alias("label"))
+    """Twenty regions of so many cells that a disk of the default radius holds the default number, each a patient's; the label is that of most users."""
+    cells, m = fx.event_cells(spark, d, 20), fx.event_metadata(spark, d)
+    labels = m.groupBy((F.col("region_id") % 20).alias("region_id")).agg((F.avg("label") > 0.5).cast("int").alias("label"))
     return cells, labels.withColumn("patient_id", F.col("region_id").cast("string"))
 
 
 @query("l7_mil_cross_validation")
 def l7(spark: SparkSession, d: str) -> DataFrame:
-    """Instances of regions take their region's label; a fold's instances are scored and pooled by region. Radius and size suit the sparse cells of the tables."""
-    return mil.cross_validate(*_bag_regions(spark, d), seeds=[0, 1, 2], radius_um=150.0, min_cells=5)
+    """Instances of regions take their region's label; a fold's instances are scored and pooled by region."""
+    return mil.cross_validate(*_bag_regions(spark, d), seeds=[0, 1, 2])
 
 
 @query("i8_variant_sweep")
 def i8(spark: SparkSession, d: str) -> DataFrame:
-    variants = [{"radius_um": 150.0, "agg": "mean"}, {"radius_um": 150.0, "agg": "max"}, {"radius_um": 250.0, "n_samples": 8}]
-    return mil.sweep(*_bag_regions(spark, d), variants, seeds=[0], min_cells=5)
+    """Featuriser, model, radius, sampling and pooling, three seeds, from one join of neighbours."""
+    cells, meta = _bag_regions(spark, d)
+
+    def mean_value(inst: DataFrame) -> DataFrame:
+        values = inst.join(cells.select("region_id", "cell_id", "value"), ["region_id", "cell_id"])
+        return values.groupBy("instance_id").agg(F.avg("value").cast("double").alias("value")).select("instance_id", F.lit("value").alias("feature"), "value")
+
+    boosted = {"model": "boosting", "options": {"rounds": 20}}
+    variants = [
+        {"name": "composition, logistic"}, {"name": "composition, boosting", **boosted}, {"name": "composition, boosting, 50 um", "radius_um": 50.0, "min_cells": 3, **boosted},
+        {"name": "composition, forest", "model": "forest", "options": {"trees": 100}}, {"name": "mean value, logistic", "featurise": mean_value, "fill": None},
+        {"name": "composition, logistic, max", "agg": "max"}, {"name": "composition, logistic, 1 %", "n_samples": 0.01},
+    ]
+    return mil.sweep(cells, meta, variants, seeds=[0, 1, 2])
