@@ -181,6 +181,20 @@ def close_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return l.join(r, ["region_id", "_gx", "_gy"]).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop("_gx", "_gy")
 
 
+def half_pairs(cells: DataFrame, radius: float) -> DataFrame:
+    """Each unordered pair of different cells of a region within ``radius`` once: the columns of both `sides` and d2.
+
+    A grid cell meets itself and four of its eight neighbours, so a cell is copied five times and half as many candidates are compared as by `close_pairs`.
+    """
+    left, right = sides(cells)
+    ahead = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    l = left.withColumn("_s", F.explode(ahead)).withColumns({"_gx": F.floor(F.col("ax") / radius) + F.col("_s.dx"), "_gy": F.floor(F.col("ay") / radius) + F.col("_s.dy")})
+    r = right.withColumns({"_gx": F.floor(F.col("bx") / radius), "_gy": F.floor(F.col("by") / radius)})
+    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2
+    once = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") != F.col("b_id")) & ((F.col("_s.dx") != 0) | (F.col("_s.dy") != 0)))
+    return l.join(r, ["region_id", "_gx", "_gy"]).withColumn("d2", d2).filter((F.col("d2") <= radius * radius) & once).drop("_gx", "_gy", "_s")
+
+
 def sides(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     a = cells.select("region_id", F.col("cell_id").alias("a_id"), F.col("cell_type").alias("a_type"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = cells.select("region_id", F.col("cell_id").alias("b_id"), F.col("cell_type").alias("b_type"), F.col("x").alias("bx"), F.col("y").alias("by"))
@@ -242,10 +256,11 @@ def proximity(cells: DataFrame, *, radii: tuple[float, ...] = (20.0, 50.0, 100.0
     Null with fewer than ``min_cells`` A-cells, 0 without B-cells near. All radii come from one join.
     """
     typed = cells.filter("cell_type IS NOT NULL")
-    a, b = sides(typed)
-    pairs = close_pairs(a, b, max(radii)).filter("a_id <> b_id")
-    counts = pairs.groupBy("region_id", "a_type", "b_type").agg(F.array(*[F.struct(F.lit(r).alias("radius"), F.count_if(F.col("d2") <= r * r).alias("n")) for r in radii]).alias("_c"))
-    counts = counts.select("region_id", "a_type", "b_type", F.inline("_c"))
+    low, high = F.least("a_type", "b_type"), F.greatest("a_type", "b_type")
+    counts = half_pairs(typed, max(radii)).groupBy("region_id", low.alias("a_type"), high.alias("b_type")).agg(F.array(*[F.struct(F.lit(r).alias("radius"), F.count_if(F.col("d2") <= r * r).alias("n")) for r in radii]).alias("_c"))
+    # A pair of different types counts for either; a pair of one type for both of its cells.
+    both = F.when(F.col("a_type") == F.col("b_type"), F.array(F.struct("a_type", "b_type", F.lit(2).alias("_k")))).otherwise(F.array(F.struct("a_type", "b_type", F.lit(1).alias("_k")), F.struct(F.col("b_type").alias("a_type"), F.col("a_type").alias("b_type"), F.lit(1).alias("_k"))))
+    counts = counts.select("region_id", "_c", F.inline(both)).select("region_id", "a_type", "b_type", "_k", F.inline("_c")).withColumn("n", F.col("n") * F.col("_k")).drop("_k")
     own = typed.groupBy("region_id", F.col("cell_type").alias("a_type")).agg(F.count("*").alias("_n"))
     types = typed.select(F.col("cell_type").alias("b_type")).distinct()
     grid = own.crossJoin(F.broadcast(types)).withColumn("radius", F.explode(F.array(*[F.lit(r) for r in radii])))
@@ -297,6 +312,17 @@ def hull_area(cells: DataFrame, *, salts: int = 16) -> DataFrame:
     return box_area(cells).join(hulls, "region_id").join(n, "region_id").select("region_id", F.when((F.col("_n") >= 4) & (F.col("_hull") > 0), F.col("_hull")).otherwise(F.col("area")).alias("area"))
 
 
+def _k_and_l(own: DataFrame, counts: DataFrame, area: DataFrame, radii: tuple[float, ...], min_cells: Column) -> DataFrame:
+    """K and L of (region_id, cell_type, _n) from unordered pairs (region_id, cell_type, radius, _pairs)."""
+    out = own.withColumn("radius", F.explode(F.array(*[F.lit(r) for r in radii]))).join(counts, ["region_id", "cell_type", "radius"], "left").join(area, "region_id")
+    k = F.when(F.col("_n") >= min_cells, F.col("area") * 2 * F.coalesce("_pairs", F.lit(0)) / (F.col("_n") * (F.col("_n") - 1)))
+    return out.select("region_id", "cell_type", "radius", k.alias("k")).withColumn("l", F.sqrt(F.greatest("k", F.lit(0.0)) / math.pi) - F.col("radius"))
+
+
+def _hits(radii: tuple[float, ...]) -> Column:
+    return F.array(*[F.struct(F.lit(r).alias("radius"), F.count_if(F.col("d2") <= r * r).alias("_pairs")) for r in radii]).alias("_c")
+
+
 def ripley(cells: DataFrame, area: DataFrame, *, radii: tuple[float, ...] = (20.0, 50.0, 100.0, 200.0), by_type: bool = False, min_cells: int = 2, sample_n: int | None = None) -> DataFrame:
     """(region_id, cell_type, radius, k, l): Ripley's K without edge correction and Besag's L less r, all radii from one join.
 
@@ -304,14 +330,28 @@ def ripley(cells: DataFrame, area: DataFrame, *, radii: tuple[float, ...] = (20.
     """
     c = cells.filter("cell_type IS NOT NULL") if by_type else cells.withColumn("cell_type", F.lit("all"))
     c = subsample(c, sample_n) if sample_n and by_type else c
-    a, b = sides(c)
-    pairs = close_pairs(a, b, max(radii)).filter("a_id <> b_id AND a_type = b_type")
-    hits = F.array(*[F.struct(F.lit(r).alias("radius"), F.count_if(F.col("d2") <= r * r).alias("_pairs")) for r in radii])
-    counts = pairs.groupBy("region_id", F.col("a_type").alias("cell_type")).agg(hits.alias("_c")).select("region_id", "cell_type", F.inline("_c"))
-    own = c.groupBy("region_id", "cell_type").agg(F.count("*").cast("double").alias("_n")).withColumn("radius", F.explode(F.array(*[F.lit(r) for r in radii])))
-    out = own.join(counts, ["region_id", "cell_type", "radius"], "left").join(area, "region_id")
-    k = F.when(F.col("_n") >= min_cells, F.col("area") * F.coalesce("_pairs", F.lit(0)) / (F.col("_n") * (F.col("_n") - 1)))
-    return out.select("region_id", "cell_type", "radius", k.alias("k")).withColumn("l", F.sqrt(F.greatest("k", F.lit(0.0)) / math.pi) - F.col("radius"))
+    pairs = half_pairs(c, max(radii)).filter("a_type = b_type")
+    counts = pairs.groupBy("region_id", F.col("a_type").alias("cell_type")).agg(_hits(radii)).select("region_id", "cell_type", F.inline("_c"))
+    own = c.groupBy("region_id", "cell_type").agg(F.count("*").cast("double").alias("_n"))
+    return _k_and_l(own, counts, area, radii, F.lit(min_cells))
+
+
+def ripley_and_by_type(cells: DataFrame, area: DataFrame, *, radii: tuple[float, ...] = (20.0, 50.0, 100.0, 200.0), min_cells: int = 2, min_typed: int = 4, sample_n: int = 1000) -> DataFrame:
+    """`ripley` of all cells ("all") and by type with samples of ``sample_n``, from one join of pairs.
+
+    A pair of sampled cells of one type adds to the count of that type, any other to none; all counts of a region add up to that of "all". A
+    type called "all" would meet the total's rows and is an error of the data.
+    """
+    order = F.md5(F.concat_ws(":", F.lit(42), F.col("cell_id").cast("string")).cast("binary"))
+    place = F.row_number().over(Window.partitionBy("region_id", "cell_type").orderBy(order, "cell_id"))
+    marked = materialize(cells.select("region_id", "cell_id", "x", "y", F.when(place <= sample_n, F.col("cell_type")).alias("cell_type")), "sampled-cells")
+    pairs = half_pairs(marked, max(radii)).groupBy("region_id", F.when(F.col("a_type") == F.col("b_type"), F.col("a_type")).alias("cell_type")).agg(_hits(radii))
+    pairs = materialize(pairs.select("region_id", "cell_type", F.inline("_c")), "pair-counts")
+    total = pairs.groupBy("region_id", F.lit("all").alias("cell_type"), "radius").agg(F.sum("_pairs").alias("_pairs"))
+    size = F.count("*").cast("double").alias("_n")
+    own = marked.groupBy("region_id", F.lit("all").alias("cell_type")).agg(size).union(marked.filter("cell_type IS NOT NULL").groupBy("region_id", "cell_type").agg(size))
+    least = F.when(F.col("cell_type") == "all", min_cells).otherwise(min_typed)
+    return _k_and_l(own, total.unionByName(pairs.filter("cell_type IS NOT NULL")), area, radii, least)
 
 
 def pair_correlation(k: DataFrame) -> DataFrame:

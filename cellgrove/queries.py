@@ -352,7 +352,7 @@ k AS (SELECT o.region_id, o.cell_type, radius, CASE WHEN n >= least THEN area *
 
 def _ripley_full(spark: SparkSession, d: str) -> DataFrame:
     c = fx.event_cells(spark, d, 10)
-    return spatial.ripley(c, spatial.box_area(c)).union(spatial.ripley(c, spatial.box_area(c), by_type=True, min_cells=4, sample_n=1000))
+    return spatial.ripley_and_by_type(c, spatial.box_area(c))
 
 
 @query("d6_d8_ripley_full_radii", f"WITH {_K_FULL} SELECT region_id, cell_type, radius, round(k, 4) AS k, round(sqrt(k / pi()) - radius, 4) AS l FROM k")
