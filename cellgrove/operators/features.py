@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: States of a group that a task of `custom_merged` holds before it merges them, and groups it holds before it sends them on.
+HELD_STATES, HELD_GROUPS = 16, 1000
+#: Tasks that share the first merge of a group's states.
+MERGE_SALTS = 32
 
 
 def type_column(df: DataFrame, wanted: str | None) -> str:
@@ -82,5 +91,58 @@ def tumour_ratio(areas: DataFrame, *, keys: list[str]) -> DataFrame:
 
 
 def custom(cells: DataFrame, extract: Callable, *, keys: list[str], schema: str) -> DataFrame:
-    """A user's featuriser, a pandas function of the cells of one group."""
+    """A user's featuriser, a pandas function of the cells of one group, which one task holds whole: for large groups there is `custom_merged`."""
     return cells.groupBy(*keys).applyInPandas(extract, schema)
+
+
+def custom_merged(cells: DataFrame, *, partial: Callable, merge: Callable, finish: Callable, keys: list[str], state: str, schema: str) -> DataFrame:
+    """A user's featuriser in three steps, for groups of any size: (keys, columns of ``schema``).
+
+    ``partial`` makes rows of ``state`` from some of a group's cells, ``merge`` makes fewer rows of ``state`` from those of several, and ``finish`` makes rows of ``schema`` from
+    all that is left of a group; each is a function of a pandas frame without the keys. Merging must not depend on the order. Cells are read in Arrow batches where they lie and aren't shuffled:
+    a task sends on a state a group, these are merged by group and salt and then by group, so no task holds more than a batch of cells and some states, however many cells a group has.
+    Null keys are a group of their own.
+    """
+    state_schema, out_schema = T.StructType.fromDDL(state), T.StructType.fromDDL(schema)
+    state_arrow, out_arrow = to_arrow_schema(state_schema), to_arrow_schema(out_schema)
+    key_schema = T.StructType([cells.schema[k] for k in keys])
+    others = [c for c in cells.columns if c not in keys]
+
+    def labelled(values: list[pa.Scalar], rows: pd.DataFrame, arrow: pa.Schema) -> pa.Table:
+        table = pa.Table.from_pandas(rows[arrow.names], schema=arrow, preserve_index=False).replace_schema_metadata(None)
+        columns = [pa.array([v.as_py()] * table.num_rows, v.type) for v in values]
+        return pa.Table.from_arrays([*columns, *table.columns], names=[*keys, *arrow.names])
+
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list[pa.Scalar], list[pd.DataFrame]]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for values, states in held.values():
+                one = states[0] if len(states) == 1 else merge(pd.concat(states, ignore_index=True))
+                yield from labelled(values, one, state_arrow).to_batches()
+            held.clear()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            named = table.select(keys).append_column("_row", pa.array(range(batch.num_rows), pa.int64()))
+            groups = named.group_by(keys, use_threads=False).aggregate([("_row", "list")])
+            for g in range(groups.num_rows):
+                values = [groups[k][g] for k in keys]
+                cells_of = table.select(others).take(groups["_row_list"][g].values)
+                _, states = held.setdefault(tuple(v.as_py() for v in values), (values, []))
+                states.append(partial(cells_of.to_pandas()))
+                if len(states) >= HELD_STATES:
+                    states[:] = [merge(pd.concat(states, ignore_index=True))]
+            if len(held) > HELD_GROUPS:
+                yield from sent()
+        yield from sent()
+
+    def merged(table: pa.Table) -> pa.Table:
+        return labelled([table[k][0] for k in keys], merge(table.select(state_arrow.names).to_pandas()), state_arrow)
+
+    def finished(table: pa.Table) -> pa.Table:
+        return labelled([table[k][0] for k in keys], finish(merge(table.select(state_arrow.names).to_pandas())), out_arrow)
+
+    states_of = T.StructType([*key_schema, *state_schema])
+    states = cells.mapInArrow(partials, states_of).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_SALTS)))
+    return states.groupBy(*keys, "_salt").applyInArrow(merged, states_of).groupBy(*keys).applyInArrow(finished, T.StructType([*key_schema, *out_schema]))

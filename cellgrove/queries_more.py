@@ -229,3 +229,27 @@ def l1_spec(spark: SparkSession, d: str) -> DataFrame:
     a = pipelines.cross_validate_task(f, m, SPEC, "response", seeds=[0, 1, 2]).withColumn("model", F.lit("logistic"))
     b = pipelines.cross_validate_task(f, m, SPEC, "response", seeds=[0], model="forest", trees=20, max_depth=5).withColumn("model", F.lit("forest"))
     return r6(a.unionByName(b), "value")
+
+
+def _sums(cells):
+    """The state of `f11_custom_featuriser`: numbers and sums of places by type."""
+    c = cells.dropna(subset=["cell_type"])
+    c = c.assign(n=1, sx=c.x, sy=c.y, sxx=c.x * c.x, syy=c.y * c.y, sxy=c.x * c.y)
+    return _added(c)
+
+
+def _added(states):
+    return states.groupby("cell_type", as_index=False)[["n", "sx", "sy", "sxx", "syy", "sxy"]].sum()
+
+
+def _slants(s):
+    """Correlation of both coordinates by type."""
+    value = (s.n * s.sxy - s.sx * s.sy) / ((s.n * s.sxx - s.sx**2) * (s.n * s.syy - s.sy**2)) ** 0.5
+    return s.assign(feature="slant_" + s.cell_type, value=value)
+
+
+@query("f11_custom_featuriser", f"SELECT region_id, 'slant_' || cell_type AS feature, round(corr(x, y), 6) AS value FROM {EVENT} GROUP BY region_id, cell_type")
+def f11(spark: SparkSession, d: str) -> DataFrame:
+    cells = fx.event_cells(spark, d, 10).select("region_id", "cell_type", "x", "y")
+    state = "cell_type string, n long, sx double, sy double, sxx double, syy double, sxy double"
+    return r6(fe.custom_merged(cells, partial=_sums, merge=_added, finish=_slants, keys=["region_id"], state=state, schema="feature string, value double"), "value")
