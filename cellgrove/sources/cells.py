@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Text that a CSV reader takes as missing.
-NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+from cellgrove.sources.tree import NULL_TOKENS, read_tree
 
-#: Bytes of a file read at a time to find its first line.
-HEADER_BYTES = 4096
 REGION = r"/regions/([^/]+)/"
 POINT = "struct<x:double,y:double>"
 
@@ -46,55 +38,14 @@ def read_coordinates(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(region_of().alias("region_id"), "cell_id", F.nanvl("x", F.lit(None).cast("double")).alias("x"), F.nanvl("y", F.lit(None).cast("double")).alias("y"))
 
 
-def header_groups(spark: SparkSession, pattern: str) -> dict[str, list[str]]:
-    """Paths of files by header line, of which tasks read no more than the first lines. The driver gets a header and its paths, as it would in listing them.
-
-    Needs a file system that pyarrow opens. No file that matches is an error.
-    """
-
-    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths, headers = b.column("path").to_pylist(), []
-            for p in paths:
-                store, at = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
-                with store.open_input_stream(at, compression="detect") as f:
-                    head = b""
-                    while b"\n" not in head and (more := f.read(HEADER_BYTES)):
-                        head += more
-                headers.append(head.partition(b"\n")[0].decode("utf-8-sig").rstrip("\r"))
-            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "header": pa.array(headers, pa.string())})
-
-    listed = spark.read.format("binaryFile").load(pattern).select("path")  # without contents
-    found = listed.mapInArrow(first_lines, "path string, header string").groupBy("header").agg(F.collect_list("path").alias("paths")).collect()
-    if not found:
-        raise FileNotFoundError(pattern)
-    return {r["header"]: sorted(r["paths"]) for r in found}
-
-
-def read_expression(spark: SparkSession, root: str) -> DataFrame:
-    """(region_id, cell_id, marker, value): files are read by header, since panels differ between regions."""
-    parts = []
-    for header, paths in header_groups(spark, f"{root}/regions/*/expression.csv").items():
-        names = [c.strip().strip('"') for c in header.split(",")]
-        schema = T.StructType([T.StructField(c, T.LongType() if c == "cell_id" else T.DoubleType()) for c in names])
-        wide = spark.read.schema(schema).csv(paths, header=True, nullValue="NA").withColumn("region_id", region_of())
-        parts.append(wide.unpivot(["region_id", "cell_id"], [c for c in names if c != "cell_id"], "marker", "value"))
-    out = reduce(DataFrame.union, parts)
-    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
-
-
-def read_cell_types(spark: SparkSession, root: str, *, column: str = "cell_type") -> DataFrame:
+def read_expression(spark: SparkSession, root: str, *, regions: list[str] | None = None) -> DataFrame:
+    """(region_id, cell_id, marker, value): panels differ between regions. With ``regions`` only their folders are opened."""
+    return read_tree(spark, root, "expression", regions=regions)
+
+
+def read_cell_types(spark: SparkSession, root: str, *, column: str = "cell_type", regions: list[str] | None = None) -> DataFrame:
     """(region_id, cell_id, <column>): files without the configured column give their ``cell_type``."""
-    parts = []
-    for header, paths in header_groups(spark, f"{root}/regions/*/cell_types.csv").items():
-        names = [c.strip().strip('"') for c in header.split(",")]
-        schema = T.StructType([T.StructField(c, T.LongType() if c == "cell_id" else T.StringType()) for c in names])
-        found = column if column in names else "cell_type"
-        if found not in names:
-            raise ValueError(f"no cell type column in {paths[0]}")
-        rows = spark.read.schema(schema).csv(paths, header=True).select(region_of().alias("region_id"), "cell_id", F.col(found).alias(column))
-        parts.append(null_tokens(rows.withColumn("region_id", F.col("region_id"))))
-    return reduce(DataFrame.union, parts)
+    return read_tree(spark, root, "cell_types", regions=regions, column=column)
 
 
 def read_polygons(spark: SparkSession, root: str, *, name: str = "tissue_polygons.geojson") -> DataFrame:
