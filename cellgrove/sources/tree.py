@@ -4,7 +4,7 @@ Options: ``path`` (the tree), ``table`` (expression or cell_types), ``column`` (
 names of folders, never files, and not even those for given regions: only these folders are opened then. Tasks get a slice of folders each, read the header of each file, since
 panels differ, and stream the rows in Arrow batches, so no file is held whole and the plan is the same however many headers there are. Paths are those that pyarrow's file systems open.
 
-Filters aren't pushed down. In Spark 4.1 a scan without a filter takes over what a filter pushed before on the same DataFrame left of the partitions, and rows are lost; hence ``regions``.
+Filters aren't pushed down: on Spark 4.1 a count without a filter, after a filtered scan of the same DataFrame, missed the rows that the filter had left out; hence ``regions``.
 """
 
 from __future__ import annotations
