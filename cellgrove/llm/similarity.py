@@ -122,9 +122,12 @@ def shared_stars(rows: DataFrame) -> DataFrame:
 
     Any two sets that share a signature are then in one star: they have the same hub, or one of them is it.
     """
-    bucket = Window.partitionBy("p").orderBy(F.col("sig") != 0, "sk")
     local = F.col("sig") != 0
-    met = materialize(rows.withColumn("first", F.first("sk").over(bucket)).filter(local | (F.col("first") != F.col("sk"))), "shared-signatures")
+    bucket = Window.partitionBy("p").orderBy(local, "sk", "sig", "hub")
+    # Batches that hold equal sets send equal rows: these lie side by side in a bucket, and one of them stays.
+    row = F.struct("sig", "sk", "hub")
+    met = rows.withColumns({"first": F.first("sk").over(bucket), "again": F.coalesce(F.lag(row).over(bucket) == row, F.lit(False))})
+    met = materialize(met.filter(~F.col("again") & (local | (F.col("first") != F.col("sk")))).drop("again"), "shared-signatures")
     roots = met.filter(~local).select(F.col("p").alias("sig"), F.col("sk").alias("hub"), "first")
     # A set that kept to its batch follows the hub there to the hub of all batches.
     followers = met.filter(local).select("sig", "hub", "sk").join(roots, ["sig", "hub"], "left").select(F.coalesce("first", "hub").alias("hub"), "sk")

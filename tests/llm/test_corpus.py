@@ -294,6 +294,20 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_equal_sets_in_many_batches_send_one_row(spark, monkeypatch):
+    """Ten batches hold the same five sets with one signature: its rows don't multiply where followers meet their hubs."""
+    sizes, write = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, name: sizes.append((w := write(df, name)).count()) or w)
+    rows = []
+    for _ in range(10):
+        made = similarity.signature_rows(np.full(5, 77, dtype=np.uint64), np.arange(1, 6, dtype=np.uint64))
+        rows += list(zip(*[made[c].tolist() for c in ("p", "sig", "sk", "hub")]))
+    rows += [(77, 0, 9, 0)]
+    stars = similarity.shared_stars(spark.createDataFrame(rows, similarity.SIGNATURES).repartition(3))
+    assert {tuple(r) for r in stars.collect()} == {(1, i) for i in (2, 3, 4, 5, 9)}
+    assert sizes[0] == 5  # four followers in a batch and the hub of one set
+
+
 def test_decontamination(spark, docs, texts, empty):
     w = texts[5].split()
     items = [(1, " ".join(w[3:25])), (2, texts[40]), (3, "One, TWO!"), (4, None), (5, ""), (6, "no such words here at all")]
