@@ -294,6 +294,17 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_are_stars_take_no_part_in_steps(spark, monkeypatch):
+    """A long chain takes several steps; 300 pairs and stars about their smallest node take none."""
+    sizes, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: sizes.append((name, (w := write(df, name)).count())) or w)
+    links = [(10 * i, 10 * i + j) for i in range(300) for j in range(1, 2 + i % 3)] + [(100_000 + i, 100_001 + i) for i in range(40)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {n: 10 * (n // 10) if n < 100_000 else 100_000 for ab in links for n in ab}
+    steps = [n for name, n in sizes if name == "edges"]
+    assert len(steps) > 2 and steps[0] == len(links) and max(steps[1:]) <= 40
+
+
 def test_equal_sets_in_many_batches_send_one_row(spark, monkeypatch):
     """Ten batches hold the same five sets with one signature: its rows don't multiply where followers meet their hubs."""
     sizes, write = [], similarity.materialize
