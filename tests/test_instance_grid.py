@@ -59,3 +59,23 @@ def test_several_classes_models_and_failures(spark, bags):
         mil.sweep(c, m, [{}, {}], seeds=[0])
     with pytest.raises(ValueError, match="no model"):
         mil.sweep(c, m, [{"model": "cox"}], seeds=[0])
+
+
+def test_counts_equal_the_members_of_the_views(spark, bags):
+    c = bags[0].withColumn("cell_type", F.when(F.col("cell_id") % 7 > 0, F.col("cell_type")))
+    views = [{"n_samples": n, "radius": r, "min_cells": 5, "draw": d} for n, r, d in ((6, 30.0, 0), (3, 20.0, 0), (0.1, 30.0, 1))]
+    want = mil.view_instances(c, views).groupBy("view", "region_id", "instance_id", "cell_type").agg(F.count("*").alias("n"))
+    rows = lambda df: sorted(map(str, df.select("view", "region_id", "instance_id", "cell_type", "n").collect()))
+    assert rows(mil.view_counts(c, views)) == rows(want) != []
+    some = mil.view_instances(c, views, {1}).groupBy("view", "region_id", "instance_id", "cell_type").agg(F.count("*").alias("n"))
+    assert rows(some) == rows(want.filter("view = 1")) != []
+
+
+def test_labels_of_one_class_say_why(spark, bags):
+    c, m = bags
+    featurise = lambda i: i.groupBy("instance_id", F.lit("n").alias("feature")).agg(F.count("*").cast("double").alias("value"))
+    variants = [{"name": "linear"}, {"name": "forest", "model": "forest"}, {"name": "boosting", "model": "boosting"}, {"name": "size", "featurise": featurise}]
+    got = mil.sweep(c, m.withColumn("label", F.lit(1)), variants, seeds=[0, 1], k=3, n_samples=6, radius_um=30.0, min_cells=5)
+    assert got.columns == ["variant", "seed", "fold", "auc_roc", "avg_precision", "balanced_acc", "error"]
+    got = got.collect()
+    assert len(got) == 24 and {(r.auc_roc, r.avg_precision, r.balanced_acc, r.error) for r in got} == {(None, None, None, "no training instances of two classes")}
