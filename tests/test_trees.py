@@ -116,3 +116,14 @@ def test_boosting_equals_that_in_one_place(spark, monkeypatch, classes):
         test = np.arange(len(x)) % 4 == 0
         want = boosted(x[~test], y[~test], w[~test], x[test], 1 if len(classes) == 2 else 3, rounds=7, rate=0.3, depth=3, least=9)
         assert np.array([[found[run, i, c] for c in classes] for i in np.flatnonzero(test)]) == pytest.approx(want, abs=1e-6)
+
+
+def test_a_forest_grows_with_different_rows(spark, monkeypatch):
+    rows, data = sample(spark, {0: (40, 2)})
+    copies = rows.withColumn("region_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.col("region_id") + 40 * i)))
+    seen, real = [], trees._finished
+    monkeypatch.setattr(trees, "_finished", lambda state, *a, **o: seen.append(state.count()) or real(state, *a, **o))
+    fit = lambda df: {(r.region_id, r["class"]): r.proba for r in trees.forest_predictions(df.filter("NOT test"), df.filter("test"), ["a", "b", "c"], keys=["run"], trees=3, max_features=None, bootstrap=False).collect()}
+    few, many = fit(rows), fit(copies)
+    assert seen[0] == seen[1] <= 3 * 40 and len(many) == 30 * len(few)
+    assert all(many[r, c] == pytest.approx(few[r % 40, c]) for r, c in many)
