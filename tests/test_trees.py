@@ -127,3 +127,33 @@ def test_a_forest_grows_with_different_rows(spark, monkeypatch):
     few, many = fit(rows), fit(copies)
     assert seen[0] == seen[1] <= 3 * 40 and len(many) == 30 * len(few)
     assert all(many[r, c] == pytest.approx(few[r % 40, c]) for r, c in many)
+
+
+def test_a_forest_is_the_same_wherever_its_trees_grow(spark):
+    rows, _ = sample(spark, {0: (260, 6), 3: (120, 5)})
+    fit = lambda n: {(r.run, r.region_id, r["class"]): r.proba for r in trees.forest_predictions(rows.filter("NOT test"), rows.filter("test"), ["a", "b", "c"], keys=["run"], trees=7, max_depth=5, local_rows=n).collect()}
+    want = fit(1000)
+    assert len(want) == (65 + 30) * 3
+    for few in (0, 25, 100):
+        assert fit(few) == pytest.approx(want)
+
+
+def test_rows_are_sent_packed_to_some_tasks_and_not_to_each_tree(spark, monkeypatch):
+    rows, _ = sample(spark, {0: (4000, 6)})
+    copies = rows.withColumn("region_id", F.explode(F.array("region_id", F.col("region_id") + 4000)))
+    seen, real = [], trees._finished
+    monkeypatch.setattr(trees, "_finished", lambda state, *a, **o: seen.append(state) or real(state, *a, **o))
+    fit = lambda df: trees.forest_predictions(df.filter("NOT test"), df.filter("test"), ["a", "b", "c"], keys=["run"], trees=100, max_depth=4).count()
+    assert (fit(rows), fit(copies)) == (3000, 6000)
+    assert max(s.count() for s in seen) < 4000
+    few, many = [s.filter("NOT _asked").agg(F.sum(F.size("c")), F.sum(F.size("u"))).first() for s in seen]
+    assert few[0] == many[0] and 2 * few[1] == many[1]
+
+
+def test_boundaries_of_blocks_and_runs_without_draws(spark, monkeypatch):
+    rows, data = sample(spark, {0: (160, 3), 5: (4, 2)})
+    fit = lambda **o: {(r.run, r.region_id, r["class"]): r.proba for r in trees.forest_predictions(rows.filter("NOT test"), rows.filter("test"), ["a", "b", "c"], keys=["run"], trees=30, **o).collect()}
+    whole = fit()
+    assert all(sum(whole[run, i, c] for c in "abc") == pytest.approx(1) for run, i, _ in whole)
+    monkeypatch.setattr(trees, "NUMBERS", 20)
+    assert fit() == pytest.approx(whole)
