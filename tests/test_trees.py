@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrove.operators import boosting, trees
+from cellgrove.operators import boosting, models, trees
 
 
 def sample(spark, runs, classes=("a", "b", "c")):
@@ -157,3 +157,21 @@ def test_boundaries_of_blocks_and_runs_without_draws(spark, monkeypatch):
     assert all(sum(whole[run, i, c] for c in "abc") == pytest.approx(1) for run, i, _ in whole)
     monkeypatch.setattr(trees, "NUMBERS", 20)
     assert fit() == pytest.approx(whole)
+
+
+def test_a_run_s_forest_predicts_what_spark_ml_s_does(spark):
+    rows, _ = sample(spark, {0: (900, 5)})
+    train, test = rows.filter("NOT test"), rows.filter("test")
+    of = lambda df: {(r.region_id, r["class"]): r.proba for r in df.collect()}
+    want = of(models.fit_predict_ml(train.drop("run"), test.drop("run"), models.forest(trees=100, max_depth=8), ["a", "b", "c"]))
+    got = of(trees.forest_predictions(train, test, ["a", "b", "c"], keys=["run"], trees=100, max_depth=8, max_features="sqrt_up"))
+    assert got.keys() == want.keys() and np.mean([abs(got[k] - want[k]) for k in want]) < 0.05
+    best = lambda p, i: max("abc", key=lambda c: p[i, c])
+    assert np.mean([best(got, i) == best(want, i) for i in {i for i, _ in want}]) > 0.93
+
+
+def test_features_tried_at_a_node():
+    nodes = np.arange(1, 2001, dtype=np.uint64)
+    got = trees.tried_features(5, 3, nodes, 5, 3)
+    assert all(len(set(r)) == 3 for r in got.tolist()) and np.bincount(got.ravel()) == pytest.approx([1200] * 5, rel=0.1)
+    assert (trees.tried_features(5, 3, nodes, 4, 4) == np.arange(4)).all() and (got != trees.tried_features(5, 4, nodes, 5, 3)).any()
