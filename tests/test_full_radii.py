@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from cellgrove import fixtures as fx
-from cellgrove.queries import QUERIES
+from cellgrove.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +49,24 @@ def test_full_radii(spark):
                 assert d7[region, name, mid] == pytest.approx((k - before[1]) / (2 * np.pi * mid * (r - before[0])), abs=1e-5)
                 before = (r, k)
     assert above and {k[1] for k in d6} == {"all", *types}
+
+
+def test_proximity_counts_within_all_radii(spark):
+    cells = fx.event_cells(spark, SF, 10).toPandas()
+    got = {(r.region_id, r.a_type, r.b_type, r.radius): r.value for r in QUERIES["d4_proximity"](spark, SF).collect()}
+    types, want = sorted(cells.cell_type.unique()), {}
+    for region, c in cells.groupby("region_id"):
+        x, y, t = c.x.to_numpy(), c.y.to_numpy(), c.cell_type.to_numpy()
+        dist = np.hypot(x[:, None] - x, y[:, None] - y)
+        for a in set(t):
+            on = t == a
+            for b in types:
+                for r in (20.0, 50.0, 100.0):
+                    want[region, a, b, r] = (dist[np.ix_(on, t == b)] <= r).sum() / on.sum() - (a == b) if on.sum() >= 3 else None
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == (v if v is None else pytest.approx(v, abs=2e-6))
+    assert any(want[k] for k in want if k[3] == 100.0)
+    duckdb = pytest.importorskip("duckdb").connect()
+    duckdb.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    assert {tuple(r[:4]): r[4] for r in duckdb.execute(ORACLES["d4_proximity"]).fetchall()} == {k: v if v is None else pytest.approx(v, abs=2e-6) for k, v in got.items()}
