@@ -1,9 +1,13 @@
 """Forests of all runs at once, against a tree grown in NumPy and against themselves on one partition."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellgrove import fixtures as fx
+from cellgrove import queries
 from cellgrove.operators import boosting, models, trees
 
 
@@ -175,3 +179,47 @@ def test_features_tried_at_a_node():
     got = trees.tried_features(5, 3, nodes, 5, 3)
     assert all(len(set(r)) == 3 for r in got.tolist()) and np.bincount(got.ravel()) == pytest.approx([1200] * 5, rel=0.1)
     assert (trees.tried_features(5, 3, nodes, 4, 4) == np.arange(4)).all() and (got != trees.tried_features(5, 4, nodes, 5, 3)).any()
+
+
+@pytest.mark.parametrize("classes", [("a", "b"), ("a", "b", "c")])
+def test_boosting_is_the_same_wherever_a_run_grows(spark, monkeypatch, classes):
+    monkeypatch.setattr(boosting, "KEEP", 3)
+    rows, data = sample(spark, {0: (170, 3), 4: (120, 2), 6: (30, 2)}, classes)  # the last has no cut
+    options, k = {"rounds": 7, "rate": 0.3, "max_depth": 3, "min_leaf": 12}, 1 if len(classes) == 2 else 3
+    fit = lambda **o: {(r.run, r.region_id, r["class"]): r.proba for r in boosting.boosting_predictions(rows.filter("NOT test").repartition(5), rows.filter("test"), list(classes), keys=["run"], **options, **o).collect()}
+    found = [fit(local_rows=n) for n in (0, 100, 1000)]  # all by all tasks, one run so, none
+    monkeypatch.setattr(boosting, "LOCAL_NUMBERS", 180)
+    found.append(fit())
+    for run, (x, y, w) in data.items():
+        test = np.arange(len(x)) % 4 == 0
+        want = boosted(x[~test], y[~test], w[~test], x[test], k, rounds=7, rate=0.3, depth=3, least=12)
+        for f in found:
+            assert len(f) == (43 + 30 + 8) * len(classes)
+            assert np.array([[f[run, i, c] for c in classes] for i in np.flatnonzero(test)]) == pytest.approx(want, abs=1e-6)
+
+
+def test_rounds_of_a_run_in_one_task_make_no_jobs(spark, monkeypatch):
+    rows, _ = sample(spark, {0: (170, 3), 4: (120, 2)}, ("a", "b"))
+    seen, real = [], boosting.sums_by_run
+    monkeypatch.setattr(boosting, "sums_by_run", lambda *a, **o: seen.append(1) or real(*a, **o))
+    fit = lambda **o: boosting.boosting_predictions(rows.filter("NOT test"), rows.filter("test"), ["a", "b"], keys=["run"], max_depth=2, **o).count()
+    assert fit() == 2 * (43 + 30) and not seen
+    assert fit(rounds=2, local_rows=0) == 2 * (43 + 30) and len(seen) == 4
+
+
+def test_the_boosting_query_has_all_rounds(spark, monkeypatch):
+    asked, real = [], models.boosting_predictions
+
+    def seen(*a, **o):
+        asked.append(inspect.signature(real).bind(*a, **o))
+        asked[-1].apply_defaults()
+        return real(*a, **o)
+
+    monkeypatch.setattr(models, "boosting_predictions", seen)
+    rows = queries.QUERIES["m4_boosting"](spark, "/root/testdata/sf0.01").collect()
+    default = {n: p.default for n, p in inspect.signature(real).parameters.items() if p.default is not p.empty}
+    assert default["rounds"] == 300 and default["max_depth"] == 5  # as in the reference: 300 rounds
+    assert len(asked) == 1 and {n: asked[0].arguments[n] for n in default} == default
+    regions = fx.event_metadata(spark, "/root/testdata/sf0.01").count()
+    assert len(rows) == 2 * 3 * regions and len({(r.seed, r.fold) for r in rows}) == 15  # each region once a seed
+    assert len({round(r.proba, 3) for r in rows}) > 100
