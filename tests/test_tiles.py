@@ -72,3 +72,53 @@ def test_nearest_makes_no_row_a_cell_and_type(spark, monkeypatch):
     cells = spark.createDataFrame([(0, i, "abc"[i % 3], float(x), float(y)) for i, (x, y) in enumerate(at)], "region_id int, cell_id int, cell_type string, x double, y double")
     assert spatial.nearest_distances(cells, sample_n=None).count() == 9
     assert written["nearest-sums"].count() <= 100
+
+
+def lattice(rng, columns, rows, groups, share):
+    x, y, g = (v.ravel() for v in np.meshgrid(columns, rows, np.arange(groups), indexing="ij"))
+    keep = rng.random(len(x)) < share
+    return x[keep], y[keep], g[keep], rng.integers(1, 5, keep.sum())
+
+
+@pytest.mark.parametrize("scale,start", [(1.0, 0.0), (0.1, 1e7), (1 / 3, -3e5)])
+def test_a_lattice_counts_as_strips_and_as_all_pairs(scale, start):
+    rng = np.random.default_rng(8)
+    columns, rows = (start + np.sort(rng.choice(45, 40, replace=False)) * scale for _ in range(2))  # some are missing
+    x, y, g, n = lattice(rng, columns, rows, 3, 0.3)
+    own = (x > columns[9]) & (x < columns[31]) & (y > rows[12]) & (y < rows[28])
+    mine = [v[own] for v in (x, y, g, n)]
+    dx, dy = mine[0][:, None] - x, mine[1][:, None] - y
+    near = tiles.Lattice(x, y, g, n, 3)
+    for r in (scale, 5 * scale, 10 * scale, 0.3, 7.3, 1000.0):  # 3, 4, 5: many pairs are at the radius
+        want = [[int((mine[3][:, None] * n * (dx * dx + dy * dy <= r * r))[np.ix_(mine[2] == a, g == b)].sum()) for b in range(3)] for a in range(3)]
+        assert near.counts(*mine, r).tolist() == want == tiles.Strips(x, y, g, n, 3).counts(*mine, r).tolist()
+    near.sums = near.sums.astype(np.int64)
+    assert near.counts(*mine, 1000.0).tolist() == want
+
+
+def test_points_in_rows_and_columns_make_a_lattice():
+    rng = np.random.default_rng(9)
+    x, y, _, _ = lattice(rng, np.arange(60.0), np.arange(60.0), 3, 0.2)
+    scattered = rng.uniform(0, 60, (2, len(x)))
+    assert tiles.Lattice.fits((x, y), (x, y), 3, 9.0) and not tiles.Lattice.fits(tuple(scattered), tuple(scattered), 3, 9.0)
+    assert not tiles.Lattice.fits((x[::100], y[::100]), (x, y), 3, 9.0) and not tiles.Lattice.fits((x, y), (x, y), 2000, 9.0)
+    y = np.sort(rng.uniform(0, 60, 60))[y.astype(int)]
+    assert not tiles.Lattice.fits((x, y), (x, y), 3, 9.0)  # distances of rows are all different
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_pair_counts_of_crowded_pixels(spark, monkeypatch, across):
+    monkeypatch.setattr(tiles, "TILE_CELLS", 300)
+    rng = np.random.default_rng(10)
+    points = [(r, "abc"[g], float(x), float(y)) for r, size in ((0, 40), (1, 25)) for x, y, g in zip(*rng.integers(0, size, (2, size * size)), rng.integers(0, 3, size * size), strict=True)]
+    cells = spark.createDataFrame(points, "region_id int, group string, x double, y double").repartition(3)
+    radii, want = (5.0, 2.0, 10.0), {}
+    for key, t, d2 in by_region(cells.withColumnRenamed("group", "cell_type")):
+        for r in radii:
+            for a in "abc":
+                for b in "abc" if across else a:
+                    n = int((d2[np.ix_(t == a, t == b)] <= r * r).sum())
+                    if a <= b:
+                        want[key, a, b, r] = (n - int((t == a).sum())) // 2 if a == b else n
+    got = {(r.region_id, r.a_group, r.b_group, r.radius): r.pairs for r in tiles.pair_counts(cells, radii, across=across).collect()}
+    assert got == want
